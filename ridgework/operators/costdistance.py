@@ -1,0 +1,214 @@
+"""Least accumulated travel cost from start points over a friction layer."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ridgework.functions.keys import map_to_cell, tile_of, zorder_key
+from ridgework.grid import Grid
+from ridgework.layer import Layer
+from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
+from ridgework.session import BROADCAST_BYTES, checked_broadcast, scratch_dir, spread, stage, stream_join
+from ridgework.sources.catalog import block_shift, z_ordered
+
+# While the search front lies in no more blocks than this, scans are narrowed to those blocks.
+MOST_BLOCKS = 512
+MAIL_BYTES = 40
+
+_MAIL = "tcol int, trow int, c int, r int, cost double, f double"
+_ROUND = (
+    "col int, row int, cells array<double>, "
+    "mail array<struct<tcol: int, trow: int, c: int, r: int, cost: double, f: double>>"
+)
+_DIAGONAL = 1.4142135623730951
+# Width of the frame around a tile: one cell for the neighbours' rims and one nobody enters.
+_FRAME = 2
+
+
+def _spread(friction, cost, sources, res, max_cost):
+    """Lower ``cost`` in place from the flat positions ``sources`` until nothing improves.
+
+    ``friction`` and ``cost`` are framed tiles; the frame sends but never receives.
+    """
+    width = friction.shape[1]
+    f, best = friction.ravel(), cost.ravel()
+    enter = np.zeros(friction.shape, dtype=bool)
+    enter[_FRAME:-_FRAME, _FRAME:-_FRAME] = friction[_FRAME:-_FRAME, _FRAME:-_FRAME] >= 0
+    enter = enter.ravel()
+    steps = [(dy * width + dx, _DIAGONAL if dx and dy else 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
+    while len(sources):
+        improved = np.zeros(best.shape, dtype=bool)
+        for offset, length in steps:
+            target = sources + offset
+            reached = best[sources] + (f[sources] + f[target]) / 2.0 * length * res
+            better = enter[target] & (reached < best[target]) & (reached <= max_cost)
+            best[target[better]] = reached[better]
+            improved[target[better]] = True
+        sources = np.flatnonzero(improved)
+
+
+def _relax(grid: Grid, max_cost: float):
+    """Kernel of one round: settle each tile with the mail it got, and write to its neighbours."""
+    ts = grid.tile_size
+    core = slice(_FRAME, _FRAME + ts)
+    rims = {-1: [0], 0: list(range(ts)), 1: [ts - 1]}
+
+    def outgoing(col, row, lower, cost, friction):
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                if not (dx or dy):
+                    continue
+                r, c = np.meshgrid(rims[dy], rims[dx], indexing="ij")
+                r, c = r.ravel(), c.ravel()
+                sent = lower[r, c]
+                r, c = r[sent], c[sent]
+                if len(r):
+                    yield (np.full(len(r), col + dx), np.full(len(r), row + dy), col * ts + c, row * ts + r,
+                           cost[r, c], friction[r, c])
+
+    def kernel(batches):
+        for batch in slices(batches, ts * ts):
+            blocks, mails, known = tile_block(batch, ts), column(batch, "mail"), column(batch, "cost")
+            kept, costs, letters, lengths = [], [], [], []
+            for i, (col, row) in enumerate(zip(column(batch, "col").to_pylist(), column(batch, "row").to_pylist())):
+                friction = np.full((ts + 2 * _FRAME,) * 2, np.nan)
+                cost = np.full(friction.shape, np.inf)
+                friction[core, core] = blocks[i]
+                if known[i].is_valid:
+                    old = numbers(known[i].values).reshape(ts, ts)
+                    cost[core, core] = np.where(np.isnan(old), np.inf, old)
+                before = cost[core, core].copy()
+                mail = mails[i].values
+                c = numbers(mail.field("c")) - col * ts + _FRAME
+                r = numbers(mail.field("r")) - row * ts + _FRAME
+                at = r.astype(np.int64) * friction.shape[1] + c
+                offered, f = numbers(mail.field("cost")), numbers(mail.field("f"))
+                foreign = ~np.isnan(f)
+                friction.ravel()[at[foreign]] = f[foreign]
+                use = (offered < cost.ravel()[at]) & (friction.ravel()[at] >= 0) & (offered <= max_cost)
+                cost.ravel()[at[use]] = offered[use]
+                _spread(friction, cost, at[use], grid.res, max_cost)
+                after = cost[core, core]
+                lower = after < before
+                if not lower.any():
+                    continue
+                kept.append(i)
+                costs.append(np.where(np.isinf(after), np.nan, after))
+                sent = list(outgoing(col, row, lower & (after < max_cost), after, blocks[i]))
+                letters.extend(sent)
+                lengths.append(sum(len(part[0]) for part in sent))
+            if kept:
+                rows = pa.array(kept)
+                flat = [np.concatenate(parts) for parts in zip(*letters)] if letters else [np.empty(0)] * 6
+                types = [np.int32] * 4 + [np.float64] * 2
+                mail = pa.StructArray.from_arrays(
+                    [pa.array(a.astype(t)) for a, t in zip(flat, types)], ["tcol", "trow", "c", "r", "cost", "f"]
+                )
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "col").take(rows), column(batch, "row").take(rows),
+                     list_array(np.stack(costs)), pa.ListArray.from_arrays(offsets, mail)],
+                    ["col", "row", "cells", "mail"],
+                )
+    return kernel
+
+
+def _front(mail: DataFrame, shift: int):
+    """The blocks of tiles that have mail, if few, and how many tiles (None if many blocks)."""
+    keys = mail.select("tcol", "trow").distinct()
+    block = F.shiftright(zorder_key("tcol", "trow"), shift)
+    found = keys.groupBy(block.alias("block")).count().limit(MOST_BLOCKS + 1).collect()
+    if len(found) > MOST_BLOCKS:
+        return None, None
+    return sorted(row.block for row in found), sum(row["count"] for row in found)
+
+
+def _in_blocks(tiles: DataFrame, blocks, shift: int) -> DataFrame:
+    """Narrow a scan ordered by ``zkey`` to runs of blocks; Parquet statistics skip the rest."""
+    if blocks is None:
+        return tiles
+    runs = []
+    for block in blocks:
+        if runs and runs[-1][1] == block - 1:
+            runs[-1][1] = block
+        else:
+            runs.append([block, block])
+    return tiles.where(reduce(lambda a, b: a | b, [
+        F.col("zkey").between(low << shift, ((high + 1) << shift) - 1) for low, high in runs
+    ]))
+
+
+def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
+    """Cost of the cheapest eight-way path from any of ``points`` (``x, y``), up to ``max_cost``.
+
+    A step costs the mean friction of its two cells times its length on the map. NoData and
+    negative friction cannot be entered, and a start there is dropped. Cells not reached are NULL.
+
+    Runs in rounds. In each, tiles that got mail settle completely and post the rim cells that
+    became cheaper to the tiles alongside; the search ends when no mail is left. A round reads and
+    writes only the tiles on the search front, and each is a Parquet folder in the shared scratch
+    space, so a lost executor never repeats an earlier round.
+    """
+    spark = friction.tiles.sparkSession
+    grid = friction.grid
+    shift = block_shift(grid)
+    ground = friction.tiles if friction.stored else stage(z_ordered(friction), "friction")
+    ground = ground.select("col", "row", "zkey", "cells")
+    run = scratch_dir(spark, "costdistance")
+
+    c, r = map_to_cell("x", "y", grid)
+    starts = points.select(c.alias("c"), r.alias("r")).distinct()
+    mail = stage(starts.select(
+        tile_of("c", grid).alias("tcol"), tile_of("r", grid).alias("trow"), "c", "r",
+        F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("f"),
+    ), "starts")
+
+    rounds = 0
+    while True:
+        blocks, active = _front(mail, shift)
+        if active == 0:
+            break
+        small = active is not None and active * 4 * grid.tile_size * MAIL_BYTES <= BROADCAST_BYTES
+        inbox = mail.groupBy(F.col("tcol").alias("col"), F.col("trow").alias("row")).agg(
+            F.collect_list(F.struct("c", "r", "cost", "f")).alias("mail")
+        )
+        near = _in_blocks(ground, blocks, shift).select("col", "row", "cells")
+        if not small:
+            keys = mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
+            near = near.join(checked_broadcast(keys, row_bytes=32), ["col", "row"], "left_semi")
+        if small:
+            work = spread(stream_join(near, inbox, ["col", "row"], "inner", is_small=True), ["col", "row"])
+        else:
+            work = stream_join(spread(near, ["col", "row"]), inbox, ["col", "row"], "inner", is_small=False)
+        if rounds:
+            work = work.join(_latest(spark, run, mail).hint("shuffle_hash"), ["col", "row"], "left")
+        else:
+            work = work.withColumn("cost", F.lit(None).cast("array<double>"))
+        work.mapInArrow(_relax(grid, max_cost), _ROUND).write.parquet(f"{run}/round={rounds}")
+        mail = spark.read.schema(_ROUND).parquet(f"{run}/round={rounds}").select(F.inline("mail"))
+        rounds += 1
+    if not rounds:
+        return friction.with_tiles(friction.keyed.where(F.lit(False)))
+    cost = _latest(spark, run).select("col", "row", F.col("cost").alias("cells"))
+    return friction.with_tiles(cost)
+
+
+def _latest(spark, run: str, mail: DataFrame | None = None) -> DataFrame:
+    """``col, row, cost`` of each tile from the last round that changed it.
+
+    With ``mail``, only for tiles that have some. The last round is found from the keys alone;
+    cost arrays are then taken from that round only.
+    """
+    written = spark.read.schema(f"{_ROUND}, round int").parquet(run)
+    last = written.select("col", "row", "round")
+    if mail is not None:
+        keys = mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
+        last = last.join(keys, ["col", "row"], "left_semi")
+    last = last.groupBy("col", "row").agg(F.max("round").alias("round"))
+    return written.select("col", "row", "round", F.col("cells").alias("cost")).join(
+        checked_broadcast(last, row_bytes=32) if mail is None else last.hint("shuffle_hash"), ["col", "row", "round"]
+    ).drop("round")

@@ -44,6 +44,15 @@ def checked_broadcast(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYT
     return F.broadcast(df) if fits(df, row_bytes, budget) else df
 
 
+def spread(df: DataFrame, on: list[str]) -> DataFrame:
+    """Rows dealt over all shuffle partitions by key, for kernels that cost far more than bytes.
+
+    Adaptive execution sizes partitions by bytes and would put a few heavy tiles into one task; a
+    partition count given outright is left as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+
+
 def stream_join(big: DataFrame, small: DataFrame, on: list[str], how: str, is_small: bool) -> DataFrame:
     """Join wide tile rows to a lighter side without ever sorting the tile rows.
 
