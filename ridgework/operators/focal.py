@@ -34,7 +34,8 @@ def slope(layer: Layer, z_factor: float = 1.0) -> Layer:
             north = window(-1, -1) + 2.0 * window(0, -1) + window(1, -1)
             south = window(-1, 1) + 2.0 * window(0, 1) + window(1, 1)
             gx, gy = (east - west) * z_factor / eight_res, (south - north) * z_factor / eight_res
-            yield tile_batch(batch, np.degrees(np.arctan(np.sqrt(gx * gx + gy * gy))))
+            steep = np.degrees(np.arctan(np.sqrt(gx * gx + gy * gy)))
+            yield tile_batch(batch, np.where(np.isnan(centre), np.nan, steep))
 
     return layer.with_tiles(with_halo(layer).mapInArrow(gradient, TILE_SCHEMA))
 

@@ -31,3 +31,24 @@ def terrain(spark: SparkSession, sf_dir: str, grid: Grid = GRID, zoom: int = 3)
 def friction(spark: SparkSession, sf_dir: str, grid: Grid = GRID, zoom: int = 3) -> Layer:
     cells = terrain_cells(spark, sf_dir).where("z is not null").selectExpr("c", "r", "1.0D + floor(z / 100.0D) z")
     return cells_to_tiles(cells, grid, zoom)
+
+
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers, placed on middles of cells over the whole height of the grid."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "*",
+        "((s_suppkey * 37) % 100 + 0.5D) * 1000.0D x",
+        "-(floor(s_suppkey * 3 / 2.0D) + 0.5D) * 1000.0D y",
+    )
+
+
+def supplier_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed triangle per supplier, as vertex rows in map units."""
+    corners = "stack(4, 0, 0.0D, 0.0D, 1, 7000.0D, 1500.0D, 2, 2500.0D, 9000.0D, 3, 0.0D, 0.0D) as (seq, dx, dy)"
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey geom_id", "s_nationkey", "(s_suppkey * 37) % 100 * 1000.0D x0",
+        "-(floor(s_suppkey * 3 / 2.0D) * 1000.0D) y0", corners,
+    ).selectExpr(
+        "geom_id", "0 part", "0 ring", "seq", "x0 + dx x",
+        "y0 - dy - s_nationkey * 100.0D * (seq % 3) y",
+    )
