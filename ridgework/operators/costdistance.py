@@ -189,7 +189,7 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
         else:
             work = work.withColumn("cost", F.lit(None).cast("array<double>"))
         work.mapInArrow(_relax(grid, max_cost), _ROUND).write.parquet(f"{run}/round={rounds}")
-        mail = spark.read.schema(_ROUND).parquet(f"{run}/round={rounds}").select(F.inline("mail"))
+        mail = spark.read.schema(_ROUND).parquet(f"{run}/round={rounds}").select(F.inline("mail")).where("tcol >= 0 and trow >= 0")
         rounds += 1
     if not rounds:
         return friction.with_tiles(friction.keyed.where(F.lit(False)))
