@@ -235,8 +235,14 @@ def histogram_approx(spark, sf):
 
 
 def quantile_breaks(spark, sf):
-    breaks = stats.quantile_breaks(terrain(spark, sf), accuracy=1000000)
-    return breaks.select(F.posexplode("breaks").alias("i", "break")).selectExpr("i + 1 i", "`break`")
+    catalog = stored_terrain(spark, sf)
+    breaks = stats.exact_breaks(catalog.read_layer("terrain", ZOOM))
+    return spark.createDataFrame(list(enumerate(breaks, 1)), "i int, break double")
+
+
+def quantile_breaks_approx(spark, sf):
+    breaks = stats.quantile_breaks(terrain(spark, sf))
+    return breaks.select(F.posexplode("breaks").alias("i", "break"))
 
 
 def layer_breaks(spark, sf):
@@ -410,7 +416,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_layer, read_tile, write_layer, copy_layer, dump_layer, ingest_samples, read_attribute, layer_done,
         read_geojson, read_points, viewpoints_from_args, to_web_mercator, key_extent, cell_center, map_to_cell,
         key_shift, zorder_key, is_data, class_index, or_default, filter_keys, mask_layer, histogram,
-        histogram_approx, quantile_breaks, layer_breaks, count_points, ensure_partitions, slope, boundary_points,
+        histogram_approx, quantile_breaks, quantile_breaks_approx, layer_breaks, count_points, ensure_partitions, slope, boundary_points,
         boundary_points_across_tiles, viewshed, viewshed_debug_operator, viewshed_and_operator,
         viewshed_min_altitude, viewshed_fov, viewshed_absolute, viewshed_flat_earth, touched_keys, costdistance,
         max_cost, pyramid, rasterize_boundary, render_layer, render_tile, observer_viewshed, craft_viewshed,

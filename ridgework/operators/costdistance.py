@@ -12,12 +12,13 @@ from ridgework.functions.keys import map_to_cell, tile_of, zorder_key
 from ridgework.grid import Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
-from ridgework.session import BROADCAST_BYTES, checked_broadcast, scratch_dir, spread, stage, stream_join
+from ridgework.session import BROADCAST_BYTES, fits, only_keys, scratch_dir, spread, stage, stream_join
 from ridgework.sources.catalog import block_shift, z_ordered
 
 # While the search front lies in no more blocks than this, scans are narrowed to those blocks.
 MOST_BLOCKS = 512
 MAIL_BYTES = 40
+KEY_BYTES = 32
 
 _MAIL = "tcol int, trow int, c int, r int, cost double, f double"
 _ROUND = (
@@ -177,15 +178,15 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
             F.collect_list(F.struct("c", "r", "cost", "f")).alias("mail")
         )
         near = _in_blocks(ground, blocks, shift).select("col", "row", "cells")
-        if not small:
-            keys = mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
-            near = near.join(checked_broadcast(keys, row_bytes=32), ["col", "row"], "left_semi")
         if small:
             work = spread(stream_join(near, inbox, ["col", "row"], "inner", is_small=True), ["col", "row"])
         else:
-            work = stream_join(spread(near, ["col", "row"]), inbox, ["col", "row"], "inner", is_small=False)
+            near = spread(only_keys(near, _addressees(mail), ["col", "row"]), ["col", "row"])
+            work = stream_join(near, inbox, ["col", "row"], "inner", is_small=False)
         if rounds:
-            work = work.join(_latest(spark, run, mail).hint("shuffle_hash"), ["col", "row"], "left")
+            few = active is not None and active * KEY_BYTES <= BROADCAST_BYTES
+            known = _latest(spark, run, few, _addressees(mail))
+            work = stream_join(work, known, ["col", "row"], "left", is_small=False)
         else:
             work = work.withColumn("cost", F.lit(None).cast("array<double>"))
         work.mapInArrow(_relax(grid, max_cost), _ROUND).write.parquet(f"{run}/round={rounds}")
@@ -193,22 +194,34 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
         rounds += 1
     if not rounds:
         return friction.with_tiles(friction.keyed.where(F.lit(False)))
-    cost = _latest(spark, run).select("col", "row", F.col("cost").alias("cells"))
+    cost = _latest(spark, run, _few_tiles(spark, run)).select("col", "row", F.col("cost").alias("cells"))
     return friction.with_tiles(cost)
 
 
-def _latest(spark, run: str, mail: DataFrame | None = None) -> DataFrame:
-    """``col, row, cost`` of each tile from the last round that changed it.
+def _few_tiles(spark, run: str) -> bool:
+    return fits(spark.read.schema(_ROUND).parquet(run).select("col", "row").distinct(), KEY_BYTES)
 
-    With ``mail``, only for tiles that have some. The last round is found from the keys alone;
-    cost arrays are then taken from that round only.
+
+def _addressees(mail: DataFrame) -> DataFrame:
+    return mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
+
+
+def _latest(spark, run: str, few: bool, keys: DataFrame | None = None) -> DataFrame:
+    """``col, row, cost`` of each tile, or of those in ``keys``, from the last round that changed it.
+
+    ``few`` says that the tiles asked for were counted small enough to broadcast their keys.
+
+    The last round is found from the keys alone. Cost arrays are then read only in the rounds that
+    are some tile's last: while the search front moves outward those are the most recent ones, so
+    a round does not read the whole history again.
     """
     written = spark.read.schema(f"{_ROUND}, round int").parquet(run)
     last = written.select("col", "row", "round")
-    if mail is not None:
-        keys = mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
-        last = last.join(keys, ["col", "row"], "left_semi")
+    if keys is not None:
+        last = stream_join(last, keys, ["col", "row"], "left_semi", few)
     last = last.groupBy("col", "row").agg(F.max("round").alias("round"))
-    return written.select("col", "row", "round", F.col("cells").alias("cost")).join(
-        checked_broadcast(last, row_bytes=32) if mail is None else last.hint("shuffle_hash"), ["col", "row", "round"]
-    ).drop("round")
+    if keys is not None:
+        needed = [row["round"] for row in last.select("round").distinct().collect()]
+        written = written.where(F.col("round").isin(needed)) if needed else written.where(F.lit(False))
+    costs = written.select("col", "row", "round", F.col("cells").alias("cost"))
+    return stream_join(costs, last, ["col", "row", "round"], "inner", few).drop("round")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ridgework.grid import Grid
 from ridgework.layer import TILE_SCHEMA, Layer
 from ridgework.operators.arrow_tiles import column, members, numbers, slices, tile_batch, tile_block
-from ridgework.session import BROADCAST_BYTES, checked_broadcast, stream_join
+from ridgework.session import BROADCAST_BYTES, fits, stream_join
 from ridgework.sources.vectors import polygon_edges
 
 # Upper estimate of one span inside a tile's list.
@@ -17,8 +17,8 @@ SPAN_BYTES = 64
 
 def filter_keys(layer: Layer, keys: DataFrame) -> Layer:
     """Tiles whose key is among ``keys`` (``col, row``)."""
-    wanted = checked_broadcast(keys.select("col", "row").distinct(), row_bytes=32)
-    return layer.with_tiles(layer.keyed.join(wanted, ["col", "row"], "left_semi"))
+    wanted = keys.select("col", "row").distinct()
+    return layer.with_tiles(stream_join(layer.keyed, wanted, ["col", "row"], "left_semi", fits(wanted, row_bytes=32)))
 
 
 def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:

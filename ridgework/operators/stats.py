@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ridgework.functions.values import class_index, is_data
 from ridgework.layer import Layer
 
 BINS = 80
 CLASSES = 256
+# Pieces an interval around an exact break is cut into per pass.
+PIECES = 1024
 
 
 def _values(layer: Layer) -> DataFrame:
@@ -37,6 +39,54 @@ def quantile_breaks(layer: Layer, n: int = CLASSES, accuracy: int = 10000) -> Da
     return _values(layer).agg(F.percentile_approx("z", shares, accuracy).alias("breaks"))
 
 
+def exact_breaks(layer: Layer, n: int = CLASSES) -> tuple[float, ...]:
+    """``n`` breaks where break ``i`` is exactly the value of rank ``ceil(i / n * count)``.
+
+    Narrows an interval around each break. Every pass over the cells cuts the open intervals into
+    ``PIECES`` equal pieces, counts the cells per piece on the map side, and keeps the piece each
+    break lies in; a piece holding one distinct value settles its breaks. Each pass shrinks the
+    intervals at least ``PIECES``-fold and groups at most ``n * PIECES`` pieces, whatever the
+    number of cells or how often a value repeats.
+    """
+    values = _values(layer)
+    span = values.agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).first()
+    if not span.n:
+        return ()
+    ranks = [-(-i * span.n // n) for i in range(1, n + 1)]
+    settled: dict[int, float] = {}
+    # Open intervals as (lowest value, highest value, cells below), with the ranks inside each.
+    todo = {(span.low, span.high, 0): sorted(set(ranks))}
+    while todo:
+        for (low, high, _), inside in todo.items():
+            settled.update({rank: low for rank in inside if low == high})
+        todo = {key: inside for key, inside in todo.items() if key[0] < key[1]}
+        if todo:
+            todo = _narrow(values, todo)
+    return tuple(settled[rank] for rank in ranks)
+
+
+def _narrow(values: DataFrame, todo: dict) -> dict:
+    """One pass: the piece of its interval that holds each rank."""
+    spans = sorted(todo)
+    at = class_index("z", [high for _, high, _ in spans])
+    lows, highs, below = (F.array(*[F.lit(span[i]) for span in spans]) for i in range(3))
+    ranks = F.array(*[F.array(*[F.lit(rank) for rank in todo[span]]) for span in spans])
+    low, high = F.get(lows, F.col("at")), F.get(highs, F.col("at"))
+    piece = F.floor((F.col("z") - low) / (high - low) * PIECES)
+    upto = Window.partitionBy("at").orderBy("piece")
+    pieces = (
+        values.withColumn("at", at).where((F.col("z") >= low) & (F.col("z") <= high))
+        .groupBy("at", piece.alias("piece"))
+        .agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+        .withColumn("last", F.sum("n").over(upto) + F.get(below, F.col("at")))
+        .withColumn("ranks", F.filter(
+            F.get(ranks, F.col("at")), lambda rank: (rank > F.col("last") - F.col("n")) & (rank <= F.col("last"))
+        ))
+        .where(F.size("ranks") > 0)
+    )
+    return {(row.low, row.high, row["last"] - row.n): list(row.ranks) for row in pieces.collect()}
+
+
 def breaks_from_bins(bins: Column | str, n: int = CLASSES) -> Column:
     """``n`` equal-count breaks of a stored histogram (``array<struct<x, y>>`` ordered by x).
 

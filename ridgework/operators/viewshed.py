@@ -24,7 +24,7 @@ from ridgework.functions.keys import index_in_tile, map_to_cell, tile_of
 from ridgework.grid import EARTH_RADIUS, Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
-from ridgework.session import BROADCAST_BYTES, checked_broadcast, spread, stage, stream_join
+from ridgework.session import BROADCAST_BYTES, checked_broadcast, only_keys, spread, stage, stream_join
 
 OPERATORS = ("OR", "AND", "DEBUG")
 HEIGHT_MODES = ("above_ground", "absolute")
@@ -103,7 +103,7 @@ def _pairs(seers: DataFrame, grid: Grid, reach: int, max_distance: float) -> Dat
     )
 
 
-def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int, rows: int) -> tuple[DataFrame, int]:
+def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame, int]:
     """Tiles joined to the viewpoints reaching them, cut into units, and the most units per tile.
 
     Viewpoints crowding one tile are dealt over several salts, and that tile alone is repeated
@@ -132,7 +132,8 @@ def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int, rows: int) -> tupl
     small = salts == 1 and total * VIEWPOINT_BYTES <= BROADCAST_BYTES
     if small:
         return spread(stream_join(tiles, crews, _UNIT, "inner", is_small=True), _UNIT), salts
-    return stream_join(spread(tiles, _UNIT), crews, _UNIT, "inner", is_small=False), salts
+    reached = only_keys(tiles, crowd.select("col", "row"), ["col", "row"])
+    return stream_join(spread(reached, _UNIT), crews, _UNIT, "inner", is_small=False), salts
 
 
 def _crossings(c: int, r: int, col: int, row: int, ts: int, reach: int):
@@ -336,7 +337,7 @@ def viewshed(
 
     per_unit = min(max(UNIT_RAYS // (8 * reach), 1), UNIT_VIEWPOINTS)
     pairs = _pairs(seers, grid, reach, max_distance)
-    units, salts = _units(pairs, _near(terrain.keyed, box, reach, grid), per_unit, box.rows)
+    units, salts = _units(pairs, _near(terrain.keyed, box, reach, grid), per_unit)
 
     settings = (grid, reach, max_distance, curvature)
     reports = units.mapInArrow(_reports(*settings), _REPORT)
@@ -361,8 +362,8 @@ def viewshed(
 
 
 def touched_keys(seen: Layer) -> DataFrame:
-    """Keys of the tiles a viewshed reached."""
-    return seen.tiles.where(F.exists("cells", lambda z: z.isNotNull())).select("col", "row").distinct()
+    """Keys of the tiles a viewshed reached: those it has a row for, so no cells are read."""
+    return seen.tiles.select("col", "row")
 
 
 def count_points(viewpoints: DataFrame) -> DataFrame:

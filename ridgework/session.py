@@ -44,6 +44,16 @@ def checked_broadcast(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYT
     return F.broadcast(df) if fits(df, row_bytes, budget) else df
 
 
+def only_keys(big: DataFrame, keys: DataFrame, on: list[str], key_bytes: int = 32) -> DataFrame:
+    """Drop rows of ``big`` that cannot meet ``keys``, ahead of a shuffle that would move them.
+
+    Does nothing when there are too many keys to broadcast: the shuffled join drops the rows then.
+    """
+    if not fits(keys, key_bytes):
+        return big
+    return big.join(F.broadcast(keys), on, "left_semi")
+
+
 def spread(df: DataFrame, on: list[str]) -> DataFrame:
     """Rows dealt over all shuffle partitions by key, for kernels that cost far more than bytes.
 
