@@ -12,7 +12,7 @@ from ridgework.functions.keys import map_to_cell, tile_of, zorder_key
 from ridgework.grid import Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
-from ridgework.session import BROADCAST_BYTES, fits, only_keys, scratch_dir, spread, stage, stream_join
+from ridgework.session import broadcastable, fits, only_keys, scratch_dir, spread, stage, stream_join
 from ridgework.sources.catalog import block_shift, z_ordered
 
 # While the search front lies in no more blocks than this, scans are narrowed to those blocks.
@@ -173,7 +173,7 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
         blocks, active = _front(mail, shift)
         if active == 0:
             break
-        small = active is not None and active * 4 * grid.tile_size * MAIL_BYTES <= BROADCAST_BYTES
+        small = active is not None and broadcastable(active * 4 * grid.tile_size, MAIL_BYTES)
         inbox = mail.groupBy(F.col("tcol").alias("col"), F.col("trow").alias("row")).agg(
             F.collect_list(F.struct("c", "r", "cost", "f")).alias("mail")
         )
@@ -184,7 +184,7 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
             near = spread(only_keys(near, _addressees(mail), ["col", "row"]), ["col", "row"])
             work = stream_join(near, inbox, ["col", "row"], "inner", is_small=False)
         if rounds:
-            few = active is not None and active * KEY_BYTES <= BROADCAST_BYTES
+            few = active is not None and broadcastable(active, KEY_BYTES)
             known = _latest(spark, run, few, _addressees(mail))
             work = stream_join(work, known, ["col", "row"], "left", is_small=False)
         else:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ridgework.grid import Grid
 from ridgework.layer import TILE_SCHEMA, Layer
 from ridgework.operators.arrow_tiles import column, members, numbers, slices, tile_batch, tile_block
-from ridgework.session import BROADCAST_BYTES, fits, stream_join
+from ridgework.session import broadcastable, fits, stream_join
 from ridgework.sources.vectors import polygon_edges
 
 # Upper estimate of one span inside a tile's list.
@@ -94,6 +94,6 @@ def mask_layer(layer: Layer, vertices: DataFrame) -> Layer:
         F.col("col").between(around.west, around.east) & F.col("row").between(around.north, around.south)
     )
     spans = runs.groupBy("col", "row").agg(F.collect_list(F.struct("line", "start", "stop")).alias("spans"))
-    met = stream_join(near, spans, ["col", "row"], "inner", is_small=around.n * SPAN_BYTES <= BROADCAST_BYTES)
+    met = stream_join(near, spans, ["col", "row"], "inner", is_small=broadcastable(around.n, SPAN_BYTES))
     masked = met.mapInArrow(cut, TILE_SCHEMA)
     return layer.with_tiles(masked.where(F.exists("cells", lambda z: z.isNotNull())))

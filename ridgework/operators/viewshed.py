@@ -24,7 +24,7 @@ from ridgework.functions.keys import index_in_tile, map_to_cell, tile_of
 from ridgework.grid import EARTH_RADIUS, Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
-from ridgework.session import BROADCAST_BYTES, checked_broadcast, only_keys, spread, stage, stream_join
+from ridgework.session import broadcastable, checked_broadcast, only_keys, spread, stage, stream_join
 
 OPERATORS = ("OR", "AND", "DEBUG")
 HEIGHT_MODES = ("above_ground", "absolute")
@@ -39,10 +39,13 @@ RAYS_AT_ONCE = 1024
 FAN_IN = 64
 VIEWPOINT_BYTES = 160
 
-_UNIT = ["col", "row", "salt"]
+_TILE = ["col", "row"]
+_UNIT = [*_TILE, "salt"]
 _SEEN_FROM = ("vp", "c", "r", "eye", "n", "angle", "fov", "altitude")
-_REPORT = "col int, row int, salt int, vp bigint, ray bigint, k int, top double"
-_COUNTS = "col int, row int, salt int, cells array<double>"
+
+
+def _schema(unit: list[str], rest: str) -> str:
+    return ", ".join([f"{name} int" for name in unit] + [rest])
 
 
 def reach_in_cells(max_distance: float, grid: Grid) -> int:
@@ -77,7 +80,7 @@ def _with_eye(located: DataFrame, terrain: Layer, box, height_mode: str) -> Data
         keyed = located.withColumns({"col": tile_of("c", grid), "row": tile_of("r", grid)})
         ground = stream_join(
             _near(terrain.keyed, box, 0, grid), keyed, ["col", "row"], "inner",
-            is_small=box.rows * VIEWPOINT_BYTES <= BROADCAST_BYTES,
+            is_small=broadcastable(box.rows, VIEWPOINT_BYTES),
         ).withColumn("ground", F.element_at("cells", index_in_tile("c", "r", grid) + 1))
         placed = ground.where(F.col("ground").isNotNull()).withColumn("eye", F.col("view_height") + F.col("ground"))
     return placed.select(F.monotonically_increasing_id().alias("vp"), *_SEEN_FROM[1:])
@@ -103,8 +106,8 @@ def _pairs(seers: DataFrame, grid: Grid, reach: int, max_distance: float) -> Dat
     )
 
 
-def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame, int]:
-    """Tiles joined to the viewpoints reaching them, cut into units, and the most units per tile.
+def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame, list[str], int]:
+    """Tiles joined to the viewpoints reaching them, the key of these units, and the most per tile.
 
     Viewpoints crowding one tile are dealt over several salts, and that tile alone is repeated
     once per salt, so a crowd becomes many tasks.
@@ -112,28 +115,26 @@ def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame
     crowd = pairs.groupBy("col", "row").count()
     busiest = crowd.agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
     most, total = busiest.most or 0, busiest["all"] or 0
-    if most <= per_unit:
-        pairs, tiles, salts = pairs.withColumn("salt", F.lit(0)), tiles.withColumn("salt", F.lit(0)), 1
-    else:
-        salts = math.ceil(most / per_unit)
+    unit, salts = _TILE, max(math.ceil(most / per_unit), 1)
+    if salts > 1:
+        unit = _UNIT
         hot = checked_broadcast(
             crowd.where(F.col("count") > per_unit)
-            .select("col", "row", F.ceil(F.col("count") / per_unit).cast("int").alias("salts")),
+            .select(*_TILE, F.ceil(F.col("count") / per_unit).cast("int").alias("salts")),
             row_bytes=32,
         )
         count = F.coalesce("salts", F.lit(1))
-        pairs = pairs.join(hot, ["col", "row"], "left").withColumn(
+        pairs = pairs.join(hot, _TILE, "left").withColumn(
             "salt", F.pmod(F.xxhash64("vp"), count).cast("int")
         ).drop("salts")
-        tiles = tiles.join(hot, ["col", "row"], "left").select(
-            "col", "row", F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"), "cells"
+        tiles = tiles.join(hot, _TILE, "left").select(
+            *_TILE, F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"), "cells"
         )
-    crews = pairs.groupBy(*_UNIT).agg(F.collect_list(F.struct(*_SEEN_FROM)).alias("crew"))
-    small = salts == 1 and total * VIEWPOINT_BYTES <= BROADCAST_BYTES
-    if small:
-        return spread(stream_join(tiles, crews, _UNIT, "inner", is_small=True), _UNIT), salts
-    reached = only_keys(tiles, crowd.select("col", "row"), ["col", "row"])
-    return stream_join(spread(reached, _UNIT), crews, _UNIT, "inner", is_small=False), salts
+    crews = pairs.groupBy(*unit).agg(F.collect_list(F.struct(*_SEEN_FROM)).alias("crew"))
+    if salts == 1 and broadcastable(total, VIEWPOINT_BYTES):
+        return spread(stream_join(tiles, crews, unit, "inner", is_small=True), unit), unit, salts
+    reached = only_keys(tiles, crowd.select(*_TILE), _TILE)
+    return stream_join(spread(reached, unit), crews, unit, "inner", is_small=False), unit, salts
 
 
 def _crossings(c: int, r: int, col: int, row: int, ts: int, reach: int):
@@ -201,7 +202,7 @@ def _tile_units(batch: pa.RecordBatch, ts: int):
         yield i, key, blocks[i].ravel(), _seers(crews[i].values)
 
 
-def _reports(grid: Grid, reach: int, max_distance: float, curvature: bool):
+def _reports(unit: list[str], grid: Grid, reach: int, max_distance: float, curvature: bool):
     """Kernel of the first pass: highest gradient of each ray inside each tile."""
     def kernel(batches):
         for batch in slices(batches, grid.cells_per_tile):
@@ -220,11 +221,11 @@ def _reports(grid: Grid, reach: int, max_distance: float, curvature: bool):
                     continue
                 flat = {name: np.concatenate(parts) for name, parts in found.items()}
                 count = len(flat["vp"])
-                unit = [np.full(count, column(batch, n)[i].as_py(), dtype=np.int32) for n in _UNIT]
+                keys = [np.full(count, column(batch, n)[i].as_py(), dtype=np.int32) for n in unit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a) for a in unit]
+                    [pa.array(a) for a in keys]
                     + [pa.array(flat["vp"]), pa.array(flat["ray"]), pa.array(flat["k"].astype(np.int32)), pa.array(flat["top"])],
-                    [*_UNIT, "vp", "ray", "k", "top"],
+                    [*unit, "vp", "ray", "k", "top"],
                 )
     return kernel
 
@@ -243,7 +244,7 @@ def _earlier(told: pa.Array, reach: int) -> dict[int, np.ndarray]:
     return earlier
 
 
-def _sightings(grid: Grid, reach: int, max_distance: float, curvature: bool):
+def _sightings(unit: list[str], grid: Grid, reach: int, max_distance: float, curvature: bool):
     """Kernel of the second pass: how many viewpoints see each cell; NULL where none reaches it."""
     ts = grid.tile_size
 
@@ -274,8 +275,8 @@ def _sightings(grid: Grid, reach: int, max_distance: float, curvature: bool):
             if kept:
                 rows = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, n).take(rows) for n in _UNIT] + [list_array(np.stack(counts))],
-                    [*_UNIT, "cells"],
+                    [column(batch, n).take(rows) for n in unit] + [list_array(np.stack(counts))],
+                    [*unit, "cells"],
                 )
     return kernel
 
@@ -295,7 +296,7 @@ def _merge_salts(counts: DataFrame, salts: int) -> DataFrame:
     while salts > 1:
         salts = math.ceil(salts / FAN_IN)
         step = F.floor(F.col("salt") / F.lit(float(FAN_IN))).cast("int")
-        counts = counts.withColumn("salt", step).groupBy(*_UNIT).applyInArrow(_add_counts, _COUNTS)
+        counts = counts.withColumn("salt", step).groupBy(*_UNIT).applyInArrow(_add_counts, _schema(_UNIT, "cells array<double>"))
     return counts
 
 
@@ -337,19 +338,19 @@ def viewshed(
 
     per_unit = min(max(UNIT_RAYS // (8 * reach), 1), UNIT_VIEWPOINTS)
     pairs = _pairs(seers, grid, reach, max_distance)
-    units, salts = _units(pairs, _near(terrain.keyed, box, reach, grid), per_unit)
+    units, unit, salts = _units(pairs, _near(terrain.keyed, box, reach, grid), per_unit)
 
-    settings = (grid, reach, max_distance, curvature)
-    reports = units.mapInArrow(_reports(*settings), _REPORT)
+    settings = (unit, grid, reach, max_distance, curvature)
+    reports = units.mapInArrow(_reports(*settings), _schema(unit, "vp bigint, ray bigint, k int, top double"))
     before = Window.partitionBy("vp", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     told = (
-        reports.select(*_UNIT, "vp", "ray", F.max("top").over(before).alias("top"))
+        reports.select(*unit, "vp", "ray", F.max("top").over(before).alias("top"))
         .where(F.col("top").isNotNull())
-        .groupBy(*_UNIT)
+        .groupBy(*unit)
         .agg(F.collect_list(F.struct("vp", "ray", "top")).alias("told"))
     )
-    informed = stream_join(units, told, _UNIT, "left", is_small=False)
-    counts = _merge_salts(informed.mapInArrow(_sightings(*settings), _COUNTS), salts)
+    informed = stream_join(units, told, unit, "left", is_small=False)
+    counts = _merge_salts(informed.mapInArrow(_sightings(*settings), _schema(unit, "cells array<double>")), salts)
 
     if operator == "DEBUG":
         value = F.col("cells")

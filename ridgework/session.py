@@ -33,15 +33,18 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has no more rows than ``budget`` allows; counting stops just past that."""
-    most = max(budget // row_bytes, 1)
-    return df.limit(most + 1).count() <= most
+def broadcastable(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> DataFrame:
+def fits(df: DataFrame, row_bytes: int) -> bool:
+    """Whether ``df`` is small enough to broadcast; counting stops just past the limit."""
+    return broadcastable(df.limit(BROADCAST_BYTES // row_bytes + 1).count(), row_bytes)
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if it was counted small enough, else unmarked."""
-    return F.broadcast(df) if fits(df, row_bytes, budget) else df
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def only_keys(big: DataFrame, keys: DataFrame, on: list[str], key_bytes: int = 32) -> DataFrame:

@@ -1,0 +1,79 @@
+import heapq
+
+import numpy as np
+import pytest
+
+from grids import SMALL, array_of, layer_of, points_at, rough
+from ridgework import Grid
+from ridgework.operators.costdistance import costdistance
+
+
+def dijkstra(f, starts, max_cost, res):
+    cost = np.full(f.shape, np.inf)
+    heap = []
+    for c, r in starts:
+        if 0 <= r < f.shape[0] and 0 <= c < f.shape[1] and f[r, c] >= 0:
+            cost[r, c] = 0.0
+            heap.append((0.0, r, c))
+    heapq.heapify(heap)
+    while heap:
+        d, r, c = heapq.heappop(heap)
+        if d > cost[r, c]:
+            continue
+        for dr in (-1, 0, 1):
+            for dc in (-1, 0, 1):
+                rr, cc = r + dr, c + dc
+                if (dr or dc) and 0 <= rr < f.shape[0] and 0 <= cc < f.shape[1] and f[rr, cc] >= 0:
+                    new = d + (f[r, c] + f[rr, cc]) / 2 * (2**0.5 if dr and dc else 1.0) * res
+                    if new <= max_cost and new < cost[rr, cc]:
+                        cost[rr, cc] = new
+                        heapq.heappush(heap, (new, rr, cc))
+    return np.where(np.isinf(cost), np.nan, cost)
+
+
+STARTS = [(2, 3), (2, 3), (15, 12), (400, 3), (0, 0)]
+
+
+@pytest.mark.parametrize("max_cost", [0.0, 800.0, 1e9])
+def test_equals_dijkstra(spark, max_cost):
+    f = rough((18, 21), seed=3, holes=0.2)
+    f[f > 80] *= -1
+    got = array_of(costdistance(layer_of(spark, f), points_at(spark, STARTS), max_cost), f.shape)
+    np.testing.assert_allclose(got, dijkstra(f, STARTS, max_cost, SMALL.res), rtol=1e-12)
+
+
+def test_path_that_leaves_a_tile_and_returns(spark):
+    f = np.full((8, 8), 1.0)
+    f[0:4, 1] = np.nan
+    f[4, 0:3] = [1.0, 50.0, 1.0]
+    f[5, :] = np.nan
+    got = array_of(costdistance(layer_of(spark, f), points_at(spark, [(0, 0)]), 1e9), f.shape)
+    np.testing.assert_allclose(got, dijkstra(f, [(0, 0)], 1e9, SMALL.res))
+
+
+def test_when_neither_mail_nor_keys_fit_and_the_front_is_wide(spark, nothing_fits, monkeypatch):
+    monkeypatch.setattr("ridgework.operators.costdistance.MOST_BLOCKS", 0)
+    f = rough((14, 13), seed=4, holes=0.1)
+    got = array_of(costdistance(layer_of(spark, f), points_at(spark, [(1, 1)]), 1e9), f.shape)
+    np.testing.assert_allclose(got, dijkstra(f, [(1, 1)], 1e9, SMALL.res), rtol=1e-12)
+
+
+def test_scans_narrowed_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr("ridgework.sources.catalog.BLOCK_BYTES", 8 * 16 * 2)
+    f = rough((30, 30), seed=5, holes=0.1)
+    got = array_of(costdistance(layer_of(spark, f), points_at(spark, [(1, 1), (28, 3)]), 1e9), f.shape)
+    np.testing.assert_allclose(got, dijkstra(f, [(1, 1), (28, 3)], 1e9, SMALL.res), rtol=1e-12)
+
+
+def test_no_start_on_passable_ground(spark):
+    f = rough((6, 6), seed=6)
+    assert costdistance(layer_of(spark, f), points_at(spark, [(90, 90)]), 10.0).tiles.count() == 0
+    assert costdistance(layer_of(spark, f), points_at(spark, []), 10.0).tiles.count() == 0
+
+
+def test_result_does_not_depend_on_the_tiling(spark):
+    f = rough((20, 20), seed=7)
+    starts = points_at(spark, [(3, 3)])
+    a = costdistance(layer_of(spark, f), starts, 2000.0)
+    b = costdistance(layer_of(spark, f, Grid(32, 0.0, 0.0, 10.0)), starts, 2000.0)
+    np.testing.assert_array_equal(array_of(a, f.shape), array_of(b, f.shape))
