@@ -20,10 +20,10 @@ MOST_BLOCKS = 512
 MAIL_BYTES = 40
 KEY_BYTES = 32
 
-_MAIL = "tcol int, trow int, c int, r int, cost double, f double"
+# A round's output: the settled tile and, per tile alongside, the rim cells it should hear of.
 _ROUND = (
     "col int, row int, cells array<double>, "
-    "mail array<struct<tcol: int, trow: int, c: int, r: int, cost: double, f: double>>"
+    "mail array<struct<tcol: int, trow: int, letters: array<struct<c: int, r: int, cost: double, f: double>>>>"
 )
 _DIAGONAL = 1.4142135623730951
 # Width of the frame around a tile: one cell for the neighbours' rims and one nobody enters.
@@ -68,13 +68,30 @@ def _relax(grid: Grid, max_cost: float):
                 sent = lower[r, c]
                 r, c = r[sent], c[sent]
                 if len(r):
-                    yield (np.full(len(r), col + dx), np.full(len(r), row + dy), col * ts + c, row * ts + r,
-                           cost[r, c], friction[r, c])
+                    yield (col + dx, row + dy), (col * ts + c, row * ts + r, cost[r, c], friction[r, c])
+
+    def lists(lengths, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+
+    def post(sent):
+        """The ``mail`` column from, per tile, its ``(address, letters)`` pairs."""
+        addresses = np.array([to for tile in sent for to, _ in tile], dtype=np.int32).reshape(-1, 2)
+        parts = [letters for tile in sent for _, letters in tile]
+        flat = [np.concatenate(values) for values in zip(*parts)] if parts else [np.empty(0)] * 4
+        letters = pa.StructArray.from_arrays(
+            [pa.array(a.astype(t)) for a, t in zip(flat, [np.int32, np.int32, np.float64, np.float64])],
+            ["c", "r", "cost", "f"],
+        )
+        mail = pa.StructArray.from_arrays(
+            [pa.array(addresses[:, 0]), pa.array(addresses[:, 1]), lists([len(part[0]) for part in parts], letters)],
+            ["tcol", "trow", "letters"],
+        )
+        return lists([len(tile) for tile in sent], mail)
 
     def kernel(batches):
         for batch in slices(batches, ts * ts):
             blocks, mails, known = tile_block(batch, ts), column(batch, "mail"), column(batch, "cost")
-            kept, costs, letters, lengths = [], [], [], []
+            kept, costs, sent = [], [], []
             for i, (col, row) in enumerate(zip(column(batch, "col").to_pylist(), column(batch, "row").to_pylist())):
                 friction = np.full((ts + 2 * _FRAME,) * 2, np.nan)
                 cost = np.full(friction.shape, np.inf)
@@ -99,33 +116,27 @@ def _relax(grid: Grid, max_cost: float):
                     continue
                 kept.append(i)
                 costs.append(np.where(np.isinf(after), np.nan, after))
-                sent = list(outgoing(col, row, lower & (after < max_cost), after, blocks[i]))
-                letters.extend(sent)
-                lengths.append(sum(len(part[0]) for part in sent))
+                sent.append(list(outgoing(col, row, lower & (after < max_cost), after, blocks[i])))
             if kept:
                 rows = pa.array(kept)
-                flat = [np.concatenate(parts) for parts in zip(*letters)] if letters else [np.empty(0)] * 6
-                types = [np.int32] * 4 + [np.float64] * 2
-                mail = pa.StructArray.from_arrays(
-                    [pa.array(a.astype(t)) for a, t in zip(flat, types)], ["tcol", "trow", "c", "r", "cost", "f"]
-                )
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "col").take(rows), column(batch, "row").take(rows),
-                     list_array(np.stack(costs)), pa.ListArray.from_arrays(offsets, mail)],
+                     list_array(np.stack(costs)), post(sent)],
                     ["col", "row", "cells", "mail"],
                 )
     return kernel
 
 
 def _front(mail: DataFrame, shift: int):
-    """The blocks of tiles that have mail, if few, and how many tiles (None if many blocks)."""
-    keys = mail.select("tcol", "trow").distinct()
+    """The blocks of tiles that have mail and the number of tiles and letters; None if many blocks."""
+    boxes = mail.groupBy("tcol", "trow").agg(F.sum(F.size("letters")).alias("letters"))
     block = F.shiftright(zorder_key("tcol", "trow"), shift)
-    found = keys.groupBy(block.alias("block")).count().limit(MOST_BLOCKS + 1).collect()
+    found = boxes.groupBy(block.alias("block")).agg(
+        F.count("*").alias("tiles"), F.sum("letters").alias("letters")
+    ).limit(MOST_BLOCKS + 1).collect()
     if len(found) > MOST_BLOCKS:
-        return None, None
-    return sorted(row.block for row in found), sum(row["count"] for row in found)
+        return None, None, None
+    return sorted(row.block for row in found), sum(row.tiles for row in found), sum(row.letters for row in found)
 
 
 def _in_blocks(tiles: DataFrame, blocks, shift: int) -> DataFrame:
@@ -163,30 +174,31 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
 
     c, r = map_to_cell("x", "y", grid)
     starts = points.select(c.alias("c"), r.alias("r")).distinct()
+    begin = F.struct("c", "r", F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("f"))
     mail = stage(starts.select(
-        tile_of("c", grid).alias("tcol"), tile_of("r", grid).alias("trow"), "c", "r",
-        F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("f"),
+        tile_of("c", grid).alias("tcol"), tile_of("r", grid).alias("trow"), F.array(begin).alias("letters"),
     ), "starts")
 
     rounds = 0
     while True:
-        blocks, active = _front(mail, shift)
+        blocks, active, letters = _front(mail, shift)
         if active == 0:
             break
-        small = active is not None and broadcastable(active * 4 * grid.tile_size, MAIL_BYTES)
+        small = active is not None and broadcastable(letters, MAIL_BYTES)
         inbox = mail.groupBy(F.col("tcol").alias("col"), F.col("trow").alias("row")).agg(
-            F.collect_list(F.struct("c", "r", "cost", "f")).alias("mail")
+            F.flatten(F.collect_list("letters")).alias("mail")
         )
         near = _in_blocks(ground, blocks, shift).select("col", "row", "cells")
         if small:
-            work = spread(stream_join(near, inbox, ["col", "row"], "inner", is_small=True), ["col", "row"])
+            work = spread(stream_join(near, inbox, ["col", "row"], "inner", is_small=True), ["col", "row"], active)
         else:
             near = spread(only_keys(near, _addressees(mail), ["col", "row"]), ["col", "row"])
             work = stream_join(near, inbox, ["col", "row"], "inner", is_small=False)
         if rounds:
             few = active is not None and broadcastable(active, KEY_BYTES)
             known = _latest(spark, run, few, _addressees(mail))
-            work = stream_join(work, known, ["col", "row"], "left", is_small=False)
+            light = few and broadcastable(active, 8 * grid.cells_per_tile)
+            work = stream_join(work, known, ["col", "row"], "left", is_small=light)
         else:
             work = work.withColumn("cost", F.lit(None).cast("array<double>"))
         work.mapInArrow(_relax(grid, max_cost), _ROUND).write.parquet(f"{run}/round={rounds}")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ridgework.functions.values import class_index, is_data
 from ridgework.layer import Layer
+from ridgework.operators.arrow_tiles import numbers, slices
 
 BINS = 80
 CLASSES = 256
@@ -46,7 +49,8 @@ def exact_breaks(layer: Layer, n: int = CLASSES) -> tuple[float, ...]:
     ``PIECES`` equal pieces, counts the cells per piece on the map side, and keeps the piece each
     break lies in; a piece holding one distinct value settles its breaks. Each pass shrinks the
     intervals at least ``PIECES``-fold and groups at most ``n * PIECES`` pieces, whatever the
-    number of cells or how often a value repeats.
+    number of cells or how often a value repeats. The layer is scanned once per pass, so it should
+    be a stored one.
     """
     values = _values(layer)
     span = values.agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).first()
@@ -61,23 +65,41 @@ def exact_breaks(layer: Layer, n: int = CLASSES) -> tuple[float, ...]:
             settled.update({rank: low for rank in inside if low == high})
         todo = {key: inside for key, inside in todo.items() if key[0] < key[1]}
         if todo:
-            todo = _narrow(values, todo)
+            todo = _narrow(layer, todo)
     return tuple(settled[rank] for rank in ranks)
 
 
-def _narrow(values: DataFrame, todo: dict) -> dict:
+def _narrow(layer: Layer, todo: dict) -> dict:
     """One pass: the piece of its interval that holds each rank."""
     spans = sorted(todo)
-    at = class_index("z", [high for _, high, _ in spans])
-    lows, highs, below = (F.array(*[F.lit(span[i]) for span in spans]) for i in range(3))
+    lows, highs = (np.array([span[i] for span in spans]) for i in range(2))
+    layer_cells = layer.grid.cells_per_tile
+
+    def count_pieces(batches):
+        for batch in slices(batches, layer_cells):
+            z = numbers(batch.column(0).flatten())
+            z = np.sort(z[~np.isnan(z)])
+            at = np.minimum(np.searchsorted(highs, z), len(highs) - 1)
+            inside = (z >= lows[at]) & (z <= highs[at])
+            z, at = z[inside], at[inside]
+            if not len(z):
+                continue
+            piece = np.floor((z - lows[at]) / (highs[at] - lows[at]) * PIECES).astype(np.int64)
+            # Values are in order, so each piece is one run of them.
+            first = np.flatnonzero(np.diff(at * (PIECES + 1) + piece, prepend=-1))
+            last = np.append(first[1:], len(z)) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a) for a in (at[first].astype(np.int32), piece[first], last - first + 1, z[first], z[last])],
+                ["at", "piece", "n", "low", "high"],
+            )
+
+    below = F.array(*[F.lit(span[2]) for span in spans])
     ranks = F.array(*[F.array(*[F.lit(rank) for rank in todo[span]]) for span in spans])
-    low, high = F.get(lows, F.col("at")), F.get(highs, F.col("at"))
-    piece = F.floor((F.col("z") - low) / (high - low) * PIECES)
     upto = Window.partitionBy("at").orderBy("piece")
     pieces = (
-        values.withColumn("at", at).where((F.col("z") >= low) & (F.col("z") <= high))
-        .groupBy("at", piece.alias("piece"))
-        .agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+        layer.tiles.select("cells").mapInArrow(count_pieces, "at int, piece bigint, n bigint, low double, high double")
+        .groupBy("at", "piece")
+        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
         .withColumn("last", F.sum("n").over(upto) + F.get(below, F.col("at")))
         .withColumn("ranks", F.filter(
             F.get(ranks, F.col("at")), lambda rank: (rank > F.col("last") - F.col("n")) & (rank <= F.col("last"))

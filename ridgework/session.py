@@ -57,13 +57,14 @@ def only_keys(big: DataFrame, keys: DataFrame, on: list[str], key_bytes: int = 3
     return big.join(F.broadcast(keys), on, "left_semi")
 
 
-def spread(df: DataFrame, on: list[str]) -> DataFrame:
+def spread(df: DataFrame, on: list[str], rows: int | None = None) -> DataFrame:
     """Rows dealt over all shuffle partitions by key, for kernels that cost far more than bytes.
 
     Adaptive execution sizes partitions by bytes and would put a few heavy tiles into one task; a
-    partition count given outright is left as it is.
+    partition count given outright is left as it is. Fewer ``rows`` than that get one each.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions if rows is None else max(min(partitions, rows), 1), *on)
 
 
 def stream_join(big: DataFrame, small: DataFrame, on: list[str], how: str, is_small: bool) -> DataFrame:
