@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ridgework.functions.keys import cell_center
+from ridgework.functions.keys import cell_center, zorder_key
 from ridgework.layer import TILE_SCHEMA, Layer
 from ridgework.operators.arrow_tiles import column, slices, tile_batch, tile_block
 from ridgework.operators.tiling import padded_block, with_halo
@@ -75,7 +75,7 @@ def boundary_points(layer: Layer, altitude: float, across_tiles: bool = False) -
     """Viewpoints at ``altitude`` on the middle of every boundary cell, looking all round."""
     x, y = cell_center("c", "r", layer.grid)
     return boundary_cells(layer, across_tiles).select(
-        F.xxhash64("c", "r").alias("vp_id"),
+        zorder_key("c", "r").alias("vp_id"),
         x.alias("x"), y.alias("y"), *standing_at(altitude),
     )
 

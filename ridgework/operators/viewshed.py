@@ -113,7 +113,7 @@ def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame
     once per salt, so a crowd becomes many tasks.
     """
     crowd = pairs.groupBy("col", "row").count()
-    busiest = crowd.agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    busiest = crowd.agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("tiles")).first()
     most, total = busiest.most or 0, busiest["all"] or 0
     unit, salts = _TILE, max(math.ceil(most / per_unit), 1)
     if salts > 1:
@@ -132,7 +132,7 @@ def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame
         )
     crews = pairs.groupBy(*unit).agg(F.collect_list(F.struct(*_SEEN_FROM)).alias("crew"))
     if salts == 1 and broadcastable(total, VIEWPOINT_BYTES):
-        return spread(stream_join(tiles, crews, unit, "inner", is_small=True), unit), unit, salts
+        return spread(stream_join(tiles, crews, unit, "inner", is_small=True), unit, busiest.tiles), unit, salts
     reached = only_keys(tiles, crowd.select(*_TILE), _TILE)
     return stream_join(spread(reached, unit), crews, unit, "inner", is_small=False), unit, salts
 
