@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ridgework.functions.keys import tile_of
 from ridgework.grid import Grid
 from ridgework.layer import TILE_SCHEMA, Layer
 from ridgework.operators.arrow_tiles import column, members, numbers, slices, tile_batch, tile_block
-from ridgework.session import broadcastable, fits, stream_join
+from ridgework.session import broadcastable, fits, only_keys, spread, stream_join
 from ridgework.sources.vectors import polygon_edges
 
 # Upper estimate of one span inside a tile's list.
@@ -27,7 +28,8 @@ def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
     Even-odd rule over all rings. Every edge marks, on each cell row it crosses, the column left
     of which it flips inside and outside. Flips are first reduced to one parity per row and
     column, which bounds a row by the width of the grid whatever the number of edges, and then
-    paired along the row. Work follows the outline, not the area.
+    paired along the row. The rows of one row of tiles are dealt to one task, so the runs can be
+    gathered per tile without another shuffle.
     """
     ts = grid.tile_size
     to_u = lambda x: (F.col(x) - F.lit(grid.xmin)) / F.lit(grid.res)
@@ -47,22 +49,21 @@ def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
         .groupBy("r", "k")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") % 2 == 1)
+        .select(
+            tile_of("r", grid).alias("row"), F.pmod("r", F.lit(ts)).cast("int").alias("line"), F.col("k").alias("start")
+        )
     )
-    along = Window.partitionBy("r").orderBy("k")
+    along = Window.partitionBy("row", "line").orderBy("start")
     runs = (
-        flips.select("r", F.col("k").alias("start"), F.lead("k").over(along).alias("stop"),
-                     F.row_number().over(along).alias("nth"))
+        spread(flips, ["row"])
+        .withColumns({"stop": F.lead("start").over(along), "nth": F.row_number().over(along)})
         .where((F.col("nth") % 2 == 1) & F.col("stop").isNotNull())
     )
-    tile_from = F.floor(F.col("start") / F.lit(float(ts)))
-    tile_to = F.floor((F.col("stop") - 1) / F.lit(float(ts)))
     left = F.col("col") * ts
     return (
-        runs.select("r", "start", "stop", F.explode(F.sequence(tile_from, tile_to)).alias("col"))
+        runs.withColumn("col", F.explode(F.sequence(tile_of("start", grid), tile_of(F.col("stop") - 1, grid))))
         .select(
-            F.col("col").cast("int").alias("col"),
-            F.floor(F.col("r") / F.lit(float(ts))).cast("int").alias("row"),
-            F.pmod("r", F.lit(ts)).cast("int").alias("line"),
+            "col", "row", "line",
             F.greatest(F.col("start") - left, F.lit(0)).cast("int").alias("start"),
             F.least(F.col("stop") - left, F.lit(ts)).cast("int").alias("stop"),
         )
@@ -81,19 +82,29 @@ def mask_layer(layer: Layer, vertices: DataFrame) -> Layer:
             np.add.at(flips, (owner, line, start), 1)
             np.add.at(flips, (owner, line, stop), -1)
             inside = np.cumsum(flips, axis=2)[:, :, :ts] > 0
+            inside[numbers(column(batch, "whole")).astype(bool)] = True
             yield tile_batch(batch, np.where(inside, tile_block(batch, ts), np.nan))
 
-    runs = inside_spans(vertices, layer.grid)
-    around = runs.agg(
-        F.min("col").alias("west"), F.max("col").alias("east"),
-        F.min("row").alias("north"), F.max("row").alias("south"), F.count("*").alias("n"),
+    # A tile covered on every line carries a flag in place of its spans.
+    covered = F.count_if((F.col("start") == 0) & (F.col("stop") == ts)) == ts
+    listed = F.collect_list(F.struct("line", "start", "stop"))
+    spans = (
+        inside_spans(vertices, layer.grid)
+        .groupBy("col", "row")
+        .agg(covered.alias("whole"), listed.alias("spans"))
+        .withColumn("spans", F.when(F.col("whole"), F.slice("spans", 1, 0)).otherwise(F.col("spans")))
+    )
+    around = spans.agg(
+        F.min("col").alias("west"), F.max("col").alias("east"), F.min("row").alias("north"),
+        F.max("row").alias("south"), F.count("*").alias("tiles"), F.sum(F.size("spans")).alias("n"),
     ).first()
-    if not around.n:
+    if not around.tiles:
         return layer.with_tiles(layer.keyed.where(F.lit(False)))
     near = layer.keyed.where(
         F.col("col").between(around.west, around.east) & F.col("row").between(around.north, around.south)
     )
-    spans = runs.groupBy("col", "row").agg(F.collect_list(F.struct("line", "start", "stop")).alias("spans"))
-    met = stream_join(near, spans, ["col", "row"], "inner", is_small=broadcastable(around.n, SPAN_BYTES))
-    masked = met.mapInArrow(cut, TILE_SCHEMA)
+    small = broadcastable(around.tiles + around.n, SPAN_BYTES)
+    if not small:
+        near = only_keys(near, spans.select("col", "row"), ["col", "row"])
+    masked = stream_join(near, spans, ["col", "row"], "inner", small).mapInArrow(cut, TILE_SCHEMA)
     return layer.with_tiles(masked.where(F.exists("cells", lambda z: z.isNotNull())))

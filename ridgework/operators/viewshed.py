@@ -72,17 +72,23 @@ def _near(tiles: DataFrame, box, margin: int, grid: Grid) -> DataFrame:
 
 
 def _with_eye(located: DataFrame, terrain: Layer, box, height_mode: str) -> DataFrame:
-    """Adds ``eye``, the height rays start from, and a row number ``vp``."""
+    """Adds ``eye``, the height rays start from, and a row number ``vp``.
+
+    The ground is looked up once per cell, of which a tile holds a bounded number, and then joined
+    to the viewpoints, however many stand on one cell.
+    """
     grid = terrain.grid
     if height_mode == "absolute":
         placed = located.withColumn("eye", F.col("view_height"))
     else:
-        keyed = located.withColumns({"col": tile_of("c", grid), "row": tile_of("r", grid)})
-        ground = stream_join(
-            _near(terrain.keyed, box, 0, grid), keyed, ["col", "row"], "inner",
-            is_small=broadcastable(box.rows, VIEWPOINT_BYTES),
-        ).withColumn("ground", F.element_at("cells", index_in_tile("c", "r", grid) + 1))
-        placed = ground.where(F.col("ground").isNotNull()).withColumn("eye", F.col("view_height") + F.col("ground"))
+        small = broadcastable(box.rows, VIEWPOINT_BYTES)
+        spots = located.select("c", "r").distinct().withColumns({"col": tile_of("c", grid), "row": tile_of("r", grid)})
+        ground = stream_join(_near(terrain.keyed, box, 0, grid), spots, _TILE, "inner", small).select(
+            "c", "r", F.element_at("cells", index_in_tile("c", "r", grid) + 1).alias("ground")
+        ).where(F.col("ground").isNotNull())
+        placed = located.join(F.broadcast(ground) if small else ground, ["c", "r"]).withColumn(
+            "eye", F.col("view_height") + F.col("ground")
+        )
     return placed.select(F.monotonically_increasing_id().alias("vp"), *_SEEN_FROM[1:])
 
 
