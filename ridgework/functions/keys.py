@@ -26,6 +26,11 @@ def zorder_key(col: Column | str, row: Column | str, bits: int = KEY_BITS) -> Co
     return reduce(lambda a, b: a.bitwiseOR(b), terms)
 
 
+def zorder_of(col: int, row: int) -> int:
+    """``zorder_key`` of a single known key."""
+    return sum(((col >> bit & 1) | (row >> bit & 1) << 1) << 2 * bit for bit in range(KEY_BITS))
+
+
 def key_shift(key: Column | str, levels: int) -> Column:
     """One coordinate of the tile key ``levels`` zooms up the pyramid."""
     return F.shiftright(key, levels)

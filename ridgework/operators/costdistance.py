@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ridgework.functions.keys import map_to_cell, tile_of, zorder_key
+from ridgework.functions.keys import key_shift, map_to_cell, tile_of, zorder_of
 from ridgework.grid import Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
@@ -130,13 +130,12 @@ def _relax(grid: Grid, max_cost: float):
 def _front(mail: DataFrame, shift: int):
     """The blocks of tiles that have mail and the number of tiles and letters; None if many blocks."""
     boxes = mail.groupBy("tcol", "trow").agg(F.sum(F.size("letters")).alias("letters"))
-    block = F.shiftright(zorder_key("tcol", "trow"), shift)
-    found = boxes.groupBy(block.alias("block")).agg(
+    found = boxes.groupBy(key_shift("tcol", shift // 2).alias("col"), key_shift("trow", shift // 2).alias("row")).agg(
         F.count("*").alias("tiles"), F.sum("letters").alias("letters")
     ).limit(MOST_BLOCKS + 1).collect()
     if len(found) > MOST_BLOCKS:
         return None, None, None
-    return sorted(row.block for row in found), sum(row.tiles for row in found), sum(row.letters for row in found)
+    return sorted(zorder_of(row.col, row.row) for row in found), sum(row.tiles for row in found), sum(row.letters for row in found)
 
 
 def _in_blocks(tiles: DataFrame, blocks, shift: int) -> DataFrame:
@@ -196,7 +195,7 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
             work = stream_join(near, inbox, ["col", "row"], "inner", is_small=False)
         if rounds:
             few = active is not None and broadcastable(active, KEY_BYTES)
-            known = _latest(spark, run, few, _addressees(mail))
+            known = _latest(spark, run, few, _addressees(mail), rounds)
             light = few and broadcastable(active, 8 * grid.cells_per_tile)
             work = stream_join(work, known, ["col", "row"], "left", is_small=light)
         else:
@@ -218,10 +217,11 @@ def _addressees(mail: DataFrame) -> DataFrame:
     return mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
 
 
-def _latest(spark, run: str, few: bool, keys: DataFrame | None = None) -> DataFrame:
+def _latest(spark, run: str, few: bool, keys: DataFrame | None = None, rounds: int = 0) -> DataFrame:
     """``col, row, cost`` of each tile, or of those in ``keys``, from the last round that changed it.
 
-    ``few`` says that the tiles asked for were counted small enough to broadcast their keys.
+    ``few`` says that the tiles asked for were counted small enough to broadcast their keys, and
+    ``rounds`` how many rounds there are to pick from, if picking is worth a look.
 
     The last round is found from the keys alone. Cost arrays are then read only in the rounds that
     are some tile's last: while the search front moves outward those are the most recent ones, so
@@ -232,7 +232,7 @@ def _latest(spark, run: str, few: bool, keys: DataFrame | None = None) -> DataFr
     if keys is not None:
         last = stream_join(last, keys, ["col", "row"], "left_semi", few)
     last = last.groupBy("col", "row").agg(F.max("round").alias("round"))
-    if keys is not None:
+    if rounds > 1:
         needed = [row["round"] for row in last.select("round").distinct().collect()]
         written = written.where(F.col("round").isin(needed)) if needed else written.where(F.lit(False))
     costs = written.select("col", "row", "round", F.col("cells").alias("cost"))
