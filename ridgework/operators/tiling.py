@@ -66,25 +66,29 @@ def _corner(c: int, r: int, ts: int) -> Column:
     return F.array(F.element_at("cells", r * ts + c + 1))
 
 
-def with_halo(layer: Layer) -> DataFrame:
-    """Tile rows with ``halo``: the adjoining strips ``(dx, dy, strip)`` of up to eight neighbours.
-
-    Each tile sends its rim, about ``4 / tile_size`` of its cells, to the neighbours; whole tiles
-    are shuffled once, to meet the strips sent to them.
-    """
-    ts = layer.grid.tile_size
-    last = ts - 1
-    at = {-1: 0, 1: last}
+def rim(ts: int) -> Column:
+    """The strips ``(ox, oy, strip)`` of ``cells`` that adjoin each of the eight tiles around."""
+    at = {-1: 0, 1: ts - 1}
 
     def strip(ox: int, oy: int) -> Column:
         if oy == 0:
             return _edge_column(at[ox], ts)
         return _edge_row(at[oy], ts) if ox == 0 else _corner(at[ox], at[oy], ts)
 
-    sent = F.array(*[
+    return F.array(*[
         F.struct(F.lit(ox).alias("ox"), F.lit(oy).alias("oy"), strip(ox, oy).alias("strip"))
         for ox in (-1, 0, 1) for oy in (-1, 0, 1) if (ox, oy) != (0, 0)
     ])
+
+
+def with_halo(layer: Layer) -> DataFrame:
+    """Tile rows with ``halo``: the adjoining strips ``(dx, dy, strip)`` of up to eight neighbours.
+
+    Each tile sends its rim, about ``4 / tile_size`` of its cells, to the neighbours; whole tiles
+    are shuffled once, to meet the strips sent to them. A stored layer keeps the rims in a column
+    of their own, so sending them does not read the cells.
+    """
+    sent = F.col("rim") if layer.stored else rim(layer.grid.tile_size)
     halo = (
         layer.tiles.select("col", "row", F.inline(sent))
         .select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,18 +12,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="ridgework-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
     Where the setting is missing, a local session gets a temporary folder; a cluster session must
     name one, since executors on other machines could not see a local path.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="ridgework-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from grids import SMALL, array_of, layer_of, rough
 from ridgework import Grid, Layer
 from ridgework.functions.keys import zorder_key
+from ridgework.operators.focal import slope
 from ridgework.session import scratch_dir, stage
 from ridgework.sources.catalog import Catalog
 
@@ -114,6 +116,28 @@ def test_zoomed_grid_covers_the_world():
     assert grid.coarser().res == Grid.zoomed(8).res
 
 
+def test_copy_keeps_rims_for_slope(spark, catalog):
+    z = rough((11, 13), seed=28)
+    catalog.write_layer(layer_of(spark, z), "hills")
+    catalog.copy_layer("hills", "copy", 3)
+    fresh, stored = slope(layer_of(spark, z)), slope(catalog.read_layer("copy", 3))
+    np.testing.assert_array_equal(array_of(stored, z.shape), array_of(fresh, z.shape))
+    plan = stored.tiles._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and sum("cells#" in line.split("Batched")[0] for line in scans) == 1
+
+
+def test_scratch_space_without_a_named_folder(tmp_path):
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: named)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    assert scratch_dir(session("local[2]"), "x").rsplit("/", 1)[0] == scratch_dir(session("local[2]"), "y").rsplit("/", 1)[0]
+    assert scratch_dir(session("yarn", "hdfs:///shared"), "x").startswith("hdfs:///shared/x-")
+    with pytest.raises(RuntimeError):
+        scratch_dir(session("yarn"), "x")
+
+
 def test_scratch_space_is_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(named)
