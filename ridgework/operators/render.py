@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgework.functions.ramps import DEFAULT_RAMP, ramp_stops
 from ridgework.layer import Layer
+from ridgework.operators.arrow_tiles import column, slices, tile_block
 from ridgework.operators.stats import Classes
-from ridgework.operators.tiling import tiles_to_cells
 
 
-def ramp_color(index: Column | str, classes: int, ramp: str) -> dict[str, Column]:
-    """Colour of a class as ``red, green, blue``: linear between the ramp's stops, rounded half up."""
-    index = F.col(index) if isinstance(index, str) else index
-    stops = ramp_stops(ramp)
-    last = len(stops) - 1
-    at = index * F.lit(float(last)) / F.lit(float(max(classes - 1, 1)))
-    left = F.least(F.floor(at), F.lit(last - 1)).cast("int")
+def render_tiles(layer: Layer, classes: Classes, ramp: str = DEFAULT_RAMP) -> DataFrame:
+    """Rows ``col, row, argb array<int>``: one packed colour per cell, 0 for NoData.
 
-    def channel(which: int) -> Column:
-        levels = F.array(*[F.lit(float(stop[which])) for stop in stops])
-        a, b = F.get(levels, left), F.get(levels, left + 1)
-        return F.floor(a + (b - a) * (at - left) + F.lit(0.5)).cast("int")
+    Colours run linearly between the ramp's stops over the classes and are rounded half up.
+    """
+    ts = layer.grid.tile_size
+    stops = np.array(ramp_stops(ramp), dtype=np.float64)
+    last, steps = len(stops) - 1, max(classes.count - 1, 1)
 
-    return {name: channel(i) for i, name in enumerate(("red", "green", "blue"))}
+    def paint(batches):
+        for batch in slices(batches, ts * ts):
+            z = tile_block(batch, ts).ravel()
+            data = ~np.isnan(z)
+            at = classes.index_array(z[data]) * float(last) / float(steps)
+            left = np.minimum(np.floor(at), last - 1).astype(np.int64)
+            low, high = stops[left], stops[left + 1]
+            rgb = np.floor(low + (high - low) * (at - left)[:, None] + 0.5).astype(np.uint32)
+            argb = np.zeros(len(z), dtype=np.uint32)
+            argb[data] = np.uint32(255 << 24) | rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2]
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(ts * ts))
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "col"), column(batch, "row"), pa.ListArray.from_arrays(offsets, pa.array(argb.view(np.int32)))],
+                ["col", "row", "argb"],
+            )
+
+    return layer.keyed.mapInArrow(paint, "col int, row int, argb array<int>")
 
 
 def render_layer(layer: Layer, classes: Classes, ramp: str = DEFAULT_RAMP) -> DataFrame:
     """Rows ``c, r, red, green, blue, alpha`` for every cell; NoData is fully transparent."""
-    cells = tiles_to_cells(layer, keep_nodata=True).select("c", "r", classes.index("z").alias("class"))
-    color = ramp_color("class", classes.count, ramp)
-    return cells.select(
-        "c", "r",
-        *[F.coalesce(value, F.lit(0)).alias(name) for name, value in color.items()],
-        F.when(F.col("class").isNull(), 0).otherwise(255).alias("alpha"),
+    ts = layer.grid.tile_size
+
+    def channel(shift: int) -> Column:
+        return F.shiftrightunsigned("argb", shift).bitwiseAND(F.lit(255))
+
+    pixels = render_tiles(layer, classes, ramp).select("col", "row", F.posexplode("argb").alias("at", "argb"))
+    return pixels.select(
+        (F.col("col") * ts + F.pmod("at", F.lit(ts))).alias("c"),
+        (F.col("row") * ts + F.floor(F.col("at") / F.lit(float(ts)))).cast("int").alias("r"),
+        channel(16).alias("red"), channel(8).alias("green"), channel(0).alias("blue"), channel(24).alias("alpha"),
     )
 
 

@@ -149,6 +149,12 @@ class Classes:
         z = F.col(z) if isinstance(z, str) else z
         return F.when(is_data(z), F.least(F.greatest(F.ceil(z), F.lit(0)), F.lit(self.upto)).cast("int"))
 
+    def index_array(self, z: np.ndarray) -> np.ndarray:
+        """The same for an array of data values inside a task."""
+        if self.upto is not None:
+            return np.clip(np.ceil(z), 0, self.upto)
+        return np.searchsorted(np.array(self.breaks[:-1]), z)
+
 
 def layer_classes(catalog, name: str, n: int = CLASSES) -> Classes:
     """Classes of a stored pyramid: from its histogram, else its viewpoint count, else 0 and 1."""

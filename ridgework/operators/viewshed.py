@@ -122,6 +122,9 @@ def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame
     busiest = crowd.agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("tiles")).first()
     most, total = busiest.most or 0, busiest["all"] or 0
     unit, salts = _TILE, max(math.ceil(most / per_unit), 1)
+    small = salts == 1 and broadcastable(total, VIEWPOINT_BYTES)
+    if not small:
+        crowd = stage(crowd, "crowd")
     if salts > 1:
         unit = _UNIT
         hot = checked_broadcast(
@@ -137,7 +140,7 @@ def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame
             *_TILE, F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"), "cells"
         )
     crews = pairs.groupBy(*unit).agg(F.collect_list(F.struct(*_SEEN_FROM)).alias("crew"))
-    if salts == 1 and broadcastable(total, VIEWPOINT_BYTES):
+    if small:
         return spread(stream_join(tiles, crews, unit, "inner", is_small=True), unit, busiest.tiles), unit, salts
     reached = only_keys(tiles, crowd.select(*_TILE), _TILE)
     return stream_join(spread(reached, unit), crews, unit, "inner", is_small=False), unit, salts

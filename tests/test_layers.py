@@ -154,6 +154,15 @@ def test_colours(spark):
     assert got[(0, 1)] == (0, 0, 0, 0) and len(got) == 16
 
 
+def test_counting_classes_colour_alike(spark):
+    z = np.array([[0.0, 0.4], [1.0, 7.0]])
+    layer = layer_of(spark, z)
+    listed, counted = (
+        sorted(map(tuple, render.render_layer(layer, c).collect())) for c in (stats.Classes(breaks=(0.0, 1.0, 2.0)), stats.Classes(upto=2))
+    )
+    assert listed == counted
+
+
 def test_every_ramp_runs_from_first_to_last_stop():
     for name, stops in RAMPS.items():
         colors = class_colors(name, 256)
