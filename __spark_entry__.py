@@ -22,7 +22,7 @@ from ridgework.operators.tiling import tiles_to_cells
 from ridgework.plans import workflows
 from ridgework.session import scratch_dir
 from ridgework.sources import vectors
-from ridgework.sources.catalog import Catalog, done_layers, dump_rows, tile_extents
+from ridgework.sources.catalog import Catalog, done_layers, tile_extents
 from ridgework.sources.ingest import ingest_samples as grid_samples
 from terrain_fixtures import GRID, friction, supplier_points, supplier_rings, table, terrain, terrain_cells
 
@@ -278,6 +278,12 @@ def boundary_points_across_tiles(spark, sf):
     return focal.boundary_points(terrain(spark, sf), 300.0, across_tiles=True).drop("vp_id")
 
 
+def collect_points(spark, sf):
+    """Boundary viewpoints gathered from the tiles of a key set."""
+    kept = masking.filter_keys(terrain(spark, sf), supplier_keys(spark, sf).selectExpr("int(col) col", "int(row) row"))
+    return focal.boundary_points(kept, 300.0).select("x", "y", "view_height")
+
+
 # Viewsheds
 
 def supplier_viewpoints(spark, sf, height="greatest(s_acctbal / 100, 0.0D)", angle="0.0D", fov="-1.0D", altitude="cast('-Infinity' as double)"):
@@ -293,11 +299,11 @@ def viewshed(spark, sf):
     return tiles_to_cells(near_suppliers(spark, sf))
 
 
-def viewshed_debug_operator(spark, sf):
+def viewshed_combine_debug(spark, sf):
     return tiles_to_cells(near_suppliers(spark, sf, operator="DEBUG"))
 
 
-def viewshed_and_operator(spark, sf):
+def viewshed_combine_and(spark, sf):
     seers = table(spark, sf, "nation").selectExpr(
         "(n_nationkey * 4 + 0.5D) * 1000 x", "-(n_nationkey % 5 + 0.5D) * 1000 y", "4000.0D + n_nationkey view_height",
         "0.0D angle", "-1.0D fov", "cast('-Infinity' as double) altitude")
@@ -308,7 +314,7 @@ def viewshed_min_altitude(spark, sf):
     return tiles_to_cells(near_suppliers(spark, sf, supplier_viewpoints(spark, sf, altitude="420.0D + s_nationkey")))
 
 
-def viewshed_fov(spark, sf):
+def fov_cut(spark, sf):
     return tiles_to_cells(near_suppliers(spark, sf, supplier_viewpoints(spark, sf, angle="s_nationkey * 0.25D", fov="0.3D")))
 
 
@@ -417,8 +423,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_geojson, read_points, viewpoints_from_args, to_web_mercator, key_extent, cell_center, map_to_cell,
         key_shift, zorder_key, is_data, class_index, or_default, filter_keys, mask_layer, histogram,
         histogram_approx, quantile_breaks, quantile_breaks_approx, layer_breaks, count_points, ensure_partitions, slope, boundary_points,
-        boundary_points_across_tiles, viewshed, viewshed_debug_operator, viewshed_and_operator,
-        viewshed_min_altitude, viewshed_fov, viewshed_absolute, viewshed_flat_earth, touched_keys, costdistance,
+        boundary_points_across_tiles, collect_points, viewshed, viewshed_combine_debug, viewshed_combine_and,
+        viewshed_min_altitude, fov_cut, viewshed_absolute, viewshed_flat_earth, touched_keys, costdistance,
         max_cost, pyramid, rasterize_boundary, render_layer, render_tile, observer_viewshed, craft_viewshed,
         polygon_viewshed, costdistance_surface, viewshed_terrain_prep, viewshed_debug,
     ]

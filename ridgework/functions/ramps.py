@@ -24,17 +24,3 @@ RAMPS: dict[str, list[tuple[int, int, int]]] = {
 def ramp_stops(name: str) -> list[tuple[int, int, int]]:
     """Stops of a ramp; an unknown name falls back to the default ramp."""
     return RAMPS.get(name, RAMPS[DEFAULT_RAMP])
-
-
-def class_colors(name: str, classes: int) -> list[tuple[int, int, int]]:
-    """One colour per class, blended linearly between the ramp's stops and rounded half up."""
-    stops = ramp_stops(name)
-    colors = []
-    for i in range(classes):
-        at = i * (len(stops) - 1) / (classes - 1) if classes > 1 else 0.0
-        left = min(int(at), len(stops) - 2)
-        share = at - left
-        colors.append(tuple(
-            int(a + (b - a) * share + 0.5) for a, b in zip(stops[left], stops[left + 1])
-        ))
-    return colors

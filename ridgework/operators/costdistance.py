@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ridgework.functions.keys import key_shift, map_to_cell, tile_of, zorder_of
 from ridgework.grid import Grid
 from ridgework.layer import Layer
-from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
+from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
 from ridgework.session import broadcastable, fits, only_keys, scratch_dir, spread, stage, stream_join
 from ridgework.sources.catalog import block_shift, z_ordered
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ridgework.functions.keys import index_in_tile, map_to_cell, tile_of
 from ridgework.grid import EARTH_RADIUS, Grid
 from ridgework.layer import Layer
-from ridgework.operators.arrow_tiles import column, list_array, members, numbers, slices, tile_block
+from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
 from ridgework.session import broadcastable, checked_broadcast, only_keys, spread, stage, stream_join
 
 OPERATORS = ("OR", "AND", "DEBUG")

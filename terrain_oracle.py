@@ -54,35 +54,38 @@ sl as (
                  ((sw + 2 * s + se) - (nw + 2 * n + ne)) / (8 * {RES}e0) gy from win))"""
 
 
-def sight_cte(vps: str, reach: int, max_distance: float, curvature: bool = True, terrain: str = "t", out: str = "sight") -> str:
-    """Rows ``vp, n, c, r, vis`` from viewpoints ``vp, n, c, r, eye, angle, fov, altitude``."""
+def sight_cte(vps: str, reach: int, max_distance: float, curvature: bool = True, tag: str = "") -> str:
+    """``sight``: rows ``vp, n, c, r, vis`` from viewpoints ``vp, n, c, r, eye, angle, fov, altitude``.
+
+    ``tag`` ends the names, for a second use in one statement.
+    """
     drop = f"d * d / (2 * {R_EARTH})" if curvature else "0.0e0"
-    return f"""rays as (
+    return f"""rays{tag} as (
   select side * 2 * {reach} + (i + {reach}) ray,
     case side when 0 then i when 1 then {reach} when 2 then -i else -{reach} end dx,
     case side when 0 then -{reach} when 1 then i when 2 then {reach} else -i end dy
   from range(4) s(side) cross join range(-{reach}, {reach}) q(i)),
-steps as (
+steps{tag} as (
   select v.vp, v.n, v.eye, v.altitude, y.ray, k.k,
     cast(floor((2 * k.k * y.dx + {reach}) / (2.0e0 * {reach})) as int) dc,
     cast(floor((2 * k.k * y.dy + {reach}) / (2.0e0 * {reach})) as int) dr, v.c oc, v.r orr
-  from {vps} v join rays y on v.fov <= -1
+  from {vps} v join rays{tag} y on v.fov <= -1
     or (y.dx * cos(v.angle) - y.dy * sin(v.angle)) / sqrt(cast(y.dx * y.dx + y.dy * y.dy as double)) >= v.fov
   cross join range(1, {reach + 1}) k(k)),
-far as (
-  select *, oc + dc c, orr + dr r, sqrt(cast(dc * dc + dr * dr as double)) * {RES}e0 d from steps),
-grad as (
+far{tag} as (
+  select *, oc + dc c, orr + dr r, sqrt(cast(dc * dc + dr * dr as double)) * {RES}e0 d from steps{tag}),
+grad{tag} as (
   select f.vp, f.n, f.ray, f.k, f.c, f.r, (z.z - {drop} - f.eye) / d g,
     (greatest(z.z, f.altitude) - {drop} - f.eye) / d gt
-  from far f join {terrain} z on z.c = f.c and z.r = f.r
+  from far{tag} f join t z on z.c = f.c and z.r = f.r
   where z.z is not null and d <= {max_distance}e0),
-run as (
-  select *, max(g) over (partition by vp, ray order by k rows between unbounded preceding and 1 preceding) top from grad),
-{out} as (
+run{tag} as (
+  select *, max(g) over (partition by vp, ray order by k rows between unbounded preceding and 1 preceding) top from grad{tag}),
+sight{tag} as (
   select vp, max(n) n, c, r, max(vis) vis from (
-    select vp, n, c, r, case when gt >= coalesce(top, -1e300) then 1 else 0 end vis from run
+    select vp, n, c, r, case when gt >= coalesce(top, -1e300) then 1 else 0 end vis from run{tag}
     union all
-    select v.vp, v.n, v.c, v.r, 1 from {vps} v join {terrain} z on z.c = v.c and z.r = v.r where z.z is not null)
+    select v.vp, v.n, v.c, v.r, 1 from {vps} v join t z on z.c = v.c and z.r = v.r where z.z is not null)
   group by vp, c, r)"""
 
 
@@ -126,10 +129,9 @@ def levels_sql(source: str, top: int = 3, bottom: int = 1) -> str:
 
 def boundary_cte(source: str = "t", across: bool = False, out: str = "edge") -> str:
     """Positive cells with a missing or non-positive cell in their window."""
-    same = "" if across else f"and (a.c + o.dc) // {TS} = a.c // {TS} and (a.r + p.dr) // {TS} = a.r // {TS}"
-    # The shifted sums keep floor division right at -1.
-    same = same.replace("(a.c + o.dc) //", "floor((a.c + o.dc) /").replace("(a.r + p.dr) //", "floor((a.r + p.dr) /")
-    same = same.replace(f"/ {TS} = a.c", f"/ {TS}.0e0) = a.c").replace(f"/ {TS} = a.r", f"/ {TS}.0e0) = a.r")
+    tile = lambda at: f"floor(({at}) / {TS}.0e0)"
+    same = f"and {tile('a.c + o.dc')} = {tile('a.c')} and {tile('a.r + p.dr')} = {tile('a.r')}"
+    same = "" if across else same
     return f"""{out} as (
   select distinct a.c, a.r
   from {source} a cross join (values (-1), (0), (1)) o(dc) cross join (values (-1), (0), (1)) p(dr)
@@ -163,7 +165,7 @@ SUPPLIER_RINGS = """pts as (
   select s_suppkey g, u.seq, (s_suppkey * 37) % 100 * 1000.0e0 + u.dx x,
     -(floor(s_suppkey * 3 / 2.0e0) * 1000.0e0) - u.dy - s_nationkey * 100.0e0 * u.seq y
   from supplier cross join (values (0, 0.0e0, 0.0e0), (1, 7000.0e0, 1500.0e0), (2, 2500.0e0, 9000.0e0), (3, 0.0e0, 0.0e0)) u(seq, dx, dy)),
-ring as (select g, case when seq = 3 then 3 else seq end seq, x, case when seq = 3 then first_value(y) over (partition by g order by seq) else y end y from pts)"""
+ring as (select g, seq, x, case when seq = 3 then first_value(y) over (partition by g order by seq) else y end y from pts)"""
 
 BREAKS = [2.0 * i for i in range(225)]
 STOPS = [(20, 60, 190), (110, 150, 230), (235, 235, 235), (230, 120, 100), (190, 20, 30)]
@@ -192,8 +194,6 @@ TOP_TILE = f"""top_tile as (
   select c // {TS} col, r // {TS} row from t where z is not null order by z desc, c, r limit 1)"""
 TOP_CELL = "top as (select c, r, z from t where z is not null order by z desc, c, r limit 1)"
 
-DATA = "select c, r, z from {0} where z is not null"
-
 
 def oracle() -> dict[str, str]:
     data = f"with {T} select c, r, z from t where z is not null"
@@ -209,7 +209,6 @@ def oracle() -> dict[str, str]:
       select cast(col as int) col, cast(row as int) "row", {ZKEY} zkey, count(*) n, round(sum(z), 4) total from k group by col, row"""
     sql["dump_layer"] = f"""with {T} select 'terrain-' || (c // {TS}) || '-' || (r // {TS}) tile,
       (c + 0.5e0) * 1000.0e0 x, 0.0e0 - (r + 0.5e0) * 1000.0e0 y, z from t where z is not null"""
-    samples = f"""s as (select {LONLAT} + 0.0e0, z0.z from orders join t z0 on z0.c = o_orderkey % 100 and z0.r = floor(o_orderkey / 100.0))"""
     samples = f"""s0 as (select {LONLAT}, o_custkey, z0.z from orders
       join t z0 on z0.c = cast(o_orderkey % 100 as int) and z0.r = cast(floor(o_orderkey / 100.0) as int)),
       s as (select lon + (o_custkey % 7 - 3) * 0.0001e0 lon, lat, z from s0 where z is not null)"""
@@ -270,18 +269,22 @@ def oracle() -> dict[str, str]:
         sql[name] = f"""with {T}, {FULL}, {boundary_cte('full_cells', across)} select (c + 0.5e0) * 1000.0e0 x, 0.0e0 - (r + 0.5e0) * 1000.0e0 y,
           300.0e0 view_height, 0.0e0 angle, -1.0e0 fov, cast('-inf' as double) altitude from edge"""
 
+    sql["collect_points"] = f"""with {T}, {FULL}, {STARTS}, k as (select distinct c // {TS} col, r // {TS} row from starts),
+      {boundary_cte('full_cells')} select (c + 0.5e0) * 1000.0e0 x, 0.0e0 - (r + 0.5e0) * 1000.0e0 y, 300.0e0 view_height
+      from edge join k on c // {TS} = col and r // {TS} = row"""
+
     # Viewsheds
     near = lambda vps: f"with {T}, {vps}, {sight_cte('vps', 25, 25000.0)}"
     sql["viewshed"] = f"{near(sup)} {OR}"
-    sql["viewshed_debug_operator"] = f"{near(sup)} select cast(c as int) c, cast(r as int) r, cast(sum(vis) as double) z from sight group by 1, 2"
+    sql["viewshed_combine_debug"] = f"{near(sup)} select cast(c as int) c, cast(r as int) r, cast(sum(vis) as double) z from sight group by 1, 2"
     sql["viewshed_min_altitude"] = f"{near(supplier_vps(altitude='420.0e0 + s_nationkey'))} {OR}"
-    sql["viewshed_fov"] = f"{near(supplier_vps(angle='s_nationkey * 0.25e0', fov='0.3e0'))} {OR}"
+    sql["fov_cut"] = f"{near(supplier_vps(angle='s_nationkey * 0.25e0', fov='0.3e0'))} {OR}"
     sql["viewshed_absolute"] = f"{near(supplier_vps(height='300.0e0 + s_nationkey * 10', absolute=True))} {OR}"
     sql["viewshed_flat_earth"] = f"with {T}, {sup}, {sight_cte('vps', 12, 12500.0, curvature=False)} {OR}"
     sql["touched_keys"] = f"{near(sup)} select distinct cast(c // {TS} as int) col, cast(r // {TS} as int) \"row\" from sight"
     nation_vps = f"""vps as (select n_nationkey vp, 1 n, z.c, z.r, z.z + 4000.0e0 + n_nationkey eye, 0.0e0 angle, -1.0e0 fov, cast('-inf' as double) altitude
       from nation join t z on z.c = n_nationkey * 4 and z.r = n_nationkey % 5 where z.z is not null)"""
-    sql["viewshed_and_operator"] = f"""with {T}, {nation_vps}, {sight_cte('vps', 120, 120000.0)}
+    sql["viewshed_combine_and"] = f"""with {T}, {nation_vps}, {sight_cte('vps', 120, 120000.0)}
       select cast(c as int) c, cast(r as int) r, case when sum(vis) = (select count(*) from vps) then 1.0e0 else 0.0e0 end z from sight group by 1, 2"""
 
     # Cost distance
@@ -307,14 +310,10 @@ def oracle() -> dict[str, str]:
       up_full as (select col * {TS} + i.i c, row * {TS} + j.j r, up.z from touched cross join range({TS}) i(i) cross join range({TS}) j(j)
         left join up on up.c = col * {TS} + i.i and up.r = row * {TS} + j.j)"""
     craft_vps = "cvp as (select row_number() over () vp, 1 n, 2 * c + 1 c, 2 * r + 1 r, 460.0e0 eye, 0.0e0 angle, -1.0e0 fov, cast('-inf' as double) altitude from edge)"
-    second = sight_cte("cvp", 20, 20000.0, out="sight2")
-    for name in ("rays", "steps", "far", "grad", "run"):
-        second = second.replace(f"{name} as (", f"{name}2 as (").replace(f"from {name} ", f"from {name}2 ").replace(f"from {name})", f"from {name}2)").replace(f"join {name} ", f"join {name}2 ")
-    second = second.replace("from steps)", "from steps2)").replace("from grad)", "from grad2)").replace("from run\n", "from run2\n")
+    second = sight_cte("cvp", 20, 20000.0, tag="2")
     sql["craft_viewshed"] = f"""with {T}, {TOP_CELL}, {observer_vp}, {sight_cte('ovp', 40, 40000.0)}, {observer_out}, {seen2},
       {boundary_cte('up_full')}, {craft_vps}, {second},
       seen_craft as (select c, r, cast(max(vis) as double) z from sight2 group by c, r), {levels_sql('seen_craft')}"""
-    deg = f"(180.0e0 / (pi() * {R_EARTH}))"
     area = f"""pv0 as (select i, x * 0.008e0 lon, -y * 0.008e0 lat from pv where ring = 0),
       pm as (select i, {MERC_X} x, {MERC_Y} y from pv0),
       ed as (select 0 g, a.x ax, a.y ay, b.x bx, b.y by_ from pm a join pm b on b.i = a.i + 1)"""

@@ -2,11 +2,10 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from grids import SMALL, array_of, layer_of, rough
 from ridgework import Grid
-from ridgework.functions.ramps import RAMPS, class_colors, ramp_stops
+from ridgework.functions.ramps import RAMPS, ramp_stops
 from ridgework.functions.values import class_index
 from ridgework.operators import masking, pyramid, render, stats
 from ridgework.sources.catalog import Catalog
@@ -133,6 +132,16 @@ def test_breaks_come_from_histogram_then_points_then_default(spark, tmp_path):
     assert stats.layer_classes(catalog, "b", 2).breaks == (1.0, 9.0)
 
 
+def class_colors(name, classes):
+    """One colour per class, blended linearly between the ramp's stops and rounded half up."""
+    stops, colors = ramp_stops(name), []
+    for i in range(classes):
+        at = i * (len(stops) - 1) / max(classes - 1, 1)
+        left = min(int(at), len(stops) - 2)
+        colors.append(tuple(int(a + (b - a) * (at - left) + 0.5) for a, b in zip(stops[left], stops[left + 1])))
+    return colors
+
+
 def test_class_index(spark):
     zs = [(v,) for v in (-5.0, 0.0, 0.1, 1.0, 1.5, 2.0, 9.0, float("nan"), None)]
     df = spark.createDataFrame(zs, "z double")
@@ -163,11 +172,14 @@ def test_counting_classes_colour_alike(spark):
     assert listed == counted
 
 
-def test_every_ramp_runs_from_first_to_last_stop():
-    for name, stops in RAMPS.items():
-        colors = class_colors(name, 256)
-        assert colors[0] == stops[0] and colors[-1] == stops[-1]
-        assert class_colors(name, 1) == [stops[0]]
+@pytest.mark.parametrize("name", sorted(RAMPS))
+def test_every_ramp_runs_from_first_to_last_stop(spark, name):
+    layer = layer_of(spark, np.arange(4.0).reshape(2, 2))
+    for classes in (4, 1):
+        got = render.render_layer(layer, stats.Classes(breaks=tuple(range(classes))), name).where("alpha > 0").orderBy("r", "c").collect()
+        wanted = class_colors(name, classes)
+        assert [tuple(p)[2:5] for p in got] == [wanted[min(i, classes - 1)] for i in range(4)]
+    assert wanted == [RAMPS[name][0]]
 
 
 def test_ingest_takes_the_nearest_sample(spark):
