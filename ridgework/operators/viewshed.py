@@ -193,7 +193,10 @@ def _gradients(cells, seer, key, grid, reach, max_distance, curvature):
             usable &= toward / np.sqrt((dx * dx + dy * dy).astype(np.float64)) >= seer["fov"]
         drop = d * d / (2.0 * EARTH_RADIUS) if curvature else 0.0
         gradient = np.where(usable, (z - drop - seer["eye"]) / d, -np.inf)
-        target = (np.fmax(z, seer["altitude"]) - drop - seer["eye"]) / d
+        # An object that does not rise above the ground is seen exactly where the ground is.
+        target = gradient
+        if seer["altitude"] > -np.inf:
+            target = (np.fmax(z, seer["altitude"]) - drop - seer["eye"]) / d
         yield ray, k, usable, index, gradient, target
 
 
