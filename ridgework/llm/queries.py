@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridgework.llm import contamination, fingerprints, language, licences, packing, page_text, quality, repeats, tool_calls, warc
+from ridgework.llm import contamination, fingerprints, language, licences, oracle, packing, page_text, quality, repeats, tool_calls, warc
 from ridgework.llm.tables import table
 
 # What the implied tools take; one row per parameter.
@@ -83,3 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_decontamination, op7_warc_captures, op8_style_tree, op9_quality_rules, op10_simhash_near_dedup, pipeline,
     ]
     return {query.__name__: query for query in named}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle()
