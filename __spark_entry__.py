@@ -26,6 +26,11 @@ from ridgework.sources.catalog import Catalog, done_layers, tile_extents
 from ridgework.sources.ingest import ingest_samples as grid_samples
 from terrain_fixtures import GRID, friction, supplier_points, supplier_rings, table, terrain, terrain_cells
 
+try:
+    from ridgework.llm import queries as corpus
+except ImportError:
+    corpus = None
+
 ZOOM = 3
 BREAKS = stats.Classes(breaks=tuple(2.0 * i for i in range(225)))
 
@@ -430,8 +435,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     return {query.__name__: query for query in named} | {
         f"pyramid_{method}": resampled(method) for method in ("mean", "max", "min")
-    }
+    } | (corpus.queries() if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return terrain_oracle.oracle()
+    return terrain_oracle.oracle() | (corpus.oracle_sql() if corpus else {})
