@@ -188,10 +188,10 @@ def certify(measured: DataFrame, labels: DataFrame, stratum: str | None = "lang"
     each = counts.groupBy("stratum", "rule").agg(
         F.sum("count").alias("n"), F.collect_list(F.struct("level", "count")).alias("rows")
     ).withColumn("grid", grid[F.col("rule")])
-    lost = F.transform(
-        F.sequence(F.lit(1), F.size("grid")),
-        lambda level: F.aggregate("rows", F.lit(0).cast("long"), lambda s, row: s + F.when(row["level"] >= level, row["count"]).otherwise(0)),
-    )
+    # The cutoff at a place, counted from 1, rejects what reaches it and so every stricter one behind it.
+    lost = F.transform(F.sequence(F.lit(1), F.size("grid")), lambda place: F.aggregate(
+        "rows", F.lit(0).cast("long"), lambda s, row: s + F.when(row["level"] > F.size("grid") - place, row["count"]).otherwise(0)
+    ))
     tried = each.withColumn("lost", lost).withColumn("passed", F.transform(
         "lost", lambda k: binomial_at_most(k, F.col("n"), promise.risk / len(promise.rules)) <= promise.delta / max(tests, 1)
     ))
