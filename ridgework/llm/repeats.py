@@ -143,7 +143,8 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, core: int = CORE,
     if length < 2 * core:
         raise ValueError("a window must hold two cores at least")
     found = stage(anchors(docs, length, core), "anchors")
-    again = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Stored counts come to the join by a shuffle of their own, so that adaptive execution can split a hot core.
+    again = stage(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     met = stage(found.join(again, "core"), "anchors-met")
     contexts = stage(met.groupBy("core", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "at", "first", "last")).alias("from")
