@@ -40,7 +40,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(
         edges.select(F.col("v").alias("n"), F.col("u").alias("m"))
     )
-    least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("low", "n").alias("low"))
+    # Stored, so that the join shuffles both sides and adaptive execution can split a node with many neighbours.
+    least = stage(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("low", "n").alias("low")), "star-least")
     larger = both.where("m > n").join(least, "n")
     return larger.select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
 

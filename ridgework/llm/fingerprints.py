@@ -105,7 +105,8 @@ def near_prints(prints: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFra
     if not 0 <= bits <= 2:
         raise ValueError("crowded keys are resolved through midpoints, which reach two bits")
     keyed = prints.select("print").distinct().select("print", F.inline(range_keys(F.col("print"), bits)))
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("held")).where("held > 1")
+    # Stored counts come to the join by a shuffle of their own, so that adaptive execution can split a crowded key.
+    sizes = stage(keyed.groupBy("choice", "bits").agg(F.count("*").alias("held")).where("held > 1"), "print-key-sizes")
     met = stage(distance_table(keyed.join(sizes, ["choice", "bits"])), "print-keys")
 
     few = met.where(F.col("held") <= crowd)
