@@ -16,7 +16,7 @@ from ridgework.functions.geo import to_web_mercator as mercator
 from ridgework.functions.keys import cell_center as center, key_shift as shift, map_to_cell as to_cell, zorder_key as zkey
 from ridgework.functions.values import class_index as classify, is_data as has_data, is_positive, or_default as optional
 from ridgework.operators import (
-    costdistance as cost_ops, focal, masking, outline, pyramid as levels, render, stats, viewshed as sight,
+    travel_cost as cost_ops, focal, masking, outline, pyramid as levels, render, stats, viewshed as sight,
 )
 from ridgework.operators.tiling import tiles_to_cells
 from ridgework.plans import workflows
@@ -338,12 +338,12 @@ def touched_keys(spark, sf):
 
 # Cost distance
 
-def costdistance(spark, sf, max_cost=20000.0):
-    return rounded(cost_ops.costdistance(friction(spark, sf), supplier_points(spark, sf), max_cost), 4)
+def travel_cost(spark, sf, max_cost=20000.0):
+    return rounded(cost_ops.travel_cost(friction(spark, sf), supplier_points(spark, sf), max_cost), 4)
 
 
 def max_cost(spark, sf):
-    return costdistance(spark, sf, 7500.0)
+    return travel_cost(spark, sf, 7500.0)
 
 
 # Levels and outlines
@@ -399,9 +399,9 @@ def polygon_viewshed(spark, sf):
     return stored_levels(catalog, "craft")
 
 
-def costdistance_surface(spark, sf):
+def travel_cost_surface(spark, sf):
     catalog = stored_terrain(spark, sf)
-    workflows.costdistance_surface(catalog, "terrain", ZOOM, supplier_points(spark, sf))
+    workflows.travel_cost_surface(catalog, "terrain", ZOOM, supplier_points(spark, sf))
     return stored_levels(catalog, "cost-pyramid", 4)
 
 
@@ -429,9 +429,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         key_shift, zorder_key, is_data, class_index, or_default, filter_keys, mask_layer, histogram,
         histogram_approx, quantile_breaks, quantile_breaks_approx, layer_breaks, count_points, ensure_partitions, slope, boundary_points,
         boundary_points_across_tiles, collect_points, viewshed, viewshed_combine_debug, viewshed_combine_and,
-        viewshed_min_altitude, fov_cut, viewshed_absolute, viewshed_flat_earth, touched_keys, costdistance,
+        viewshed_min_altitude, fov_cut, viewshed_absolute, viewshed_flat_earth, touched_keys, travel_cost,
         max_cost, pyramid, rasterize_boundary, render_layer, render_tile, observer_viewshed, craft_viewshed,
-        polygon_viewshed, costdistance_surface, viewshed_terrain_prep, viewshed_debug,
+        polygon_viewshed, travel_cost_surface, viewshed_terrain_prep, viewshed_debug,
     ]
     return {query.__name__: query for query in named} | {
         f"pyramid_{method}": resampled(method) for method in ("mean", "max", "min")

@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from ridgework.operators.costdistance import costdistance
+from ridgework.operators.travel_cost import travel_cost
 from ridgework.operators.focal import slope
 from ridgework.operators.masking import mask_layer
 from ridgework.operators.pyramid import ensure_partitions, store_pyramid
@@ -23,7 +23,7 @@ pyramid      <input> <zoom> <output> <tile size>
 mask         <input> <output> <zoom> <geojson>
 copy         <input> <output> <zoom>
 slope        <input> <output> <zoom>
-costdistance <input> <output> <zoom> <point table> <max cost>
+travel_cost <input> <output> <zoom> <point table> <max cost>
 dump         <input> <zoom> <folder>
 histogram    <input> <zoom> <output> <output zoom>"""
 
@@ -54,10 +54,10 @@ def run_slope(catalog, source, target, zoom):
     catalog.write_layer(slope(catalog.read_layer(source, int(zoom))), target)
 
 
-def run_costdistance(catalog, source, target, zoom, points, max_cost):
+def run_travel_cost(catalog, source, target, zoom, points, max_cost):
     kind = "csv" if points.endswith(".csv") else "parquet"
     starts = read_points(catalog.spark, points, kind)
-    catalog.write_layer(costdistance(catalog.read_layer(source, int(zoom)), starts, float(max_cost)), target)
+    catalog.write_layer(travel_cost(catalog.read_layer(source, int(zoom)), starts, float(max_cost)), target)
 
 
 def run_dump(catalog, source, zoom, folder):
@@ -70,7 +70,7 @@ def run_histogram(catalog, source, zoom, target, target_zoom):
 
 COMMANDS = {
     "viewshed": run_viewshed, "pyramid": run_pyramid, "mask": run_mask, "copy": run_copy,
-    "slope": run_slope, "costdistance": run_costdistance, "dump": run_dump, "histogram": run_histogram,
+    "slope": run_slope, "travel_cost": run_travel_cost, "dump": run_dump, "histogram": run_histogram,
 }
 
 

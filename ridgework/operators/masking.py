@@ -9,7 +9,7 @@ from ridgework.functions.keys import tile_of
 from ridgework.grid import Grid
 from ridgework.layer import TILE_SCHEMA, Layer
 from ridgework.operators.arrow_tiles import column, members, numbers, slices, tile_batch, tile_block
-from ridgework.session import broadcastable, fits, only_keys, spread, stream_join
+from ridgework.session import broadcastable, fits, only_keys, spread, stage, stream_join
 from ridgework.sources.vectors import polygon_edges
 
 # Upper estimate of one span inside a tile's list.
@@ -25,9 +25,9 @@ def filter_keys(layer: Layer, keys: DataFrame) -> Layer:
 def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
     """Runs of cells ``col, row, line, start, stop`` (per tile line) whose middle is inside.
 
-    Even-odd rule over all rings. Every edge marks, on each cell row it crosses, the column left
+    Even-odd rule over all rings of one ``geom_id``; runs of several may overlap. Every edge marks, on each cell row it crosses, the column left
     of which it flips inside and outside. Flips are first reduced to one parity per row and
-    column, which bounds a row by the width of the grid whatever the number of edges, and then
+    column and geometry, which bounds a row by the width of the grid whatever the number of edges, and then
     paired along the row. The rows of one row of tiles are dealt to one task, so the runs can be
     gathered per tile without another shuffle.
     """
@@ -35,7 +35,7 @@ def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
     to_u = lambda x: (F.col(x) - F.lit(grid.xmin)) / F.lit(grid.res)
     to_v = lambda y: (F.lit(grid.ymax) - F.col(y)) / F.lit(grid.res)
     edges = polygon_edges(vertices).select(
-        to_u("ax").alias("ax"), to_v("ay").alias("ay"), to_u("bx").alias("bx"), to_v("by").alias("by")
+        "geom_id", to_u("ax").alias("ax"), to_v("ay").alias("ay"), to_u("bx").alias("bx"), to_v("by").alias("by")
     ).where(F.col("ay") != F.col("by"))
     # Row r is crossed when exactly one end lies below its middle line r + 0.5.
     first = F.ceil(F.least("ay", "by") - F.lit(0.5))
@@ -44,16 +44,16 @@ def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
     cut = (F.col("bx") - F.col("ax")) * (middle - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
     flips = (
         edges.where(first <= last)
-        .select("ax", "ay", "bx", "by", F.explode(F.sequence(first, last)).alias("r"))
-        .select("r", F.ceil(cut - F.lit(0.5)).alias("k"))
-        .groupBy("r", "k")
+        .select("geom_id", "ax", "ay", "bx", "by", F.explode(F.sequence(first, last)).alias("r"))
+        .select("geom_id", "r", F.ceil(cut - F.lit(0.5)).alias("k"))
+        .groupBy("geom_id", "r", "k")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") % 2 == 1)
         .select(
-            tile_of("r", grid).alias("row"), F.pmod("r", F.lit(ts)).cast("int").alias("line"), F.col("k").alias("start")
+            "geom_id", tile_of("r", grid).alias("row"), F.pmod("r", F.lit(ts)).cast("int").alias("line"), F.col("k").alias("start")
         )
     )
-    along = Window.partitionBy("row", "line").orderBy("start")
+    along = Window.partitionBy("row", "line", "geom_id").orderBy("start")
     runs = (
         spread(flips, ["row"])
         .withColumns({"stop": F.lead("start").over(along), "nth": F.row_number().over(along)})
@@ -71,7 +71,7 @@ def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
 
 
 def mask_layer(layer: Layer, vertices: DataFrame) -> Layer:
-    """Cells whose middle is outside the polygon become NoData; tiles left empty are dropped."""
+    """Cells whose middle is outside every area become NoData; tiles left empty are dropped."""
     ts = layer.grid.tile_size
 
     def cut(batches):
@@ -85,14 +85,15 @@ def mask_layer(layer: Layer, vertices: DataFrame) -> Layer:
             inside[numbers(column(batch, "whole")).astype(bool)] = True
             yield tile_batch(batch, np.where(inside, tile_block(batch, ts), np.nan))
 
-    # A tile covered on every line carries a flag in place of its spans.
-    covered = F.count_if((F.col("start") == 0) & (F.col("stop") == ts)) == ts
+    # A tile covered on every line carries a flag in place of its spans; areas that overlap may cover a line twice.
+    covered = F.size(F.collect_set(F.when((F.col("start") == 0) & (F.col("stop") == ts), F.col("line")))) == ts
     listed = F.collect_list(F.struct("line", "start", "stop"))
-    spans = (
+    spans = stage(
         inside_spans(vertices, layer.grid)
         .groupBy("col", "row")
         .agg(covered.alias("whole"), listed.alias("spans"))
-        .withColumn("spans", F.when(F.col("whole"), F.slice("spans", 1, 0)).otherwise(F.col("spans")))
+        .withColumn("spans", F.when(F.col("whole"), F.slice("spans", 1, 0)).otherwise(F.col("spans"))),
+        "spans",
     )
     around = spans.agg(
         F.min("col").alias("west"), F.max("col").alias("east"), F.min("row").alias("north"),

@@ -90,8 +90,8 @@ def store_pyramid(catalog, layer: Layer, name: str, to_zoom: int = 1, method: st
 def ensure_partitions(layer: Layer, least: int = 128) -> Layer:
     """Spread the tiles over at least ``least`` partitions.
 
-    A stored layer that already scans in enough partitions is left alone.
+    A layer that already has enough is left alone.
     """
-    if layer.stored and layer.tiles.rdd.getNumPartitions() >= least:
+    if layer.tiles.rdd.getNumPartitions() >= least:
         return layer
     return layer.with_tiles(layer.keyed.repartition(least, "col", "row"))

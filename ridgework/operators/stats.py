@@ -53,13 +53,20 @@ def exact_breaks(layer: Layer, n: int = CLASSES) -> tuple[float, ...]:
     be a stored one.
     """
     values = _values(layer)
-    span = values.agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).first()
+    finite = F.when(F.abs("z") < float("inf"), F.col("z"))
+    span = values.agg(
+        F.count("*").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"),
+        F.count_if(F.col("z") == float("-inf")).alias("under"), F.count_if(F.col("z") == float("inf")).alias("over"),
+    ).first()
     if not span.n:
         return ()
     ranks = [-(-i * span.n // n) for i in range(1, n + 1)]
-    settled: dict[int, float] = {}
+    # Infinities stand at the ends; the search between is over finite values.
+    settled = {rank: float("-inf") for rank in ranks if rank <= span.under}
+    settled |= {rank: float("inf") for rank in ranks if rank > span.n - span.over}
     # Open intervals as (lowest value, highest value, cells below), with the ranks inside each.
-    todo = {(span.low, span.high, 0): sorted(set(ranks))}
+    todo = {(span.low, span.high, span.under): sorted(set(ranks) - set(settled))}
+    todo = {key: inside for key, inside in todo.items() if inside}
     while todo:
         for (low, high, _), inside in todo.items():
             settled.update({rank: low for rank in inside if low == high})

@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ridgework.functions.keys import key_shift, map_to_cell, tile_of, zorder_of
+from ridgework.functions.keys import map_to_cell, tile_of, zorder_key
 from ridgework.grid import Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
-from ridgework.session import broadcastable, fits, only_keys, scratch_dir, spread, stage, stream_join
+from ridgework.session import broadcastable, fits, merge_join, only_keys, scratch_dir, spread, stage, stream_join
 from ridgework.sources.catalog import block_shift, z_ordered
 
 # While the search front lies in no more blocks than this, scans are narrowed to those blocks.
@@ -130,12 +130,12 @@ def _relax(grid: Grid, max_cost: float):
 def _front(mail: DataFrame, shift: int):
     """The blocks of tiles that have mail and the number of tiles and letters; None if many blocks."""
     boxes = mail.groupBy("tcol", "trow").agg(F.sum(F.size("letters")).alias("letters"))
-    found = boxes.groupBy(key_shift("tcol", shift // 2).alias("col"), key_shift("trow", shift // 2).alias("row")).agg(
+    found = boxes.groupBy(F.shiftright(zorder_key("tcol", "trow"), shift).alias("block")).agg(
         F.count("*").alias("tiles"), F.sum("letters").alias("letters")
     ).limit(MOST_BLOCKS + 1).collect()
     if len(found) > MOST_BLOCKS:
         return None, None, None
-    return sorted(zorder_of(row.col, row.row) for row in found), sum(row.tiles for row in found), sum(row.letters for row in found)
+    return sorted(row.block for row in found), sum(row.tiles for row in found), sum(row.letters for row in found)
 
 
 def _in_blocks(tiles: DataFrame, blocks, shift: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _in_blocks(tiles: DataFrame, blocks, shift: int) -> DataFrame:
     ]))
 
 
-def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
+def travel_cost(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
     """Cost of the cheapest eight-way path from any of ``points`` (``x, y``), up to ``max_cost``.
 
     A step costs the mean friction of its two cells times its length on the map. NoData and
@@ -169,7 +169,7 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
     shift = block_shift(grid)
     ground = friction.tiles if friction.stored else stage(z_ordered(friction), "friction")
     ground = ground.select("col", "row", "zkey", "cells")
-    run = scratch_dir(spark, "costdistance")
+    run = scratch_dir(spark, "travel_cost")
 
     c, r = map_to_cell("x", "y", grid)
     starts = points.select(c.alias("c"), r.alias("r")).distinct()
@@ -197,11 +197,11 @@ def costdistance(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
             few = active is not None and broadcastable(active, KEY_BYTES)
             known = _latest(spark, run, few, _addressees(mail), rounds)
             light = few and broadcastable(active, 8 * grid.cells_per_tile)
-            work = stream_join(work, known, ["col", "row"], "left", is_small=light)
+            work = merge_join(work, known, ["col", "row"], "left", is_small=light)
         else:
             work = work.withColumn("cost", F.lit(None).cast("array<double>"))
         work.mapInArrow(_relax(grid, max_cost), _ROUND).write.parquet(f"{run}/round={rounds}")
-        mail = spark.read.schema(_ROUND).parquet(f"{run}/round={rounds}").select(F.inline("mail")).where("tcol >= 0 and trow >= 0")
+        mail = spark.read.schema(_ROUND).parquet(f"{run}/round={rounds}").select(F.inline("mail"))
         rounds += 1
     if not rounds:
         return friction.with_tiles(friction.keyed.where(F.lit(False)))

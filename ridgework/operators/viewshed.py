@@ -24,7 +24,7 @@ from ridgework.functions.keys import index_in_tile, map_to_cell, tile_of
 from ridgework.grid import EARTH_RADIUS, Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
-from ridgework.session import broadcastable, checked_broadcast, only_keys, spread, stage, stream_join
+from ridgework.session import broadcastable, checked_broadcast, merge_join, only_keys, spread, stage, stream_join
 
 OPERATORS = ("OR", "AND", "DEBUG")
 HEIGHT_MODES = ("above_ground", "absolute")
@@ -325,7 +325,8 @@ def viewshed(
     ``OR`` gives 1 where any viewpoint sees the cell and ``AND`` where all do, else 0; ``DEBUG``
     gives the number that do. Cells no viewpoint reaches, and NoData cells, are NULL; tiles without
     any reached cell have no row. ``view_height`` counts from the ground, or is the height itself
-    with ``height_mode='absolute'``; a viewpoint above NoData ground is dropped in the first case.
+    with ``height_mode='absolute'``; a viewpoint without ground sees nothing in the first case, so
+    with ``AND`` no cell is seen by all.
     ``altitude`` is the height an object in each cell rises to, minus infinity meaning the ground.
     ``fov`` keeps directions whose cosine to ``angle`` (radians, counter-clockwise from east) is at
     least that much; -1 looks all round.
@@ -361,7 +362,7 @@ def viewshed(
         .groupBy(*unit)
         .agg(F.collect_list(F.struct("vp", "ray", "top")).alias("told"))
     )
-    informed = stream_join(units, told, unit, "left", is_small=False)
+    informed = merge_join(units, told, unit, "left", is_small=False)
     counts = _merge_salts(informed.mapInArrow(_sightings(*settings), _schema(unit, "cells array<double>")), salts)
 
     if operator == "DEBUG":
@@ -369,7 +370,7 @@ def viewshed(
     elif operator == "OR":
         value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n > 0).cast("double")))
     else:
-        everyone = float(seers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        everyone = float(located.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n >= F.lit(everyone)).cast("double")))
     return terrain.with_tiles(counts.select("col", "row", value.alias("cells")))
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, functions as F
 
 from ridgework.functions.keys import key_shift
-from ridgework.operators.costdistance import costdistance
+from ridgework.operators.travel_cost import travel_cost
 from ridgework.operators.focal import boundary_points, slope
 from ridgework.operators.masking import filter_keys
 from ridgework.operators.outline import rasterize_boundary
@@ -84,13 +84,13 @@ def polygon_viewshed(
     catalog.write_attribute(output, 0, "millis", _millis(started))
 
 
-def costdistance_surface(
+def travel_cost_surface(
     catalog: Catalog, elevation: str, zoom: int, points: DataFrame, max_cost: float = MAX_COST,
     slope_name: str = "slope", cost_name: str = "cost", pyramid_name: str = "cost-pyramid",
 ) -> None:
     """Slope as friction, cost distance over it, its histogram and its pyramid."""
     catalog.write_layer(slope(catalog.read_layer(elevation, zoom)), slope_name)
-    catalog.write_layer(costdistance(catalog.read_layer(slope_name, zoom), points, max_cost), cost_name)
+    catalog.write_layer(travel_cost(catalog.read_layer(slope_name, zoom), points, max_cost), cost_name)
     cost = catalog.read_layer(cost_name, zoom)
     store_histogram(catalog, cost, pyramid_name)
     store_pyramid(catalog, cost, pyramid_name)

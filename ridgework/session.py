@@ -43,8 +43,8 @@ def broadcastable(rows: int, row_bytes: int) -> bool:
 
 
 def fits(df: DataFrame, row_bytes: int) -> bool:
-    """Whether ``df`` is small enough to broadcast; counting stops just past the limit."""
-    return broadcastable(df.limit(BROADCAST_BYTES // row_bytes + 1).count(), row_bytes)
+    """Whether ``df`` is small enough to broadcast; every task sends one count."""
+    return broadcastable(df.count(), row_bytes)
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -80,3 +80,8 @@ def stream_join(big: DataFrame, small: DataFrame, on: list[str], how: str, is_sm
     """
     side = F.broadcast(small) if is_small else small.hint("shuffle_hash")
     return big.join(side, on, how)
+
+
+def merge_join(big: DataFrame, other: DataFrame, on: list[str], how: str, is_small: bool) -> DataFrame:
+    """Join two sides that may both be heavy: broadcast if counted small, else sorted, which can spill."""
+    return big.join(F.broadcast(other) if is_small else other.hint("merge"), on, how)

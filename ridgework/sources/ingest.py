@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ridgework.functions.geo import to_web_mercator
 from ridgework.functions.keys import cell_center, map_to_cell
+from ridgework.functions.values import is_data
 from ridgework.grid import Grid
 from ridgework.layer import Layer
 from ridgework.operators.tiling import cells_to_tiles
@@ -21,7 +22,7 @@ def nearest_samples(samples: DataFrame, grid: Grid) -> DataFrame:
     c, r = map_to_cell("x", "y", grid)
     cx, cy = cell_center("c", "r", grid)
     placed = (
-        samples.where(F.col("z").isNotNull())
+        samples.where(is_data("z"))
         .select("lon", "lat", "z", x.alias("x"), y.alias("y"))
         .withColumns({"c": c, "r": r})
         .where(F.col("c").isNotNull() & F.col("r").isNotNull())

@@ -19,10 +19,10 @@ _RINGS = "array<array<array<double>>>"
 
 
 def read_points(spark: SparkSession, path: str, source: str = "parquet") -> DataFrame:
-    """Start points from a Parquet or CSV point table."""
+    """Start points from a Parquet or CSV point table; text that is no number raises."""
     reader = spark.read.schema(POINTS)
     if source == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("mode", "FAILFAST")
     return reader.format(source).load(path)
 
 
@@ -34,11 +34,20 @@ def _first_area(geometries: Column) -> Column:
     return F.coalesce(of("MultiPolygon"), of("Polygon"))
 
 
+def _whole(parts: Column) -> Column:
+    """Whether nothing is missing at any level; what does not parse comes out as NULL."""
+    def every(values: Column, test) -> Column:
+        return values.isNotNull() & F.coalesce(F.forall(values, test), F.lit(False))
+
+    at = lambda vertex: vertex.isNotNull() & (F.size(vertex) >= 2) & every(vertex, lambda x: x.isNotNull())
+    return every(parts, lambda rings: every(rings, lambda ring: every(ring, at)))
+
+
 def parse_geojson(documents: DataFrame, text: str = "value", geom_id: str = "geom_id") -> DataFrame:
     """Vertex rows ``geom_id, part, ring, seq, x, y`` of the area geometry in each document.
 
     Accepts a bare geometry, a Feature or a FeatureCollection; one without a Polygon or
-    MultiPolygon raises.
+    MultiPolygon raises, and so do coordinates that are no numbers.
     """
     doc = F.from_json(text, _DOCUMENT)
     geometries = (
@@ -53,6 +62,8 @@ def parse_geojson(documents: DataFrame, text: str = "value", geom_id: str = "geo
     ).when(
         F.col("area.type") == "Polygon", F.array(F.from_json("area.coordinates", _RINGS))
     ).otherwise(problem.cast(f"array<{_RINGS}>"))
+    broken = F.raise_error(F.concat(F.lit("malformed coordinates in document "), F.col(geom_id).cast("string")))
+    parts = F.when(_whole(parts), parts).otherwise(broken.cast(f"array<{_RINGS}>"))
     return (
         area.select(geom_id, F.posexplode(parts).alias("part", "rings"))
         .select(geom_id, "part", F.posexplode("rings").alias("ring", "vertices"))

@@ -288,7 +288,7 @@ def oracle() -> dict[str, str]:
       select cast(c as int) c, cast(r as int) r, case when sum(vis) = (select count(*) from vps) then 1.0e0 else 0.0e0 end z from sight group by 1, 2"""
 
     # Cost distance
-    sql["costdistance"] = f"with recursive {T}, {FR}, {STARTS}, {cost_cte('fr', 'starts', 20000.0)} select cast(c as int) c, cast(r as int) r, round(cost, 4) z from cd"
+    sql["travel_cost"] = f"with recursive {T}, {FR}, {STARTS}, {cost_cte('fr', 'starts', 20000.0)} select cast(c as int) c, cast(r as int) r, round(cost, 4) z from cd"
     sql["max_cost"] = f"with recursive {T}, {FR}, {STARTS}, {cost_cte('fr', 'starts', 7500.0)} select cast(c as int) c, cast(r as int) r, round(cost, 4) z from cd"
 
     # Levels and outlines
@@ -321,7 +321,7 @@ def oracle() -> dict[str, str]:
       pvp0 as (select distinct cast(floor((x0 + (gc + 0.5e0) * sx) / 1000.0e0) as int) c, cast(floor((0.0e0 - (y1 - (gr + 0.5e0) * sy)) / 1000.0e0) as int) r from outline),
       pvp as (select row_number() over () vp, 1 n, c, r, 450.0e0 eye, 0.0e0 angle, -1.0e0 fov, cast('-inf' as double) altitude from pvp0),
       {sight_cte('pvp', 15, 15000.0)}, {observer_out}, {levels_sql('seen')}"""
-    sql["costdistance_surface"] = f"""with recursive {T}, {slope_cte()}, fs as (select c, r, z f from sl), {STARTS}, {cost_cte('fs', 'starts', 20000.0)},
+    sql["travel_cost_surface"] = f"""with recursive {T}, {slope_cte()}, fs as (select c, r, z f from sl), {STARTS}, {cost_cte('fs', 'starts', 20000.0)},
       cost as (select c, r, round(cost, 4) z from cd), {levels_sql('cost')}"""
     sql["viewshed_terrain_prep"] = sql["pyramid"]
     sql["viewshed_debug"] = f"""{near(sup)} select 'seen-' || (c // {TS}) || '-' || (r // {TS}) tile, (c + 0.5e0) * 1000.0e0 x, 0.0e0 - (r + 0.5e0) * 1000.0e0 y,

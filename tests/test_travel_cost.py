@@ -5,7 +5,7 @@ import pytest
 
 from grids import SMALL, array_of, layer_of, points_at, rough
 from ridgework import Grid
-from ridgework.operators.costdistance import costdistance
+from ridgework.operators.travel_cost import travel_cost
 
 
 def dijkstra(f, starts, max_cost, res):
@@ -38,7 +38,7 @@ STARTS = [(2, 3), (2, 3), (15, 12), (400, 3), (0, 0)]
 def test_equals_dijkstra(spark, max_cost):
     f = rough((18, 21), seed=3, holes=0.2)
     f[f > 80] *= -1
-    got = array_of(costdistance(layer_of(spark, f), points_at(spark, STARTS), max_cost), f.shape)
+    got = array_of(travel_cost(layer_of(spark, f), points_at(spark, STARTS), max_cost), f.shape)
     np.testing.assert_allclose(got, dijkstra(f, STARTS, max_cost, SMALL.res), rtol=1e-12)
 
 
@@ -47,33 +47,33 @@ def test_path_that_leaves_a_tile_and_returns(spark):
     f[0:4, 1] = np.nan
     f[4, 0:3] = [1.0, 50.0, 1.0]
     f[5, :] = np.nan
-    got = array_of(costdistance(layer_of(spark, f), points_at(spark, [(0, 0)]), 1e9), f.shape)
+    got = array_of(travel_cost(layer_of(spark, f), points_at(spark, [(0, 0)]), 1e9), f.shape)
     np.testing.assert_allclose(got, dijkstra(f, [(0, 0)], 1e9, SMALL.res))
 
 
 def test_when_neither_mail_nor_keys_fit_and_the_front_is_wide(spark, nothing_fits, monkeypatch):
-    monkeypatch.setattr("ridgework.operators.costdistance.MOST_BLOCKS", 0)
+    monkeypatch.setattr("ridgework.operators.travel_cost.MOST_BLOCKS", 0)
     f = rough((14, 13), seed=4, holes=0.1)
-    got = array_of(costdistance(layer_of(spark, f), points_at(spark, [(1, 1)]), 1e9), f.shape)
+    got = array_of(travel_cost(layer_of(spark, f), points_at(spark, [(1, 1)]), 1e9), f.shape)
     np.testing.assert_allclose(got, dijkstra(f, [(1, 1)], 1e9, SMALL.res), rtol=1e-12)
 
 
 def test_scans_narrowed_to_blocks(spark, monkeypatch):
     monkeypatch.setattr("ridgework.sources.catalog.BLOCK_BYTES", 8 * 16 * 2)
     f = rough((30, 30), seed=5, holes=0.1)
-    got = array_of(costdistance(layer_of(spark, f), points_at(spark, [(1, 1), (28, 3)]), 1e9), f.shape)
+    got = array_of(travel_cost(layer_of(spark, f), points_at(spark, [(1, 1), (28, 3)]), 1e9), f.shape)
     np.testing.assert_allclose(got, dijkstra(f, [(1, 1), (28, 3)], 1e9, SMALL.res), rtol=1e-12)
 
 
 def test_no_start_on_passable_ground(spark):
     f = rough((6, 6), seed=6)
-    assert costdistance(layer_of(spark, f), points_at(spark, [(90, 90)]), 10.0).tiles.count() == 0
-    assert costdistance(layer_of(spark, f), points_at(spark, []), 10.0).tiles.count() == 0
+    assert travel_cost(layer_of(spark, f), points_at(spark, [(90, 90)]), 10.0).tiles.count() == 0
+    assert travel_cost(layer_of(spark, f), points_at(spark, []), 10.0).tiles.count() == 0
 
 
 def test_result_does_not_depend_on_the_tiling(spark):
     f = rough((20, 20), seed=7)
     starts = points_at(spark, [(3, 3)])
-    a = costdistance(layer_of(spark, f), starts, 2000.0)
-    b = costdistance(layer_of(spark, f, Grid(32, 0.0, 0.0, 10.0)), starts, 2000.0)
+    a = travel_cost(layer_of(spark, f), starts, 2000.0)
+    b = travel_cost(layer_of(spark, f, Grid(32, 0.0, 0.0, 10.0)), starts, 2000.0)
     np.testing.assert_array_equal(array_of(a, f.shape), array_of(b, f.shape))

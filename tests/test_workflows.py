@@ -53,7 +53,7 @@ def test_polygon(spark, catalog):
 def test_cost_surface(spark, catalog):
     z = rough((16, 16), seed=41, holes=0)
     catalog.write_layer(layer_of(spark, z, GRID), "hills")
-    workflows.costdistance_surface(catalog, "hills", 3, points_at(spark, [(3, 3)], GRID))
+    workflows.travel_cost_surface(catalog, "hills", 3, points_at(spark, [(3, 3)], GRID))
     cost = array_of(catalog.read_layer("cost", 3), z.shape)
     assert cost[3, 3] == 0 and np.nanmax(cost) <= workflows.MAX_COST
     assert sum(b["y"] for b in catalog.read_attribute("cost-pyramid", 0, "histogram")) == np.isfinite(cost).sum()
@@ -67,7 +67,7 @@ def test_batch_commands(spark, catalog, tmp_path):
     run("viewshed", "hills", "seen", 3, 6000, "OR", 8500, -8500, 40, 0, -1, 0, 2500, -2500, 40, 0, -1, 0)
     run("slope", "hills", "slope", 3)
     spark.createDataFrame([(1, 3500.0, -3500.0)], "point_id bigint, x double, y double").write.parquet(str(tmp_path / "points"))
-    run("costdistance", "slope", "cost", 3, tmp_path / "points", 20000)
+    run("travel_cost", "slope", "cost", 3, tmp_path / "points", 20000)
     run("histogram", "cost", 3, "cost-pyramid", 0)
     run("pyramid", "cost", 3, "cost-pyramid", 4)
     run("copy", "hills", "hills-copy", 3)
