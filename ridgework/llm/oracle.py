@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
+# Base 32 digit i of a SHA-1: five bits of its hex digits, ten of which hold eight digits.
+WARC_CAPTURES = """
+with hashed as (
+    select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) h from pages
+), digested as (
+    select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, cast(1 + 10 * (i // 8) as int), 10))::bigint >> cast(35 - 5 * (i % 8) as int)) & 31)::int, 1
+    )), '') payload_digest
+    from hashed
+), ranked as (
+    select *, max(page_id) over (partition by payload_digest) first_id from digested
+)
+select page_id, cast(payload_bytes as bigint) payload_bytes, payload_digest,
+       case when first_id is null or page_id = first_id then 'response' else 'revisit' end record_type,
+       case when page_id is distinct from first_id then first_id end refers_to
+from ranked
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op7_warc_captures": WARC_CAPTURES}
