@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ridgework.session import scratch_dir
+from ridgework.session import scratch_dir, stage
 
 LINE = "\r\n"
 RECORD_END = "\r\n\r\n"
@@ -185,4 +185,5 @@ def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     """Write all pages to archives in shared scratch space, read them back and assemble the captures."""
     folder = scratch_dir(pages.sparkSession, "warc")
     write_archives(pages, folder)
-    return resolve(captures(read_records(pages.sparkSession, folder, payloads)))
+    # Assembly reads the records once per kind; stored, they are parsed once.
+    return resolve(captures(stage(read_records(pages.sparkSession, folder, payloads), "records")))
