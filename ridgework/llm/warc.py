@@ -3,7 +3,7 @@
 A page is three records: the request, the response (or a revisit of an equal payload archived under
 another page) and a metadata record; request and metadata name the response they go with in
 ``WARC-Concurrent-To``. Spark's text writer writes them, with the record separator as line end, so an
-archive can lie in any store Spark reaches; archives hold a bounded number of records.
+archive can lie in any store Spark reaches; archives hold a bounded number of records and are gzip files.
 
 Reading goes by each record's ``Content-Length``. Transactions are assembled by joining the three kinds of
 records on the identifiers, one nested row per capture.
@@ -19,6 +19,7 @@ without request or metadata has NULL there; an empty table writes an archive wit
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
         F.concat_ws(": ", F.lit("page_id"), F.col("page_id").cast("string")),
     )
     records = named.select(F.explode(F.array(request, main, about)).alias("record"))
-    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(folder)
+    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "gzip").text(folder)
 
 
 RECORD = "type string, record_id string, concurrent_to string, target string, digest string, length bigint, payload binary, fields string"
@@ -109,7 +110,7 @@ def read_records(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in split_records(content.as_buffer().to_pybytes()):
+                for headers, block in split_records(gzip.decompress(content.as_buffer())):
                     rows.append(_parsed(headers, block, payloads))
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_pylist(rows, schema=kind)
