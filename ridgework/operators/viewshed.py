@@ -325,8 +325,8 @@ def viewshed(
     ``OR`` gives 1 where any viewpoint sees the cell and ``AND`` where all do, else 0; ``DEBUG``
     gives the number that do. Cells no viewpoint reaches, and NoData cells, are NULL; tiles without
     any reached cell have no row. ``view_height`` counts from the ground, or is the height itself
-    with ``height_mode='absolute'``; a viewpoint without ground sees nothing in the first case, so
-    with ``AND`` no cell is seen by all.
+    with ``height_mode='absolute'``; a viewpoint off the layer or above NoData ground has
+    no height in the first case and is ignored, also when ``AND`` counts who is to see a cell.
     ``altitude`` is the height an object in each cell rises to, minus infinity meaning the ground.
     ``fov`` keeps directions whose cosine to ``angle`` (radians, counter-clockwise from east) is at
     least that much; -1 looks all round.
@@ -370,7 +370,7 @@ def viewshed(
     elif operator == "OR":
         value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n > 0).cast("double")))
     else:
-        everyone = float(located.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        everyone = float(seers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n >= F.lit(everyone)).cast("double")))
     return terrain.with_tiles(counts.select("col", "row", value.alias("cells")))
 
