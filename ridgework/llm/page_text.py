@@ -6,7 +6,10 @@ entropies over the host's pages: its texts are important if each appears on few
 if the sequences of its children vary. An inner node mixes its own presentation with the importance of
 the text below it, the more so the nearer the text. Branches of low importance go from every page of the
 host, and so do branches whose element says what they are (menus, footers, adverts, forms, ...). If a
-page has an article, only text within it is kept.
+page has an article, only text within it is kept; there, low importance removes only elements other than
+bare prose (a headline may well recur on near copies).
+
+Copies of a page say nothing about what is template, so equal pages of a host count once.
 
 The tree is built from counts: one row per host, path and text hash, then one per host and path, so a
 host that holds most of the pages is no hot key. Pages meet the low paths of their host through a
@@ -50,6 +53,9 @@ NOISE_WORDS = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES_P = BLOCKS - frozenset("html body caption dd dt legend li summary tbody td tfoot th thead tr".split()) | {"p"}
+# An article, or text elements without class all the way down from one.
+INSIDE = r"/(article|main)(\.[^/]*)?(/|$)"
+PROSE = r"/(article|main)(\.[^/]*)?(/(p|h[1-6]|hgroup|header|section|blockquote|pre|ul|ol|li|dl|dt|dd|figure|figcaption|table|caption|thead|tbody|tfoot|tr|td|th))*$"
 # What an opening element ends if it is still open, and what it may not look past.
 ENDED_BY = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir"))),
@@ -206,12 +212,12 @@ def _entropy_share(rows: DataFrame, value: str) -> DataFrame:
 def low_paths(parsed: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host, path, importance`` of the style tree's branches that go."""
     # A page counts once for a path and text, however often it repeats it.
-    texts = parsed.select("host", F.explode(F.array_distinct(F.transform(
-        "blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("value"))
-    ))).alias("b")).select("host", "b.*")
-    looks = parsed.select("host", F.explode(F.array_distinct(F.transform(
-        "inner", lambda e: F.struct(e["path"].alias("path"), F.xxhash64(e["children"]).alias("value"))
-    ))).alias("b")).select("host", "b.*")
+    hashed = parsed.select(
+        "host", F.xxhash64("blocks", "inner").alias("page"),
+        F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("value")))).alias("texts"),
+        F.array_distinct(F.transform("inner", lambda e: F.struct(e["path"].alias("path"), F.xxhash64(e["children"]).alias("value")))).alias("looks"),
+    ).dropDuplicates(["host", "page"])
+    texts, looks = (hashed.select("host", F.inline(name)) for name in ("texts", "looks"))
     # A text on n of m pages says 1 - log(n) / log(m); a node's text importance is the mean over its texts.
     seen = _entropy_share(texts, "value")
     content = seen.select("host", "path", "pages", F.when(
@@ -234,17 +240,21 @@ def low_paths(parsed: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGE
     mixed = weighted.join(shape, ["host", "path"], "left").withColumn(
         "importance", (1 - share) * F.coalesce("presentation", F.lit(1.0)) + share * F.col("below")
     )
-    return mixed.where((F.col("pages") >= least_pages) & (F.col("importance") < low)).select("host", "path", "importance")
+    low_ = (F.col("pages") >= least_pages) & (F.col("importance") < low) & ~F.col("path").rlike(PROSE)
+    return mixed.where(low_).select("host", "path", "importance")
 
 
 def main_text(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``page_id, url, text`` of every page; blocks joined by line ends."""
     parsed = stage(parsed_pages(pages), "pages")
-    gone = stage(low_paths(parsed, low, least_pages).groupBy("host").agg(F.collect_list("path").alias("gone")), "low-paths")
+    lists = [F.collect_list("path").alias("gone"), F.collect_list(F.when(F.col("path").rlike(INSIDE), F.col("path"))).alias("inside")]
+    gone = stage(low_paths(parsed, low, least_pages).groupBy("host").agg(*lists), "low-paths")
     joined = parsed.drop("inner").join(checked_broadcast(gone, 8192), "host", "left")
-    gone_ = F.coalesce("gone", F.array().cast("array<string>"))
+    nothing = F.array().cast("array<string>")
     article = F.exists("blocks", lambda b: b["main"])
+    # What holds an article stays, however little the rest of it says.
+    branches = F.when(article, F.coalesce("inside", nothing)).otherwise(F.coalesce("gone", nothing))
     kept = F.filter("blocks", lambda b: ~b["noise"] & (b["main"] | ~article) & ~F.exists(
-        gone_, lambda path: (b["path"] == path) | F.startswith(b["path"], F.concat(path, F.lit("/")))
+        branches, lambda path: (b["path"] == path) | F.startswith(b["path"], F.concat(path, F.lit("/")))
     ))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

@@ -71,3 +71,13 @@ def test_given_pages(spark):
         if page is not None and page < 900:
             inside = html[html.index("<article>"):html.index("</article>")]
             assert found[page] == text_of(inside)
+
+
+def test_copies_and_recurring_headlines_stay(spark):
+    same = "<body><article><h1>Title</h1><p>one</p><p>two</p></article><div class='k9'>foot</div></body>"
+    rows = [(i, "http://copies/", same, "x") for i in range(50)]
+    near = "<body><article><h1>Title</h1><div class='bar'>always</div><p>one</p><p>own {}</p></article></body>"
+    rows += [(100 + i, "http://near/", near.format(i), "x") for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in page_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i] for i in range(50)} == {"Title\none\ntwo"}
+    assert all(got[100 + i] == f"Title\none\nown {i}" for i in range(50))
