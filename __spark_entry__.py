@@ -393,7 +393,7 @@ def craft_viewshed(spark, sf):
 
 
 def polygon_viewshed(spark, sf):
-    area = ring_corners(spark, sf).where("ring = 0").selectExpr("geom_id", "part", "ring", "seq", "u * 0.008D x", "-v * 0.008D y")
+    area = ring_corners(spark, sf).selectExpr("geom_id", "part", "ring", "seq", "u * 0.008D x", "-v * 0.008D y")
     catalog = stored_terrain(spark, sf)
     workflows.polygon_viewshed(catalog, "terrain", area, 450.0, "craft", ZOOM, 15000.0)
     return stored_levels(catalog, "craft")

@@ -314,9 +314,9 @@ def oracle() -> dict[str, str]:
     sql["craft_viewshed"] = f"""with {T}, {TOP_CELL}, {observer_vp}, {sight_cte('ovp', 40, 40000.0)}, {observer_out}, {seen2},
       {boundary_cte('up_full')}, {craft_vps}, {second},
       seen_craft as (select c, r, cast(max(vis) as double) z from sight2 group by c, r), {levels_sql('seen_craft')}"""
-    area = f"""pv0 as (select i, x * 0.008e0 lon, -y * 0.008e0 lat from pv where ring = 0),
-      pm as (select i, {MERC_X} x, {MERC_Y} y from pv0),
-      ed as (select 0 g, a.x ax, a.y ay, b.x bx, b.y by_ from pm a join pm b on b.i = a.i + 1)"""
+    area = f"""pv0 as (select ring, i, x * 0.008e0 lon, -y * 0.008e0 lat from pv),
+      pm as (select ring, i, {MERC_X} x, {MERC_Y} y from pv0),
+      ed as (select 0 g, a.x ax, a.y ay, b.x bx, b.y by_ from pm a join pm b on b.ring = a.ring and b.i = a.i + 1)"""
     sql["polygon_viewshed"] = f"""with {T}, {HEIGHT}, {RING}, {area}, {outline_cte('ed')},
       pvp0 as (select distinct cast(floor((x0 + (gc + 0.5e0) * sx) / 1000.0e0) as int) c, cast(floor((0.0e0 - (y1 - (gr + 0.5e0) * sy)) / 1000.0e0) as int) r from outline),
       pvp as (select row_number() over () vp, 1 n, c, r, 450.0e0 eye, 0.0e0 angle, -1.0e0 fov, cast('-inf' as double) altitude from pvp0),
