@@ -8,8 +8,10 @@ import pytest
 from grids import array_of, layer_of, points_at, rough
 from ridgework import Grid
 from ridgework.__main__ import main
+from ridgework.operators.tiling import tiles_to_cells
 from ridgework.plans import workflows
 from ridgework.sources.catalog import Catalog
+from ridgework.sources.ingest import ingest_samples
 from ridgework.sources.vectors import parse_geojson
 
 GRID = Grid(4, 0.0, 0.0, 1000.0)
@@ -86,6 +88,29 @@ def test_batch_commands(spark, catalog, tmp_path):
     assert len(list((tmp_path / "dump").glob("tile=seen-*"))) > 0
 
 
+def test_job_commands(spark, catalog, tmp_path):
+    run = lambda *args: main([catalog.root, *map(str, args)], spark)
+    lines = ["lon,lat,z"] + [f"{0.02 + 0.04 * i},{-0.02 - 0.04 * j},{100 + i * j}" for i in range(12) for j in range(12)]
+    (tmp_path / "samples.csv").write_text("\n".join(lines))
+    run("ingest", tmp_path / "samples.csv", "loose", 6, 64)
+    samples = spark.read.csv(str(tmp_path / "samples.csv"), header=True, schema="lon double, lat double, z double")
+    stored = tiles_to_cells(catalog.read_layer("loose", 6)).collect()
+    assert sorted(stored) == sorted(tiles_to_cells(ingest_samples(samples, 6, 64)).collect()) and stored
+    catalog.write_layer(layer_of(spark, rough((16, 16), seed=7), GRID), "hills")
+    run("observer", "hills", "watch", 3, 8500, -8500, 40, 6000)
+    run("craft", "hills", "watch", "craft", 3, 6000, 1)
+    corners = [[0.0, 0.0], [0.06, 0.0], [0.06, -0.06], [0.0, -0.06], [0.0, 0.0]]
+    (tmp_path / "area.json").write_text(json.dumps({"type": "Polygon", "coordinates": [corners]}))
+    run("polygon", "hills", "area", 3, tmp_path / "area.json", 900, 4000)
+    assert [catalog.layer_done(name) for name in ("watch", "craft", "area")] == ["ok"] * 3
+    run("prepare", "hills", 3)
+    spark.createDataFrame([(1, 3500.0, -3500.0)], "point_id bigint, x double, y double").write.parquet(str(tmp_path / "points"))
+    run("surface", "hills", 3, tmp_path / "points", 20000)
+    for name in ("hills-pyramid", "cost-pyramid"):
+        assert catalog.read_attribute(name, 0, "histogram")
+        assert catalog.read_layer(name, 1).tiles.count() > 0
+
+
 def test_unknown_command_is_refused(spark, catalog):
     with pytest.raises(SystemExit):
         main([catalog.root, "erode", "hills"], spark)
