@@ -204,23 +204,31 @@ def _entropy_share(rows: DataFrame, value: str) -> DataFrame:
     """Per host and path: on how many pages, and how spread out the values are over the pages."""
     each = rows.groupBy("host", "path", value).agg(F.count("*").alias("n"))
     return each.groupBy("host", "path").agg(
-        F.sum("n").alias("pages"), F.avg(F.log("n")).alias("mean_log"),
-        (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"),
+        F.sum("n").alias("pages"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"),
     )
 
 
 def low_paths(parsed: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host, path, importance`` of the style tree's branches that go."""
     # A page counts once for a path and text, however often it repeats it.
+    # NULL stands for any text: its count is the number of pages that have the path.
     hashed = parsed.select(
         "host", F.xxhash64("blocks", "inner").alias("page"),
-        F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("value")))).alias("texts"),
+        F.array_distinct(F.concat(
+            F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("value"))),
+            F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.lit(None).cast("bigint").alias("value"))),
+        )).alias("texts"),
         F.array_distinct(F.transform("inner", lambda e: F.struct(e["path"].alias("path"), F.xxhash64(e["children"]).alias("value")))).alias("looks"),
     ).dropDuplicates(["host", "page"])
     texts, looks = (hashed.select("host", F.inline(name)) for name in ("texts", "looks"))
-    # A text on n of m pages says 1 - log(n) / log(m); a node's text importance is the mean over its texts.
-    seen = _entropy_share(texts, "value")
-    content = seen.select("host", "path", "pages", F.when(
+    # A text on n of the m pages that have its path says 1 - log(n) / log(m), however many texts a page has
+    # there; a node's text importance is the mean over its texts.
+    is_text = F.col("value").isNotNull()
+    seen = texts.groupBy("host", "path", "value").agg(F.count("*").alias("n")).groupBy("host", "path").agg(
+        F.max(F.when(~is_text, F.col("n"))).alias("pages"), F.sum(F.when(is_text, F.col("n"))).alias("weight"),
+        F.avg(F.when(is_text, F.log("n"))).alias("mean_log"),
+    )
+    content = seen.select("host", "path", "pages", "weight", F.when(
         F.col("pages") > 1, 1 - F.col("mean_log") / F.log("pages")
     ).otherwise(1.0).alias("importance"))
     shape = _entropy_share(looks, "value").select("host", "path", F.when(
@@ -231,9 +239,9 @@ def low_paths(parsed: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGE
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(
         F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")).alias("branch"), (F.size(steps) - n).alias("levels")
     ))
-    named = content.where("path <> ''").select("host", "pages", "importance", F.inline(above))
+    named = content.where("path <> ''").select("host", "pages", "weight", "importance", F.inline(above))
     weighted = named.groupBy("host", F.col("branch").alias("path")).agg(
-        (F.sum(F.col("pages") * F.col("importance")) / F.sum("pages")).alias("below"),
+        (F.sum(F.col("weight") * F.col("importance")) / F.sum("weight")).alias("below"),
         F.max("pages").alias("pages"), F.avg("levels").alias("levels"),
     )
     share = F.pow(F.lit(DAMPING), F.col("levels"))

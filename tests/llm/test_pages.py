@@ -81,3 +81,15 @@ def test_copies_and_recurring_headlines_stay(spark):
     got = {r["page_id"]: r["text"] for r in page_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert {got[i] for i in range(50)} == {"Title\none\ntwo"}
     assert all(got[100 + i] == f"Title\none\nown {i}" for i in range(50))
+
+
+def test_menus_of_many_items_go(spark):
+    """Items that all share one path are template if every page has them, however many there are."""
+    rows = []
+    for pages, items in ((10, 4), (40, 5), (100, 6), (300, 10)):
+        menu = "<div><ul>" + "".join(f"<li>item {chr(97 + i)}</li>" for i in range(items)) + "</ul></div>"
+        foot = "<div class='low'>" + "".join(f"<p>foot {chr(97 + i)}</p>" for i in range(items)) + "</div>"
+        rows += [(len(rows) + i, f"http://h{pages}/{i}", f"{menu}<section><p>own {i}</p><p>more {i * 7}</p></section>{foot}", "x") for i in range(pages)]
+    got = {r["page_id"]: (r["url"], r["text"]) for r in page_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(text == f"own {(i := int(url.rsplit('/', 1)[1]))}\nmore {i * 7}" for url, text in got.values())
+    assert len(got) == 450
