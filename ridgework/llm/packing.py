@@ -29,6 +29,8 @@ from ridgework.session import stage
 
 CAPACITY = 2048
 SEPARATOR = 0
+# The one added token of byte_bpe_50k.json; it is found before anything else is split.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 # A bin with no more free places than this is nearly full.
 SLACK = 2
 FAN_IN = 8
@@ -49,9 +51,10 @@ def public_vocabulary() -> str:
 def encoder(vocabulary: str):
     """A function from text to its ids as packed little-endian unsigned 32-bit numbers.
 
-    The vocabulary is read in its rank form, which gives the ids of the JSON form. Tokens never span
-    the place before a single space between two words, so ids are remembered per word; texts with other
-    white space there are encoded in one go.
+    The vocabulary is read in its rank form, which gives the ids of the JSON form; the JSON form's added
+    token is not in it, so texts are split there first. Tokens never span the place before a single space
+    between two words, so ids are remembered per word; texts with other white space there are encoded in
+    one go.
     """
     import public_tokenizers
     import tiktoken
@@ -74,12 +77,17 @@ def encoder(vocabulary: str):
 
     known = Known()
 
-    def encode(text: str) -> bytes:
+    def encode_part(text: str) -> bytes:
         words = text.split(" ")
         if len(words) < 2 or any(not w or w[0].isspace() or w[-1].isspace() for w in words):
             return ids(text)
         return ids(words[0]) + b"".join(map(known.__getitem__, words[1:]))
 
+    added = array.array("I", [ADDED_ID]).tobytes()
+
+    def encode(text: str) -> bytes:
+        return added.join(map(encode_part, text.split(ADDED))) if ADDED in text else encode_part(text)
+
     return encode
 
 

@@ -48,3 +48,10 @@ def test_rounds_of_merging(spark, documents, monkeypatch):
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([6, 5, 4, 3], 10) == [(0, 0), (1, 0), (0, 6), (1, 5)]
     assert packing.best_fit([], 10) == []
+
+
+def test_added_token(spark):
+    """The added token of the JSON form is one id wherever it stands."""
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n<|endoftext|>", "a  <|endoftext|>\n b c", "<|endoftext|", "un<|endoftext|>der way <|ENDOFTEXT|>"]
+    texts = list(enumerate(odd + [" word<|endoftext|> more" * 900]))
+    check(packing.packed(spark.createDataFrame(texts, "doc_id bigint, text string"), capacity=512).collect(), texts, 512)
