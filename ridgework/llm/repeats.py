@@ -20,13 +20,19 @@ A core with more than ``CROWD`` different contexts is settled without gathering
 is counted by a 128-bit hash over all tasks. Texts are told apart by a 128-bit hash, so copies share
 one result and one set of stretches.
 
+Repeated runs of words are found the same way: every word is written as ``CODE`` letters, so a run of
+``WORDS`` words is a string of a fixed length whatever the words' own lengths. What a window shares beyond
+whole words is left out again.
+
 Defined cases: a NULL text is empty; texts under ``length`` bytes keep everything; repeated rows repeat
 each other; matches never cross documents; other columns pass through.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +44,9 @@ from ridgework.session import stage
 
 LENGTH = 400
 CORE = 100
+# Runs of more than fifty words, in words, and the bytes that stand for a word there.
+WORDS = 51
+CODE = 8
 CROWD = 20_000
 RUN_ROWS = 20_000
 PART_ROWS = 20_000
@@ -318,6 +327,45 @@ def counted_stretches(contexts: DataFrame, length: int) -> DataFrame:
     return marked.join(again, "window").select("tid", "lo", (F.col("lo") + length).alias("hi"))
 
 
+def coded_words(text: str | None) -> str:
+    """Every word as eight letters, so that runs of words are strings of fixed length."""
+    return "".join(base64.b64encode(hashlib.blake2b(word, digest_size=6).digest()).decode() for word in (text or "").encode().split())
+
+
+def repeated_words(docs: DataFrame, words: int = WORDS, core: int = CORE, crowd: int = CROWD) -> DataFrame:
+    """``tid, stretches``: the runs of at least ``words`` words that occur again, as byte offsets of the texts.
+
+    Words are what ASCII white space parts; the white space between them does not count.
+    """
+
+    @F.arrow_udf("string")
+    def coded(texts: pa.Array) -> pa.Array:
+        return pa.array([coded_words(t.as_py()) for t in texts], pa.string())
+
+    plain = docs.select("doc_id", text_id("text").alias("tid"), "text")
+    # Stored once; the whole text is told by its own hash, as texts of the same words may differ in white space.
+    inner = stage(plain.select("doc_id", "tid", coded("text").alias("text")), "coded-words")
+    found = repeated_stretches(inner.select("doc_id", "text"), CODE * words, core, crowd)
+    known = inner.select("tid", text_id("text").alias("cid")).distinct()
+    runs = stage(known.join(found.select(F.col("tid").alias("cid"), "stretches"), "cid").select("tid", "stretches"), "word-runs")
+
+    def located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found_ in zip(batch.column(1), batch.column(2)):
+                spans = [m.span() for m in re.finditer(rb"[^\x09-\x0D\x20]+", text.as_py().encode())]
+                # A window may begin or end within a code; only whole words count.
+                whole = [(-(-s["lo"] // CODE), s["hi"] // CODE) for s in found_.as_py()]
+                out.append([{"lo": spans[lo][0], "hi": spans[hi - 1][1]} for lo, hi in whole if hi - lo >= words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["tid", "stretches"])
+
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    texts = plain.select("tid", "text").join(runs.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    return texts.join(runs, "tid").select("tid", "text", "stretches").mapInArrow(
+        located, "tid binary, stretches array<struct<lo: int, hi: int>>"
+    )
+
+
 def cut_out(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int]:
     """What is left of ``data`` and the number of maximal runs removed."""
     kept, at, runs = [], 0, 0
@@ -332,9 +380,15 @@ def cut_out(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with a struct column ``__kept``: ``bytes`` left, ``n_bytes``, ``n_removed``, ``n_spans``, ``sha256``."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, words: int | None = None) -> DataFrame:
+    """``docs`` with a struct column ``__kept``: ``bytes`` left, ``n_bytes``, ``n_removed``, ``n_spans``, ``sha256``.
+
+    With ``words``, runs of at least so many words that occur again go as well.
+    """
     stretches = stage(repeated_stretches(docs, length, core, crowd), "stretches")
+    if words:
+        both = stretches.unionByName(repeated_words(docs, words, core, crowd))
+        stretches = stage(both.groupBy("tid").agg(F.flatten(F.collect_list("stretches")).alias("stretches")), "stretches")
     joined = docs.withColumn("__tid", text_id("text")).join(stretches, F.col("__tid") == stretches["tid"], "left")
     kind = "struct<bytes: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint, sha256: string>"
 
@@ -353,12 +407,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, cro
     return joined.select(*columns, kept(docs["text"], stretches["stretches"]).alias("__kept"))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated bytes cut from their text and ``n_chars`` counted anew.
+def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """The documents with repeated bytes (and runs of ``words``) cut from their text and ``n_chars`` counted anew.
 
     A character of which a part was cut goes whole; a NULL text stays NULL.
     """
-    cut = without_repeats(docs, length)
+    cut = without_repeats(docs, length, words=words)
 
     @F.arrow_udf("string")
     def decoded(data: pa.Array) -> pa.Array:

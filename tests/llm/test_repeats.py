@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+import corpus_pipeline
 from ridgework.llm import repeats
 from ridgework.llm.suffixes import common_prefix, front_code, front_decode, merge
 
@@ -72,3 +73,26 @@ def test_many_contexts_agree_with_pairs():
         pairs = [(common_prefix(before[i], before[j]), common_prefix(rows[i][0], rows[j][0])) for j in range(m) if j != i]
         good = [(left, right) for left, right in pairs if left + right >= length]
         assert (many[0][i], many[1][i]) == (max((a for a, _ in good), default=0), max((b for _, b in good), default=0))
+
+
+def test_stage_cuts_short_passages_of_51_words(spark):
+    """Planted runs of 51 words, under 400 bytes, go from every document; runs of 50 stay."""
+    random.seed(6)
+    fresh = lambda n: " ".join(f"{random.choice('abc')}{random.randrange(10**5)}" for _ in range(n))
+    long_, short, within = fresh(51), fresh(50), fresh(60)
+    assert len(long_.encode()) < 400
+    texts = [f"{fresh(30)} {long_} {fresh(20 + i)}" for i in range(4)] + [f"{fresh(30)} {short} {fresh(20)}" for _ in range(4)]
+    texts += [long_, f"é {long_.replace(' ', chr(10))} ü", f"{within} {fresh(9)} {within}", f"{long_[:-1]}", "w " * 49, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+
+    lists = [(t or "").split() for t in texts]
+    seen = {}
+    for words in lists:
+        for i in range(len(words) - 50):
+            seen[tuple(words[i:i + 51])] = seen.get(tuple(words[i:i + 51]), 0) + 1
+    for i, words in enumerate(lists):
+        gone = {j for k in range(len(words) - 50) if seen[tuple(words[k:k + 51])] > 1 for j in range(k, k + 51)}
+        left = [w for j, w in enumerate(words) if j not in gone]
+        assert (got[i] or "").split() == left
+    assert got[4] == texts[4] and got[8] == "" and got[13] is None
