@@ -30,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ridgework.llm.components import components
-from ridgework.session import stage
+from ridgework.session import checked_broadcast, stage
 
 SHINGLE = 3
 SEED = 42
@@ -142,10 +142,10 @@ def midpoint_links(prints: DataFrame, bits: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
     """``doc_id, print, component_id`` for every row; links join fingerprints within ``bits``."""
     rows = stage(fingerprints(docs), "fingerprints")
-    # Rows of one doc_id are one node even when their texts differ.
-    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min("print").alias("a"), F.max("print").alias("top"), F.collect_set("print").alias("all")
-    ).where("a <> top").select("a", F.explode("all").alias("b")).where("a <> b")
+    # Rows of one doc_id are one node even when their texts differ: each print links to the least of its doc_id.
+    ids = stage(rows.where("doc_id is not null").distinct(), "prints-of-ids")
+    least = ids.groupBy("doc_id").agg(F.min("print").alias("a"), F.max("print").alias("top")).where("a <> top").select("doc_id", "a")
+    shared = ids.join(stage(least, "ids-least"), "doc_id").where("print <> a").select("a", F.col("print").alias("b"))
     grouped = components(near_prints(rows, bits).unionByName(shared))
     named = rows.groupBy("print").agg(F.min("doc_id").alias("least")).join(
         grouped.select(F.col("node").alias("print"), F.col("component").alias("root")), "print", "left"
@@ -156,14 +156,17 @@ def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:
-    """Of each component the document that gives it its name; of repeated ``doc_id``s one row.
+    """Of each component the document that gives it its name.
 
-    Rows without ``doc_id`` are kept: nothing can name them.
+    Equal rows of that ``doc_id`` become one; rows that differ in any column stay, as nothing says which
+    of them is the document. Rows without ``doc_id`` are kept: nothing can name them.
     """
-    found = near_duplicates(docs, bits)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    kept = docs.join(heads, docs["doc_id"] == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, bits).where("doc_id = component_id")
+    heads = stage(found.groupBy(F.col("doc_id").alias("__head_id")).agg((F.count("*") > 1).alias("__again_id")), "heads")
+    kept = docs.join(checked_broadcast(heads, 32), docs["doc_id"] == F.col("__head_id"))
+    once, again = (kept.where(test).select(*[docs[name] for name in docs.columns]) for test in ("not __again_id", "__again_id"))
+    told_by = [field.name for field in docs.schema if not isinstance(field.dataType, T.MapType)]
+    return once.unionByName(again.dropDuplicates(told_by)).unionByName(docs.where("doc_id is null"))
 
 
 def print_hex(print_: Column) -> Column:

@@ -92,3 +92,38 @@ def quality_counts(text):
 
 def binomial_at_most(k, n, p):
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def cut(texts, length, width):
+    """Texts without repeated strings of ``length`` bytes and repeated runs of ``width`` words, and how many were cut."""
+    data = [(t or "").encode() for t in texts]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    seen = collections.Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
+    found = [[d[a:b] for a, b in s] for d, s in zip(data, spans)]
+    runs = collections.Counter(tuple(w[i:i + width]) for w in found for i in range(len(w) - width + 1))
+    out = []
+    for d, s, w in zip(data, spans, found):
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        for i in range(len(w) - width + 1):
+            if runs[tuple(w[i:i + width])] > 1:
+                lo, hi = s[i][0], s[i + width - 1][1]
+                gone[lo:hi] = b"\1" * (hi - lo)
+        out.append(bytes(c for c, g in zip(d, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def word_runs(texts, width):
+    """Per text: maximal runs of words covered by ``width``-word strings that start anywhere else too, and the words in them."""
+    found = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = collections.Counter(tuple(w[i:i + width]) for w in found for i in range(len(w) - width + 1))
+    out = []
+    for w in found:
+        gone = bytearray(len(w))
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i:i + width])] > 1:
+                gone[i:i + width] = b"\1" * width
+        out.append((len(re.findall(b"\1+", bytes(gone))), sum(gone)))
+    return out

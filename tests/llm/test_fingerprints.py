@@ -52,3 +52,10 @@ def test_keep_one(spark, documents):
     found = fingerprints.near_duplicates(documents).where(F.col("doc_id").isNotNull())
     assert sorted(i for i in ids if i is not None) == sorted(r[0] for r in found.select("component_id").distinct().collect())
     assert ids.count(None) == 1
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    a, b, c = ("%s one two three four five six seven %s" % (x, x * 3) for x in "abc")
+    rows = [(5, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (8, c, "x"), (8, c, "y"), (None, c, "x")]
+    kept = fingerprints.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, __head string"))
+    assert sorted((r[0] or 0, r[1], r[2]) for r in kept.collect()) == sorted([(5, a, "x"), (5, b, "x"), (8, c, "x"), (8, c, "y"), (0, c, "x")])
