@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgework.llm import contamination, copies, packing, quality, repeats
+from ridgework.llm import contamination, fingerprints, packing, quality, repeats
 from ridgework.llm.tables import table
 from ridgework.session import stage
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the least ``doc_id`` stays."""
-    return copies.keep_one(docs)
+    """Of each group of documents linked by fingerprints (three-word shingles, at most two bits) that with the least ``doc_id`` stays."""
+    return fingerprints.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
