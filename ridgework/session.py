@@ -35,7 +35,20 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to shared scratch space and read it back, which also cuts its lineage."""
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Free the scratch tables behind frames that ``stage`` returned.
+
+    Only for tables whose every reader has been stored itself: nothing that is still to run, or
+    could have to run again, may read them.
+    """
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcastable(rows: int, row_bytes: int) -> bool:
