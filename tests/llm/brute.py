@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 import xxhash
 
@@ -127,3 +128,67 @@ def word_runs(texts, width):
                 gone[i:i + width] = b"\1" * width
         out.append((len(re.findall(b"\1+", bytes(gone))), sum(gone)))
     return out
+
+
+def prefix_nodes(rows, group=20, heads=4):
+    """``rows``: (conv_id, turn, role, text); the result rows of the prefix operator, sorted."""
+    turns = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            code = hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            turns[conv].append((turn is not None, turn, code, role, text))
+    for own in turns.values():
+        own.sort(key=lambda t: (t[0], t[1] or 0, t[2]))
+    rebuilt = {}
+    for conv, own in turns.items():
+        h = zlib.crc32(str(conv).encode()) % heads
+        rebuilt[conv] = [t[3:] for t in turns.get(conv - int(math.fmod(conv, group)), [])[:h] + own[h:]]
+    members = collections.defaultdict(list)
+    for conv, seq in rebuilt.items():
+        for d in range(len(seq) + 1):
+            members[tuple(seq[:d])].append(conv)
+    children = collections.defaultdict(set)
+    for node in members:
+        if node:
+            children[node[:-1]].add(node)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for node in members:
+        spared = (len(members[node]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += spared
+    out = []
+    for node, own in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in own if len(rebuilt[c]) == len(node)))
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(own), len(node), parent, len(own), len(children[node]), leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def shingle_set(text, size):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
+    width = min(size, len(found))
+    return {tuple(found[i:i + width]) for i in range(len(found) - width + 1)} if found else set()
+
+
+def alike_heads(rows, hundredths=85, size=3):
+    """``rows``: (id, text); the least id of each row's component, linked by resemblance or by an equal id."""
+    sets = [shingle_set(text, size) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if a and sets[j] and (same or 100 * len(a & sets[j]) >= hundredths * len(a | sets[j])):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[find(i)] = min(name, least.get(find(i), name))
+    return [(name, len(s), least.get(find(i)) if s else name) for i, ((name, _), s) in enumerate(zip(rows, sets))]
