@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridgework.llm import contamination, fingerprints, language, licences, oracle, packing, page_text, quality, repeats, tool_calls, warc
+from ridgework.llm import (
+    contamination, fingerprints, language, licences, odd_sketches, oracle, packing, page_text, prefix_trie, quality, repeats, tool_calls, warc,
+    whitening,
+)
 from ridgework.llm.tables import table
 
 # What the implied tools take; one row per parameter.
@@ -71,6 +74,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketches.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_tool_call_linking, op2_residual_packing, op3_compression_language, op4_suffix_dedup, op5_licence_scan,
-        op6_decontamination, op7_warc_captures, op8_style_tree, op9_quality_rules, op10_simhash_near_dedup, pipeline,
+        op6_decontamination, op7_warc_captures, op8_style_tree, op9_quality_rules, op10_simhash_near_dedup,
+        op11_whitening, op12_odd_sketches, op13_prefix_trie, pipeline,
     ]
     return {query.__name__: query for query in named}
 
