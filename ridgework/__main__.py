@@ -47,10 +47,7 @@ def run_viewshed(catalog, source, target, zoom, max_distance, operator, *points)
 
 
 def run_pyramid(catalog, source, zoom, target, size):
-    layer = catalog.read_layer(source, int(zoom))
-    if layer.grid.tile_size != int(size):
-        raise ValueError(f"{source} has tiles of {layer.grid.tile_size}, not {size}")
-    store_pyramid(catalog, ensure_partitions(layer), target)
+    store_pyramid(catalog, ensure_partitions(catalog.read_layer(source, int(zoom))), target, tile_size=int(size))
 
 
 def run_mask(catalog, source, target, zoom, geojson):

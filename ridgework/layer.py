@@ -17,16 +17,18 @@ class Layer:
     """``tiles`` has one row per tile key: ``col, row, cells`` (see ``TILE_SCHEMA``).
 
     ``stored`` says that ``tiles`` reads straight from Parquet with a ``zkey`` column, so an
-    operator that scans it many times need not write its own copy first.
+    operator that scans it many times need not write its own copy first. Stored tiles lie in one
+    partition folder per ``block``, which is ``zkey`` without its low ``block_bits`` bits.
     """
 
     tiles: DataFrame
     grid: Grid
     zoom: int = 0
     stored: bool = False
+    block_bits: int = 0
 
     def with_tiles(self, tiles: DataFrame) -> "Layer":
-        return replace(self, tiles=tiles, stored=False)
+        return replace(self, tiles=tiles, stored=False, block_bits=0)
 
     @property
     def keyed(self) -> DataFrame:

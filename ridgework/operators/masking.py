@@ -9,7 +9,8 @@ from ridgework.functions.keys import tile_of
 from ridgework.grid import Grid
 from ridgework.layer import TILE_SCHEMA, Layer
 from ridgework.operators.arrow_tiles import column, members, numbers, slices, tile_batch, tile_block
-from ridgework.session import broadcastable, fits, only_keys, spread, stage, stream_join
+from ridgework.operators.pruning import at_keys
+from ridgework.session import broadcastable, spread, stage, stream_join
 from ridgework.sources.vectors import polygon_edges
 
 # Upper estimate of one span inside a tile's list.
@@ -18,8 +19,7 @@ SPAN_BYTES = 64
 
 def filter_keys(layer: Layer, keys: DataFrame) -> Layer:
     """Tiles whose key is among ``keys`` (``col, row``)."""
-    wanted = keys.select("col", "row").distinct()
-    return layer.with_tiles(stream_join(layer.keyed, wanted, ["col", "row"], "left_semi", fits(wanted, row_bytes=32)))
+    return layer.with_tiles(at_keys(layer, keys))
 
 
 def inside_spans(vertices: DataFrame, grid: Grid) -> DataFrame:
@@ -101,11 +101,7 @@ def mask_layer(layer: Layer, vertices: DataFrame) -> Layer:
     ).first()
     if not around.tiles:
         return layer.with_tiles(layer.keyed.where(F.lit(False)))
-    near = layer.keyed.where(
-        F.col("col").between(around.west, around.east) & F.col("row").between(around.north, around.south)
-    )
     small = broadcastable(around.tiles + around.n, SPAN_BYTES)
-    if not small:
-        near = only_keys(near, spans.select("col", "row"), ["col", "row"])
+    near = at_keys(layer, spans, (around.west, around.north, around.east, around.south))
     masked = stream_join(near, spans, ["col", "row"], "inner", small).mapInArrow(cut, TILE_SCHEMA)
     return layer.with_tiles(masked.where(F.exists("cells", lambda z: z.isNotNull())))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,6 +57,47 @@ def tiles_to_cells(layer: Layer, keep_nodata: bool = False) -> DataFrame:
     return cells if keep_nodata else cells.where(F.col("z").isNotNull())
 
 
+def retile(layer: Layer, tile_size: int) -> Layer:
+    """The same cells in tiles of another size.
+
+    Tiles are cut where they lie into sub-tiles, whose side is the greatest that divides both sizes, and
+    only sub-tiles with data are shuffled, once, to the tiles they belong to.
+    """
+    old, grid = layer.grid.tile_size, replace(layer.grid, tile_size=tile_size)
+    if old == tile_size:
+        return layer
+    side = math.gcd(old, tile_size)
+    cuts, joins = old // side, tile_size // side
+
+    def cut(batches):
+        for batch in slices(batches, old * old):
+            parts = tile_block(batch, old).reshape(batch.num_rows, cuts, side, cuts, side).transpose(0, 1, 3, 2, 4).reshape(-1, side * side)
+            kept = np.flatnonzero(~np.isnan(parts).all(axis=1))
+            tile, place = np.divmod(kept, cuts * cuts)
+            col, row = (numbers(column(batch, name))[tile] * cuts for name in ("col", "row"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((col + place % cuts).astype(np.int32)), pa.array((row + place // cuts).astype(np.int32)), list_array(parts[kept])],
+                ["col", "row", "cells"],
+            )
+
+    def join(batches):
+        for batch in slices(batches, tile_size * tile_size):
+            owner, parts = members(column(batch, "parts"))
+            block = np.full((batch.num_rows, joins, joins, side, side), np.nan)
+            values = numbers(parts.field("cells").flatten()).reshape(-1, side, side)
+            block[owner, numbers(parts.field("down")), numbers(parts.field("along"))] = values
+            whole = block.transpose(0, 1, 3, 2, 4).reshape(batch.num_rows, tile_size, tile_size)
+            yield pa.RecordBatch.from_arrays([column(batch, "col"), column(batch, "row"), list_array(whole)], ["col", "row", "cells"])
+
+    small = layer.keyed.mapInArrow(cut, TILE_SCHEMA)
+    if joins == 1:
+        return Layer(small, grid, layer.zoom)
+    part = F.struct(F.pmod("row", F.lit(joins)).alias("down"), F.pmod("col", F.lit(joins)).alias("along"), "cells")
+    owner = [F.floor(F.col(name) / F.lit(float(joins))).cast("int").alias(name) for name in ("col", "row")]
+    gathered = small.select(part.alias("part"), *owner).groupBy("col", "row").agg(F.collect_list("part").alias("parts"))
+    return Layer(gathered.mapInArrow(join, TILE_SCHEMA), grid, layer.zoom)
+
+
 def _edge_row(r: int, ts: int) -> Column:
     return F.slice("cells", r * ts + 1, ts)
 

@@ -2,61 +2,73 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ridgework.functions.keys import map_to_cell, tile_of, zorder_key
 from ridgework.grid import Grid
-from ridgework.layer import Layer
-from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
-from ridgework.session import broadcastable, fits, merge_join, only_keys, scratch_dir, spread, stage, stream_join
+from ridgework.layer import TILE_SCHEMA, Layer
+from ridgework.operators.arrow_tiles import column, list_array, numbers, slices
+from ridgework.session import broadcastable, drop_folder, fits, merge_join, scratch_dir, spread, stage, stream_join
 from ridgework.sources.catalog import block_shift, z_ordered
 
-# While the search front lies in no more blocks than this, scans are narrowed to those blocks.
-MOST_BLOCKS = 512
+# Cells of a block that one task settles at once; about 8 MB each of friction and cost.
+SETTLE_CELLS = 1 << 20
+# Folders of a level of the history that are merged into one of the next.
+FAN = 4
 MAIL_BYTES = 40
 KEY_BYTES = 32
+_BLOCK = ["hc", "hr"]
 
-# A round's output: the settled tile and, per tile alongside, the rim cells it should hear of.
-_ROUND = (
-    "col int, row int, cells array<double>, "
-    "mail array<struct<tcol: int, trow: int, letters: array<struct<c: int, r: int, cost: double, f: double>>>>"
-)
+# A round's output: the settled block and, per block alongside, the rim cells it should hear of.
+_MAIL = "array<struct<hc: int, hr: int, letters: array<struct<c: int, r: int, cost: double, f: double>>>>"
+_ROUND = f"hc int, hr int, cost array<double>, mail {_MAIL}"
 _DIAGONAL = 1.4142135623730951
 # Width of the frame around a tile: one cell for the neighbours' rims and one nobody enters.
 _FRAME = 2
+# Width of a bucket of costs, in steps over mean friction.
+_BUCKET_STEPS = 2.0
 
 
 def _spread(friction, cost, sources, res, max_cost):
     """Lower ``cost`` in place from the flat positions ``sources`` until nothing improves.
 
-    ``friction`` and ``cost`` are framed tiles; the frame sends but never receives.
+    ``friction`` and ``cost`` are framed blocks; the frame sends but never receives. Cells wait in buckets of
+    cost: those within a typical step of the cheapest one waiting go first, together, so that few
+    cells are lowered again later.
     """
     width = friction.shape[1]
     f, best = friction.ravel(), cost.ravel()
     enter = np.zeros(friction.shape, dtype=bool)
     enter[_FRAME:-_FRAME, _FRAME:-_FRAME] = friction[_FRAME:-_FRAME, _FRAME:-_FRAME] >= 0
     enter = enter.ravel()
+    passable = f[enter]
+    bucket = _BUCKET_STEPS * res * float(np.mean(passable)) if len(passable) else 0.0
     steps = [(dy * width + dx, _DIAGONAL if dx and dy else 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
-    while len(sources):
-        improved = np.zeros(best.shape, dtype=bool)
+    waits = np.zeros(best.shape, dtype=bool)
+    waits[sources] = True
+    while True:
+        sources = np.flatnonzero(waits)
+        if not len(sources):
+            return
+        offered = best[sources]
+        sources = sources[offered <= offered.min() + bucket]
+        waits[sources] = False
         for offset, length in steps:
             target = sources + offset
             reached = best[sources] + (f[sources] + f[target]) / 2.0 * length * res
             better = enter[target] & (reached < best[target]) & (reached <= max_cost)
-            best[target[better]] = reached[better]
-            improved[target[better]] = True
-        sources = np.flatnonzero(improved)
+            lowered = target[better]
+            best[lowered] = reached[better]
+            waits[lowered] = True
 
 
-def _relax(grid: Grid, max_cost: float):
-    """Kernel of one round: settle each tile with the mail it got, and write to its neighbours."""
-    ts = grid.tile_size
-    core = slice(_FRAME, _FRAME + ts)
-    rims = {-1: [0], 0: list(range(ts)), 1: [ts - 1]}
+def _relax(grid: Grid, levels: int, max_cost: float):
+    """Kernel of one round: settle each block with the mail it got, and write to the blocks alongside."""
+    ts, wide = grid.tile_size, grid.tile_size << levels
+    core = slice(_FRAME, _FRAME + wide)
+    rims = {-1: [0], 0: list(range(wide)), 1: [wide - 1]}
 
     def outgoing(col, row, lower, cost, friction):
         for dy in (-1, 0, 1):
@@ -68,15 +80,15 @@ def _relax(grid: Grid, max_cost: float):
                 sent = lower[r, c]
                 r, c = r[sent], c[sent]
                 if len(r):
-                    yield (col + dx, row + dy), (col * ts + c, row * ts + r, cost[r, c], friction[r, c])
+                    yield (col + dx, row + dy), (col * wide + c, row * wide + r, cost[r, c], friction[r, c])
 
     def lists(lengths, values):
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
 
     def post(sent):
-        """The ``mail`` column from, per tile, its ``(address, letters)`` pairs."""
-        addresses = np.array([to for tile in sent for to, _ in tile], dtype=np.int32).reshape(-1, 2)
-        parts = [letters for tile in sent for _, letters in tile]
+        """The ``mail`` column from, per block, its ``(address, letters)`` pairs."""
+        addresses = np.array([to for block in sent for to, _ in block], dtype=np.int32).reshape(-1, 2)
+        parts = [letters for block in sent for _, letters in block]
         flat = [np.concatenate(values) for values in zip(*parts)] if parts else [np.empty(0)] * 4
         letters = pa.StructArray.from_arrays(
             [pa.array(a.astype(t)) for a, t in zip(flat, [np.int32, np.int32, np.float64, np.float64])],
@@ -84,31 +96,41 @@ def _relax(grid: Grid, max_cost: float):
         )
         mail = pa.StructArray.from_arrays(
             [pa.array(addresses[:, 0]), pa.array(addresses[:, 1]), lists([len(part[0]) for part in parts], letters)],
-            ["tcol", "trow", "letters"],
+            ["hc", "hr", "letters"],
         )
-        return lists([len(tile) for tile in sent], mail)
+        return lists([len(block) for block in sent], mail)
+
+    def laid_out(tiles, hc, hr):
+        """The friction of a block from the list of its tiles."""
+        block = np.full((wide, wide), np.nan)
+        cells = numbers(tiles.field("cells").flatten()).reshape(-1, ts, ts)
+        for col, row, z in zip(numbers(tiles.field("col")), numbers(tiles.field("row")), cells):
+            down, along = (int(row) - (hr << levels)) * ts, (int(col) - (hc << levels)) * ts
+            block[down:down + ts, along:along + ts] = z
+        return block
 
     def kernel(batches):
-        for batch in slices(batches, ts * ts):
-            blocks, mails, known = tile_block(batch, ts), column(batch, "mail"), column(batch, "cost")
+        for batch in slices(batches, wide * wide):
+            tiles, mails, known = column(batch, "tiles"), column(batch, "mail"), column(batch, "cost")
             kept, costs, sent = [], [], []
-            for i, (col, row) in enumerate(zip(column(batch, "col").to_pylist(), column(batch, "row").to_pylist())):
-                friction = np.full((ts + 2 * _FRAME,) * 2, np.nan)
+            for i, (col, row) in enumerate(zip(column(batch, "hc").to_pylist(), column(batch, "hr").to_pylist())):
+                friction = np.full((wide + 2 * _FRAME,) * 2, np.nan)
                 cost = np.full(friction.shape, np.inf)
-                friction[core, core] = blocks[i]
+                friction[core, core] = laid_out(tiles[i].values, col, row)
                 if known[i].is_valid:
-                    old = numbers(known[i].values).reshape(ts, ts)
+                    old = numbers(known[i].values).reshape(wide, wide)
                     cost[core, core] = np.where(np.isnan(old), np.inf, old)
                 before = cost[core, core].copy()
                 mail = mails[i].values
-                c = numbers(mail.field("c")) - col * ts + _FRAME
-                r = numbers(mail.field("r")) - row * ts + _FRAME
+                c = numbers(mail.field("c")) - col * wide + _FRAME
+                r = numbers(mail.field("r")) - row * wide + _FRAME
                 at = r.astype(np.int64) * friction.shape[1] + c
                 offered, f = numbers(mail.field("cost")), numbers(mail.field("f"))
                 foreign = ~np.isnan(f)
                 friction.ravel()[at[foreign]] = f[foreign]
                 use = (offered < cost.ravel()[at]) & (friction.ravel()[at] >= 0) & (offered <= max_cost)
-                cost.ravel()[at[use]] = offered[use]
+                # Several blocks may offer one cell a cost.
+                np.minimum.at(cost.ravel(), at[use], offered[use])
                 _spread(friction, cost, at[use], grid.res, max_cost)
                 after = cost[core, core]
                 lower = after < before
@@ -116,41 +138,99 @@ def _relax(grid: Grid, max_cost: float):
                     continue
                 kept.append(i)
                 costs.append(np.where(np.isinf(after), np.nan, after))
-                sent.append(list(outgoing(col, row, lower & (after < max_cost), after, blocks[i])))
+                sent.append(list(outgoing(col, row, lower & (after < max_cost), after, friction[core, core])))
             if kept:
                 rows = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "col").take(rows), column(batch, "row").take(rows),
-                     list_array(np.stack(costs)), post(sent)],
-                    ["col", "row", "cells", "mail"],
+                    [column(batch, "hc").take(rows), column(batch, "hr").take(rows), list_array(np.stack(costs)), post(sent)],
+                    ["hc", "hr", "cost", "mail"],
                 )
     return kernel
 
 
-def _front(mail: DataFrame, shift: int):
-    """The blocks of tiles that have mail and the number of tiles and letters; None if many blocks."""
-    boxes = mail.groupBy("tcol", "trow").agg(F.sum(F.size("letters")).alias("letters"))
-    found = boxes.groupBy(F.shiftright(zorder_key("tcol", "trow"), shift).alias("block")).agg(
-        F.count("*").alias("tiles"), F.sum("letters").alias("letters")
-    ).limit(MOST_BLOCKS + 1).collect()
-    if len(found) > MOST_BLOCKS:
-        return None, None, None
-    return sorted(row.block for row in found), sum(row.tiles for row in found), sum(row.letters for row in found)
-
-
-def _in_blocks(tiles: DataFrame, blocks, shift: int) -> DataFrame:
-    """Narrow a scan ordered by ``zkey`` to runs of blocks; Parquet statistics skip the rest."""
-    if blocks is None:
-        return tiles
-    runs = []
-    for block in blocks:
-        if runs and runs[-1][1] == block - 1:
-            runs[-1][1] = block
-        else:
-            runs.append([block, block])
-    return tiles.where(reduce(lambda a, b: a | b, [
-        F.col("zkey").between(low << shift, ((high + 1) << shift) - 1) for low, high in runs
-    ]))
+def _tiles_of_blocks(grid: Grid, levels: int):
+    """Kernel: the tiles of settled blocks, those without a reached cell left out."""
+    ts, side = grid.tile_size, 1 << levels
+
+    def kernel(batches):
+        for batch in slices(batches, (ts << levels) ** 2):
+            flat = numbers(column(batch, "cost").flatten())
+            block = flat.reshape(batch.num_rows, side, ts, side, ts).transpose(0, 1, 3, 2, 4).reshape(-1, ts * ts)
+            kept = np.flatnonzero(~np.isnan(block).all(axis=1))
+            owner, place = np.divmod(kept, side * side)
+            col, row = ((numbers(column(batch, name))[owner].astype(np.int64) << levels) for name in ("hc", "hr"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((col + place % side).astype(np.int32)), pa.array((row + place // side).astype(np.int32)), list_array(block[kept])],
+                ["col", "row", "cells"],
+            )
+    return kernel
+
+
+class History:
+    """The settled blocks of all rounds, as a log that is merged while it grows.
+
+    Every round appends a folder. Once a level holds ``FAN`` older folders they become one of the next
+    level, which keeps of every block its last state; so the folders to look a block up in, and
+    the keys read for it, do not grow with the number of rounds.
+    """
+
+    def __init__(self, spark, run: str):
+        self.spark, self.run, self.made = spark, run, 0
+        self.levels: list[list[int]] = [[]]
+
+    def append(self, settled: DataFrame) -> DataFrame:
+        """Store a round and give it back as stored."""
+        age = self._store(settled.select("hc", "hr", "cost", "mail"), 0)
+        for level, ages in enumerate(self.levels):
+            # The newest folder still holds mail to be read.
+            older = [a for a in ages if a != age]
+            if len(older) >= FAN:
+                merged = self._last(self._read(older), older).withColumn("mail", F.lit(None).cast(_MAIL))
+                self._store(merged.select("hc", "hr", "cost", "mail"), level + 1)
+                self.levels[level] = [a for a in ages if a not in older]
+                for a in older:
+                    drop_folder(self.spark, f"{self.run}/age={a}")
+        return self._read([age])
+
+    def _store(self, rows: DataFrame, level: int) -> int:
+        age, self.made = self.made, self.made + 1
+        rows.write.parquet(f"{self.run}/age={age}")
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(age)
+        return age
+
+    def _read(self, ages: list[int]) -> DataFrame:
+        paths = [f"{self.run}/age={age}" for age in ages]
+        return self.spark.read.schema(f"{_ROUND}, age int").option("basePath", self.run).parquet(*paths)
+
+    def _last(self, rows: DataFrame, ages: list[int], keys: DataFrame | None = None, few: bool = False) -> DataFrame:
+        """``hc, hr, cost`` of each block, or of those in ``keys``, from the last folder that has it.
+
+        Found from the keys alone; costs are read only in folders that are some block's last. A folder of a
+        higher level is older than all of lower ones, whatever its number.
+        """
+        order = {age: i for i, age in enumerate(a for level in reversed(self.levels) for a in level)}
+        rank = F.create_map(*[F.lit(v) for age in ages for v in (age, order[age])])[F.col("age")]
+        last = rows.select("hc", "hr", "age", rank.alias("rank"))
+        if keys is not None:
+            last = stream_join(last, keys, _BLOCK, "left_semi", few)
+        last = stage(last.groupBy(*_BLOCK).agg(F.max_by("age", "rank").alias("age")), "last")
+        needed = [row.age for row in last.select("age").distinct().collect()]
+        costs = rows.where(F.col("age").isin(needed)).select(*_BLOCK, "age", "cost")
+        return stream_join(costs, last, [*_BLOCK, "age"], "inner", fits(last, KEY_BYTES)).drop("age")
+
+    def last(self, keys: DataFrame | None = None, few: bool = False) -> DataFrame:
+        ages = [age for level in self.levels for age in level]
+        return self._last(self._read(ages), ages, keys, few)
+
+
+def settle_levels(grid: Grid, bits: int) -> int:
+    """Block sides are ``2 ** levels`` tiles: the most that keeps to ``SETTLE_CELLS`` and within a stored block."""
+    levels = 0
+    while (grid.tile_size << (levels + 1)) ** 2 <= SETTLE_CELLS and 2 * (levels + 1) <= bits:
+        levels += 1
+    return levels
 
 
 def travel_cost(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
@@ -159,81 +239,52 @@ def travel_cost(friction: Layer, points: DataFrame, max_cost: float) -> Layer:
     A step costs the mean friction of its two cells times its length on the map. NoData and
     negative friction cannot be entered, and a start there is dropped. Cells not reached are NULL.
 
-    Runs in rounds. In each, tiles that got mail settle completely and post the rim cells that
-    became cheaper to the tiles alongside; the search ends when no mail is left. A round reads and
-    writes only the tiles on the search front, and each is a Parquet folder in the shared scratch
-    space, so a lost executor never repeats an earlier round.
+    Runs in rounds over square blocks of tiles. In each, blocks that got mail settle completely, in a task each, and post
+    the rim cells that became cheaper to the blocks alongside; the search ends when no mail is left, so rounds count the
+    blocks a path crosses, not its tiles. A round reads the tiles of blocks that got mail alone, by their folders; what a round
+    settled is a Parquet folder in the shared scratch space, so a lost executor never repeats an earlier round.
     """
-    spark = friction.tiles.sparkSession
-    grid = friction.grid
-    shift = block_shift(grid)
-    ground = friction.tiles if friction.stored else stage(z_ordered(friction), "friction")
-    ground = ground.select("col", "row", "zkey", "cells")
-    run = scratch_dir(spark, "travel_cost")
+    spark, grid = friction.tiles.sparkSession, friction.grid
+    bits = friction.block_bits if friction.stored else block_shift(grid)
+    if friction.stored:
+        ground = friction.tiles
+    else:
+        ground = stage(z_ordered(friction, bits).select("col", "row", "zkey", "cells", "block"), "friction", by=("block",))
+    levels = settle_levels(grid, bits)
+    home = [F.shiftright(name, levels).alias(block) for name, block in zip(("col", "row"), _BLOCK)]
+    history = History(spark, scratch_dir(spark, "travel_cost"))
 
     c, r = map_to_cell("x", "y", grid)
     starts = points.select(c.alias("c"), r.alias("r")).distinct()
     begin = F.struct("c", "r", F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("f"))
-    mail = stage(starts.select(
-        tile_of("c", grid).alias("tcol"), tile_of("r", grid).alias("trow"), F.array(begin).alias("letters"),
-    ), "starts")
+    at = [F.shiftright(tile_of(name, grid), levels).alias(block) for name, block in zip("cr", _BLOCK)]
+    mail = stage(starts.select(*at, F.array(begin).alias("letters")), "starts")
 
     rounds = 0
     while True:
-        blocks, active, letters = _front(mail, shift)
-        if active == 0:
+        # Any tile of a block tells the stored block around it.
+        corner = zorder_key(F.shiftleft("hc", levels), F.shiftleft("hr", levels))
+        boxes = stage(mail.groupBy(*_BLOCK).agg(F.sum(F.size("letters")).alias("letters")).withColumn(
+            "block", F.shiftright(corner, bits)), "blocks")
+        front = boxes.agg(
+            F.count("*").alias("n"), F.sum("letters").alias("letters"), F.min("block").alias("lo"), F.max("block").alias("hi")).first()
+        if not front.n:
             break
-        small = active is not None and broadcastable(letters, MAIL_BYTES)
-        inbox = mail.groupBy(F.col("tcol").alias("col"), F.col("trow").alias("row")).agg(
-            F.flatten(F.collect_list("letters")).alias("mail")
-        )
-        near = _in_blocks(ground, blocks, shift).select("col", "row", "cells")
-        if small:
-            work = spread(stream_join(near, inbox, ["col", "row"], "inner", is_small=True), ["col", "row"], active)
-        else:
-            near = spread(only_keys(near, _addressees(mail), ["col", "row"]), ["col", "row"])
-            work = stream_join(near, inbox, ["col", "row"], "inner", is_small=False)
+        among = F.col("block").between(front.lo, front.hi)
+        keys = boxes.where(among).select("block", *_BLOCK)
+        few = broadcastable(front.n, KEY_BYTES)
+        near = ground.where(among).select("block", *home, "col", "row", "cells")
+        near = spread(stream_join(near, keys, ["block", *_BLOCK], "left_semi", few), _BLOCK, front.n)
+        blocks = near.groupBy(*_BLOCK).agg(F.collect_list(F.struct("col", "row", "cells")).alias("tiles"))
+        inbox = mail.groupBy(*_BLOCK).agg(F.flatten(F.collect_list("letters")).alias("mail"))
+        work = stream_join(blocks, inbox, _BLOCK, "inner", broadcastable(front.letters, MAIL_BYTES))
         if rounds:
-            few = active is not None and broadcastable(active, KEY_BYTES)
-            known = _latest(spark, run, few, _addressees(mail), rounds)
-            light = few and broadcastable(active, 8 * grid.cells_per_tile)
-            work = merge_join(work, known, ["col", "row"], "left", is_small=light)
+            light = broadcastable(front.n, 8 * (grid.tile_size << levels) ** 2)
+            work = merge_join(work, history.last(keys.select(*_BLOCK), few), _BLOCK, "left", is_small=light)
         else:
             work = work.withColumn("cost", F.lit(None).cast("array<double>"))
-        work.mapInArrow(_relax(grid, max_cost), _ROUND).write.parquet(f"{run}/round={rounds}")
-        mail = spark.read.schema(_ROUND).parquet(f"{run}/round={rounds}").select(F.inline("mail"))
+        mail = history.append(work.mapInArrow(_relax(grid, levels, max_cost), _ROUND)).select(F.inline("mail"))
         rounds += 1
     if not rounds:
         return friction.with_tiles(friction.keyed.where(F.lit(False)))
-    cost = _latest(spark, run, _few_tiles(spark, run)).select("col", "row", F.col("cost").alias("cells"))
-    return friction.with_tiles(cost)
-
-
-def _few_tiles(spark, run: str) -> bool:
-    return fits(spark.read.schema(_ROUND).parquet(run).select("col", "row").distinct(), KEY_BYTES)
-
-
-def _addressees(mail: DataFrame) -> DataFrame:
-    return mail.select(F.col("tcol").alias("col"), F.col("trow").alias("row")).distinct()
-
-
-def _latest(spark, run: str, few: bool, keys: DataFrame | None = None, rounds: int = 0) -> DataFrame:
-    """``col, row, cost`` of each tile, or of those in ``keys``, from the last round that changed it.
-
-    ``few`` says that the tiles asked for were counted small enough to broadcast their keys, and
-    ``rounds`` how many rounds there are to pick from, if picking is worth a look.
-
-    The last round is found from the keys alone. Cost arrays are then read only in the rounds that
-    are some tile's last: while the search front moves outward those are the most recent ones, so
-    a round does not read the whole history again.
-    """
-    written = spark.read.schema(f"{_ROUND}, round int").parquet(run)
-    last = written.select("col", "row", "round")
-    if keys is not None:
-        last = stream_join(last, keys, ["col", "row"], "left_semi", few)
-    last = last.groupBy("col", "row").agg(F.max("round").alias("round"))
-    if rounds > 1:
-        needed = [row["round"] for row in last.select("round").distinct().collect()]
-        written = written.where(F.col("round").isin(needed)) if needed else written.where(F.lit(False))
-    costs = written.select("col", "row", "round", F.col("cells").alias("cost"))
-    return stream_join(costs, last, ["col", "row", "round"], "inner", few).drop("round")
+    return friction.with_tiles(history.last().mapInArrow(_tiles_of_blocks(grid, levels), TILE_SCHEMA))

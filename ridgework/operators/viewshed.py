@@ -24,7 +24,8 @@ from ridgework.functions.keys import index_in_tile, map_to_cell, tile_of
 from ridgework.grid import EARTH_RADIUS, Grid
 from ridgework.layer import Layer
 from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
-from ridgework.session import broadcastable, checked_broadcast, merge_join, only_keys, spread, stage, stream_join
+from ridgework.operators.pruning import at_keys
+from ridgework.session import broadcastable, checked_broadcast, fits, merge_join, spread, stage, stream_join
 
 OPERATORS = ("OR", "AND", "DEBUG")
 HEIGHT_MODES = ("above_ground", "absolute")
@@ -40,38 +41,34 @@ FAN_IN = 64
 VIEWPOINT_BYTES = 160
 
 _TILE = ["col", "row"]
-_UNIT = [*_TILE, "salt"]
-_SEEN_FROM = ("vp", "c", "r", "eye", "n", "angle", "fov", "altitude")
+_SEEN_FROM = ("vp", "c", "r", "eye", "n", "angle", "fov", "altitude", "far", "reach")
+_VIEW = ("view_height", "angle", "fov", "altitude", "far")
 
 
 def _schema(unit: list[str], rest: str) -> str:
-    return ", ".join([f"{name} int" for name in unit] + [rest])
+    return ", ".join([f"{name} bigint" for name in unit] + [rest])
 
 
 def reach_in_cells(max_distance: float, grid: Grid) -> int:
     return int(math.floor(max_distance / grid.res))
 
 
-def _locate(viewpoints: DataFrame, grid: Grid) -> DataFrame:
+def _locate(viewpoints: DataFrame, grid: Grid, of: list[str]) -> DataFrame:
     """Viewpoints by cell; equal ones become one row with their number ``n``."""
     c, r = map_to_cell("x", "y", grid)
-    return (
-        viewpoints.select(c.alias("c"), r.alias("r"), "view_height", "angle", "fov", "altitude")
-        .groupBy("c", "r", "view_height", "angle", "fov", "altitude")
-        .agg(F.count("*").alias("n"))
-    )
+    by = [*of, "c", "r", *_VIEW]
+    located = viewpoints.select(*of, c.alias("c"), r.alias("r"), *_VIEW).groupBy(*by).agg(F.count("*").alias("n"))
+    return located.withColumn("reach", F.floor(F.col("far") / F.lit(grid.res)).cast("int"))
 
 
-def _near(tiles: DataFrame, box, margin: int, grid: Grid) -> DataFrame:
-    """Tiles within ``margin`` cells of the box around all viewpoints; reaches the Parquet scan."""
-    ts = grid.tile_size
-    return tiles.where(
-        F.col("col").between((box.west - margin) // ts, (box.east + margin) // ts)
-        & F.col("row").between((box.north - margin) // ts, (box.south + margin) // ts)
-    )
+def _near(terrain: Layer, keys: DataFrame, box, margin: int) -> DataFrame:
+    """Tiles at ``keys``, which lie within ``margin`` cells of the box around all viewpoints; reaches the scan's folders."""
+    ts = terrain.grid.tile_size
+    around = ((box.west - margin) // ts, (box.north - margin) // ts, (box.east + margin) // ts, (box.south + margin) // ts)
+    return at_keys(terrain, keys, around)
 
 
-def _with_eye(located: DataFrame, terrain: Layer, box, height_mode: str) -> DataFrame:
+def _with_eye(located: DataFrame, terrain: Layer, box, height_mode: str, of: list[str]) -> DataFrame:
     """Adds ``eye``, the height rays start from, and a row number ``vp``.
 
     The ground is looked up once per cell, of which a tile holds a bounded number, and then joined
@@ -83,22 +80,22 @@ def _with_eye(located: DataFrame, terrain: Layer, box, height_mode: str) -> Data
     else:
         small = broadcastable(box.rows, VIEWPOINT_BYTES)
         spots = located.select("c", "r").distinct().withColumns({"col": tile_of("c", grid), "row": tile_of("r", grid)})
-        ground = stream_join(_near(terrain.keyed, box, 0, grid), spots, _TILE, "inner", small).select(
+        ground = stream_join(_near(terrain, spots, box, 0), spots, _TILE, "inner", small).select(
             "c", "r", F.element_at("cells", index_in_tile("c", "r", grid) + 1).alias("ground")
         ).where(F.col("ground").isNotNull())
         placed = located.join(F.broadcast(ground) if small else ground, ["c", "r"]).withColumn(
             "eye", F.col("view_height") + F.col("ground")
         )
-    return placed.select(F.monotonically_increasing_id().alias("vp"), *_SEEN_FROM[1:])
+    return placed.select(F.monotonically_increasing_id().alias("vp"), *of, *_SEEN_FROM[1:])
 
 
-def _pairs(seers: DataFrame, grid: Grid, reach: int, max_distance: float) -> DataFrame:
+def _pairs(seers: DataFrame, grid: Grid) -> DataFrame:
     """One row per viewpoint and tile key within its reach."""
     ts = grid.tile_size
 
     def keys(at: str) -> Column:
         return F.explode(F.sequence(*[
-            F.floor((F.col(at) + off) / F.lit(float(ts))).cast("int") for off in (-reach, reach)
+            F.floor((F.col(at) + sign * F.col("reach")) / F.lit(float(ts))).cast("int") for sign in (-1, 1)
         ]))
 
     def gap(at: str, key: str) -> Column:
@@ -108,41 +105,34 @@ def _pairs(seers: DataFrame, grid: Grid, reach: int, max_distance: float) -> Dat
     off = F.sqrt(gap("c", "col") * gap("c", "col") + gap("r", "row") * gap("r", "row"))
     return (
         seers.withColumn("col", keys("c")).withColumn("row", keys("r"))
-        .where(off * F.lit(grid.res) <= F.lit(max_distance))
+        .where(off * F.lit(grid.res) <= F.col("far"))
     )
 
 
-def _units(pairs: DataFrame, tiles: DataFrame, per_unit: int) -> tuple[DataFrame, list[str], int]:
+def _units(pairs: DataFrame, terrain: Layer, box, per_unit: int, of: list[str]) -> tuple[DataFrame, list[str], int]:
     """Tiles joined to the viewpoints reaching them, the key of these units, and the most per tile.
 
-    Viewpoints crowding one tile are dealt over several salts, and that tile alone is repeated
-    once per salt, so a crowd becomes many tasks.
+    A unit is a tile for one request. Viewpoints crowding one are dealt over several salts, and that
+    tile alone is repeated once per salt, so a crowd becomes many tasks.
     """
-    crowd = pairs.groupBy("col", "row").count()
-    busiest = crowd.agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("tiles")).first()
+    owner = [*of, *_TILE]
+    crowd = stage(pairs.groupBy(*owner).count(), "crowd")
+    busiest = crowd.agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("units")).first()
     most, total = busiest.most or 0, busiest["all"] or 0
-    unit, salts = _TILE, max(math.ceil(most / per_unit), 1)
+    tiles = _near(terrain, crowd, box, box.margin)
+    unit, salts = owner, max(math.ceil(most / per_unit), 1)
     small = salts == 1 and broadcastable(total, VIEWPOINT_BYTES)
-    if not small:
-        crowd = stage(crowd, "crowd")
     if salts > 1:
-        unit = _UNIT
-        hot = checked_broadcast(
-            crowd.where(F.col("count") > per_unit)
-            .select(*_TILE, F.ceil(F.col("count") / per_unit).cast("int").alias("salts")),
-            row_bytes=32,
-        )
-        count = F.coalesce("salts", F.lit(1))
-        pairs = pairs.join(hot, _TILE, "left").withColumn(
-            "salt", F.pmod(F.xxhash64("vp"), count).cast("int")
+        unit = [*owner, "salt"]
+        hot = crowd.where(F.col("count") > per_unit).select(*owner, F.ceil(F.col("count") / per_unit).cast("int").alias("salts"))
+        pairs = pairs.join(checked_broadcast(hot, row_bytes=32), owner, "left").withColumn(
+            "salt", F.pmod(F.xxhash64("vp"), F.coalesce("salts", F.lit(1))).cast("int")
         ).drop("salts")
-        tiles = tiles.join(hot, _TILE, "left").select(
-            *_TILE, F.explode(F.sequence(F.lit(0), count - 1)).alias("salt"), "cells"
-        )
     crews = pairs.groupBy(*unit).agg(F.collect_list(F.struct(*_SEEN_FROM)).alias("crew"))
     if small:
-        return spread(stream_join(tiles, crews, unit, "inner", is_small=True), unit, busiest.tiles), unit, salts
-    reached = only_keys(tiles, crowd.select(*_TILE), _TILE)
+        return spread(stream_join(tiles, crews, _TILE, "inner", is_small=True), unit, busiest.units), unit, salts
+    slots = crowd.select(*owner, F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / per_unit).cast("int") - 1)).alias("salt"))
+    reached = stream_join(tiles, slots.select(*unit), _TILE, "inner", fits(crowd, VIEWPOINT_BYTES))
     return stream_join(spread(reached, unit), crews, unit, "inner", is_small=False), unit, salts
 
 
@@ -178,16 +168,16 @@ def _crossings(c: int, r: int, col: int, row: int, ts: int, reach: int):
                 yield ray, rim, j, k, ahead, across, inside
 
 
-def _gradients(cells, seer, key, grid, reach, max_distance, curvature):
+def _gradients(cells, seer, key, grid, curvature):
     """Per block of rays: ``ray, k, usable, index, gradient, target gradient``."""
     ts = grid.tile_size
-    for ray, dx, dy, k, dc, dr, inside in _crossings(seer["c"], seer["r"], key[0], key[1], ts, reach):
+    for ray, dx, dy, k, dc, dr, inside in _crossings(seer["c"], seer["r"], key[0], key[1], ts, seer["reach"]):
         local_c = np.clip(dc + (seer["c"] - key[0] * ts), 0, ts - 1)
         local_r = np.clip(dr + (seer["r"] - key[1] * ts), 0, ts - 1)
         index = local_r * ts + local_c
         z = cells[index]
         d = np.sqrt((dc * dc + dr * dr).astype(np.float64)) * grid.res
-        usable = inside & (d <= max_distance) & ~np.isnan(z)
+        usable = inside & (d <= seer["far"]) & ~np.isnan(z)
         if seer["fov"] > -1.0:
             toward = dx * math.cos(seer["angle"]) - dy * math.sin(seer["angle"])
             usable &= toward / np.sqrt((dx * dx + dy * dy).astype(np.float64)) >= seer["fov"]
@@ -214,16 +204,14 @@ def _tile_units(batch: pa.RecordBatch, ts: int):
         yield i, key, blocks[i].ravel(), _seers(crews[i].values)
 
 
-def _reports(unit: list[str], grid: Grid, reach: int, max_distance: float, curvature: bool):
+def _reports(unit: list[str], grid: Grid, curvature: bool):
     """Kernel of the first pass: highest gradient of each ray inside each tile."""
     def kernel(batches):
         for batch in slices(batches, grid.cells_per_tile):
             for i, key, cells, seers in _tile_units(batch, grid.tile_size):
                 found = {"vp": [], "ray": [], "k": [], "top": []}
                 for seer in seers:
-                    for ray, k, usable, _, gradient, _ in _gradients(
-                        cells, seer, key, grid, reach, max_distance, curvature
-                    ):
+                    for ray, k, usable, _, gradient, _ in _gradients(cells, seer, key, grid, curvature):
                         met = np.flatnonzero(usable.any(axis=0))
                         found["vp"].append(np.full(len(met), seer["vp"], dtype=np.int64))
                         found["ray"].append(ray[met])
@@ -233,7 +221,7 @@ def _reports(unit: list[str], grid: Grid, reach: int, max_distance: float, curva
                     continue
                 flat = {name: np.concatenate(parts) for name, parts in found.items()}
                 count = len(flat["vp"])
-                keys = [np.full(count, column(batch, n)[i].as_py(), dtype=np.int32) for n in unit]
+                keys = [np.full(count, column(batch, n)[i].as_py(), dtype=np.int64) for n in unit]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a) for a in keys]
                     + [pa.array(flat["vp"]), pa.array(flat["ray"]), pa.array(flat["k"].astype(np.int32)), pa.array(flat["top"])],
@@ -242,21 +230,22 @@ def _reports(unit: list[str], grid: Grid, reach: int, max_distance: float, curva
     return kernel
 
 
-def _earlier(told: pa.Array, reach: int) -> dict[int, np.ndarray]:
+def _earlier(told: pa.Array, seers: list[dict]) -> dict[int, np.ndarray]:
     """Per viewpoint, the highest gradient each of its rays met before this tile."""
     vp, ray, top = (numbers(told.field(n)) for n in ("vp", "ray", "top"))
     order = np.argsort(vp, kind="stable")
     cuts = np.flatnonzero(np.diff(vp[order])) + 1
-    earlier = {}
+    earlier, reach = {}, {seer["vp"]: seer["reach"] for seer in seers}
     for part in np.split(order, cuts):
         if len(part):
-            tops = np.full(8 * reach, -np.inf)
+            seer = int(vp[part[0]])
+            tops = np.full(8 * reach[seer], -np.inf)
             tops[ray[part]] = top[part]
-            earlier[int(vp[part[0]])] = tops
+            earlier[seer] = tops
     return earlier
 
 
-def _sightings(unit: list[str], grid: Grid, reach: int, max_distance: float, curvature: bool):
+def _sightings(unit: list[str], grid: Grid, curvature: bool):
     """Kernel of the second pass: how many viewpoints see each cell; NULL where none reaches it."""
     ts = grid.tile_size
 
@@ -265,14 +254,12 @@ def _sightings(unit: list[str], grid: Grid, reach: int, max_distance: float, cur
             told = column(batch, "told")
             counts, kept = [], []
             for i, key, cells, seers in _tile_units(batch, ts):
-                earlier = _earlier(told[i].values, reach) if told[i].is_valid else {}
+                earlier = _earlier(told[i].values, seers) if told[i].is_valid else {}
                 total, reached = np.zeros(ts * ts), np.zeros(ts * ts, dtype=bool)
                 for seer in seers:
                     seen = np.zeros(ts * ts, dtype=bool)
                     before = earlier.get(seer["vp"])
-                    for ray, _, usable, index, gradient, target in _gradients(
-                        cells, seer, key, grid, reach, max_distance, curvature
-                    ):
+                    for ray, _, usable, index, gradient, target in _gradients(cells, seer, key, grid, curvature):
                         start = np.full(len(ray), -np.inf) if before is None else before[ray]
                         highest = np.maximum.accumulate(np.vstack([start, gradient]), axis=0)[:-1]
                         seen[index[usable & (target >= highest)]] = True
@@ -287,74 +274,51 @@ def _sightings(unit: list[str], grid: Grid, reach: int, max_distance: float, cur
             if kept:
                 rows = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, n).take(rows) for n in unit] + [list_array(np.stack(counts))],
+                    [column(batch, n).take(rows).cast(pa.int64()) for n in unit] + [list_array(np.stack(counts))],
                     [*unit, "cells"],
                 )
     return kernel
 
 
-def _add_counts(table: pa.Table) -> pa.Table:
-    """Cell-wise sum of the rows of one group; NULL only where all are NULL."""
-    parts = numbers(table.column("cells").combine_chunks().flatten()).reshape(table.num_rows, -1)
-    sums = np.where(np.isnan(parts).all(axis=0), np.nan, np.nansum(parts, axis=0))
-    first = table.slice(0, 1)
-    return pa.table(
-        [first.column(n) for n in _UNIT] + [list_array(sums[None, :])], names=[*_UNIT, "cells"]
-    )
+def _merge_salts(counts: DataFrame, salts: int, unit: list[str]) -> DataFrame:
+    """Add the units of each tile, at most ``FAN_IN`` per group and level."""
 
+    def add(table: pa.Table) -> pa.Table:
+        """Cell-wise sum of the rows of one group; NULL only where all are NULL."""
+        parts = numbers(table.column("cells").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        sums = np.where(np.isnan(parts).all(axis=0), np.nan, np.nansum(parts, axis=0))
+        first = table.slice(0, 1)
+        return pa.table([first.column(n) for n in unit] + [list_array(sums[None, :])], names=[*unit, "cells"])
 
-def _merge_salts(counts: DataFrame, salts: int) -> DataFrame:
-    """Add the units of each tile, at most ``FAN_IN`` per group and level."""
     while salts > 1:
         salts = math.ceil(salts / FAN_IN)
-        step = F.floor(F.col("salt") / F.lit(float(FAN_IN))).cast("int")
-        counts = counts.withColumn("salt", step).groupBy(*_UNIT).applyInArrow(_add_counts, _schema(_UNIT, "cells array<double>"))
+        step = F.floor(F.col("salt") / F.lit(float(FAN_IN))).cast("bigint")
+        counts = counts.withColumn("salt", step).groupBy(*unit).applyInArrow(add, _schema(unit, "cells array<double>"))
     return counts
 
 
-def viewshed(
-    terrain: Layer,
-    viewpoints: DataFrame,
-    max_distance: float,
-    curvature: bool = True,
-    operator: str = "OR",
-    height_mode: str = "above_ground",
-) -> Layer:
-    """Cells in reach of ``viewpoints`` (``x, y, view_height, angle, fov, altitude``).
-
-    ``OR`` gives 1 where any viewpoint sees the cell and ``AND`` where all do, else 0; ``DEBUG``
-    gives the number that do. Cells no viewpoint reaches, and NoData cells, are NULL; tiles without
-    any reached cell have no row. ``view_height`` counts from the ground, or is the height itself
-    with ``height_mode='absolute'``; a viewpoint off the layer or above NoData ground has
-    no height in the first case and is ignored, also when ``AND`` counts who is to see a cell.
-    ``altitude`` is the height an object in each cell rises to, minus infinity meaning the ground.
-    ``fov`` keeps directions whose cosine to ``angle`` (radians, counter-clockwise from east) is at
-    least that much; -1 looks all round.
-    """
+def _seen(terrain: Layer, viewpoints: DataFrame, curvature: bool, operator: str, height_mode: str, of: list[str]) -> DataFrame | None:
+    """Rows ``*of, col, row, cells`` from viewpoints that carry ``far`` and the columns ``of``; None without any."""
     if operator not in OPERATORS:
         raise ValueError(f"unknown operator {operator!r}; known: {', '.join(OPERATORS)}")
     if height_mode not in HEIGHT_MODES:
         raise ValueError(f"unknown height mode {height_mode!r}; known: {', '.join(HEIGHT_MODES)}")
     grid = terrain.grid
-    reach = reach_in_cells(max_distance, grid)
-    if reach < 1:
-        raise ValueError("max_distance is below one cell")
-
-    located = stage(_locate(viewpoints, grid), "viewpoints")
+    located = stage(_locate(viewpoints, grid, of), "viewpoints")
     box = located.agg(
         F.min("c").alias("west"), F.max("c").alias("east"), F.min("r").alias("north"),
-        F.max("r").alias("south"), F.count("*").alias("rows"),
+        F.max("r").alias("south"), F.count("*").alias("rows"), F.max("reach").alias("margin"), F.min("reach").alias("least"),
     ).first()
     if not box.rows:
-        return terrain.with_tiles(terrain.keyed.where(F.lit(False)))
-    seers = stage(_with_eye(located, terrain, box, height_mode), "seers")
+        return None
+    if box.least < 1:
+        raise ValueError("max_distance is below one cell")
+    seers = stage(_with_eye(located, terrain, box, height_mode, of), "seers")
 
-    per_unit = min(max(UNIT_RAYS // (8 * reach), 1), UNIT_VIEWPOINTS)
-    pairs = _pairs(seers, grid, reach, max_distance)
-    units, unit, salts = _units(pairs, _near(terrain.keyed, box, reach, grid), per_unit)
+    per_unit = min(max(UNIT_RAYS // (8 * box.margin), 1), UNIT_VIEWPOINTS)
+    units, unit, salts = _units(_pairs(seers, grid), terrain, box, per_unit, of)
 
-    settings = (unit, grid, reach, max_distance, curvature)
-    reports = units.mapInArrow(_reports(*settings), _schema(unit, "vp bigint, ray bigint, k int, top double"))
+    reports = units.mapInArrow(_reports(unit, grid, curvature), _schema(unit, "vp bigint, ray bigint, k int, top double"))
     before = Window.partitionBy("vp", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     told = (
         reports.select(*unit, "vp", "ray", F.max("top").over(before).alias("top"))
@@ -363,16 +327,63 @@ def viewshed(
         .agg(F.collect_list(F.struct("vp", "ray", "top")).alias("told"))
     )
     informed = merge_join(units, told, unit, "left", is_small=False)
-    counts = _merge_salts(informed.mapInArrow(_sightings(*settings), _schema(unit, "cells array<double>")), salts)
+    marked = informed.mapInArrow(_sightings(unit, grid, curvature), _schema(unit, "cells array<double>"))
+    counts = _merge_salts(marked, salts, unit)
 
     if operator == "DEBUG":
         value = F.col("cells")
     elif operator == "OR":
         value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n > 0).cast("double")))
     else:
-        everyone = float(seers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n >= F.lit(everyone)).cast("double")))
-    return terrain.with_tiles(counts.select("col", "row", value.alias("cells")))
+        everyone = seers.groupBy(*of).agg(F.sum("n").cast("double").alias("everyone"))
+        counts = counts.join(checked_broadcast(everyone, 32), of) if of else counts.crossJoin(F.broadcast(everyone))
+        value = F.transform("cells", lambda n: F.when(n.isNotNull(), (n >= F.col("everyone")).cast("double")))
+    return counts.select(*of, F.col("col").cast("int"), F.col("row").cast("int"), value.alias("cells"))
+
+
+def viewshed(
+    terrain: Layer,
+    viewpoints: DataFrame,
+    max_distance: float,
+    curvature: bool = True,
+    operator: str = "OR",
+    height_mode: str = "above_ground",
+) -> Layer:
+    """Cells in reach of ``viewpoints`` (``x, y, view_height, angle, fov, altitude``).
+
+    ``OR`` gives 1 where any viewpoint sees the cell and ``AND`` where all do, else 0; ``DEBUG``
+    gives the number that do. Cells no viewpoint reaches, and NoData cells, are NULL; tiles without
+    any reached cell have no row. ``view_height`` counts from the ground, or is the height itself
+    with ``height_mode='absolute'``; a viewpoint off the layer or above NoData ground has
+    no height in the first case and is ignored, also when ``AND`` counts who is to see a cell.
+    ``altitude`` is the height an object in each cell rises to, minus infinity meaning the ground.
+    ``fov`` keeps directions whose cosine to ``angle`` (radians, counter-clockwise from east) is at
+    least that much; -1 looks all round.
+    """
+    if reach_in_cells(max_distance, terrain.grid) < 1:
+        raise ValueError("max_distance is below one cell")
+    far = viewpoints.withColumn("far", F.lit(float(max_distance)))
+    found = _seen(terrain, far, curvature, operator, height_mode, [])
+    return terrain.with_tiles(terrain.keyed.where(F.lit(False)) if found is None else found)
+
+
+def viewsheds(
+    terrain: Layer,
+    viewpoints: DataFrame,
+    curvature: bool = True,
+    operator: str = "OR",
+    height_mode: str = "above_ground",
+) -> DataFrame:
+    """The viewsheds of many requests by one job: rows ``request, col, row, cells``.
+
+    Viewpoints are as for ``viewshed`` and carry ``request`` (bigint) and ``far``, the request's greatest
+    distance. A request is part of the key of every tile, ray and unit, so requests share scans and
+    shuffles but no cell; tiles are read once for all requests that reach them.
+    """
+    found = _seen(terrain, viewpoints, curvature, operator, height_mode, ["request"])
+    if found is None:
+        return terrain.keyed.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("request"), "*")
+    return found
 
 
 def touched_keys(seen: Layer) -> DataFrame:

@@ -31,10 +31,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to shared scratch space and read it back, which also cuts its lineage."""
+def stage(df: DataFrame, purpose: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to shared scratch space and read it back, which also cuts its lineage.
+
+    ``by`` names columns (the last of ``df``) whose values get a folder each, which later filters prune.
+    """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged
@@ -47,8 +50,12 @@ def discard(*staged: DataFrame) -> None:
     could have to run again, may read them.
     """
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(df.sparkSession, df._staged_at)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcastable(rows: int, row_bytes: int) -> bool:

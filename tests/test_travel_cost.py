@@ -5,7 +5,10 @@ import pytest
 
 from grids import SMALL, array_of, layer_of, points_at, rough
 from ridgework import Grid
+from ridgework.operators import travel_cost as operator
 from ridgework.operators.travel_cost import travel_cost
+from ridgework.session import scratch_dir
+from ridgework.sources.catalog import Catalog
 
 
 def dijkstra(f, starts, max_cost, res):
@@ -52,12 +55,51 @@ def test_path_that_leaves_a_tile_and_returns(spark):
 
 
 def test_when_neither_mail_nor_keys_fit_and_the_front_is_wide(spark, nothing_fits, monkeypatch):
-    monkeypatch.setattr("ridgework.operators.travel_cost.MOST_BLOCKS", 0)
+    monkeypatch.setattr("ridgework.operators.travel_cost.SETTLE_CELLS", 64)
     f = rough((14, 13), seed=4, holes=0.1)
     got = array_of(travel_cost(layer_of(spark, f), points_at(spark, [(1, 1)]), 1e9), f.shape)
     np.testing.assert_allclose(got, dijkstra(f, [(1, 1)], 1e9, SMALL.res), rtol=1e-12)
 
 
+@pytest.mark.parametrize("cells", [1, 64])
+def test_blocks_of_any_size_settle_alike(spark, monkeypatch, cells):
+    """Many rounds over blocks of one to sixty-four tiles, whose history is merged on the way."""
+    monkeypatch.setattr("ridgework.operators.travel_cost.SETTLE_CELLS", cells)
+    monkeypatch.setattr("ridgework.operators.travel_cost.FAN", 2)
+    f = rough((21, 18), seed=9, holes=0.25)
+    got = array_of(travel_cost(layer_of(spark, f), points_at(spark, [(1, 1), (17, 20)]), 1e9), f.shape)
+    np.testing.assert_allclose(got, dijkstra(f, [(1, 1), (17, 20)], 1e9, SMALL.res), rtol=1e-12)
+
+
+def test_history_stays_short(spark, monkeypatch):
+    """Of any number of rounds a few folders are left, and each block is found in the last round that settled it."""
+    monkeypatch.setattr(operator, "FAN", 3)
+    history = operator.History(spark, scratch_dir(spark, "history"))
+    for i in range(20):
+        rows = [(0, 0, [float(i)]), (i, 1, [float(i)]), (i % 5, 2, [float(i)])]
+        stored = history.append(spark.createDataFrame([(*r, []) for r in rows], operator._ROUND))
+        assert stored.count() == 3
+    assert sum(map(len, history.levels)) <= 8
+    want = {(0, 0): 19.0} | {(i, 1): float(i) for i in range(20)} | {(i, 2): 15.0 + i for i in range(5)}
+    assert {(r.hc, r.hr): r.cost[0] for r in history.last().collect()} == want
+    keys = spark.createDataFrame([(0, 0), (7, 1), (3, 2), (90, 90)], "hc int, hr int")
+    assert {(r.hc, r.hr): r.cost[0] for r in history.last(keys, True).collect()} == {(0, 0): 19.0, (7, 1): 7.0, (3, 2): 18.0}
+
+
+def test_rounds_read_the_folders_of_the_front(spark, tmp_path, monkeypatch):
+    """One start on a stored layer of many blocks: few blocks' folders are read in any round."""
+    monkeypatch.setattr(operator, "SETTLE_CELLS", 64)
+    catalog = Catalog(spark, str(tmp_path), block_bits=2)
+    catalog.write_layer(layer_of(spark, np.ones((64, 64))), "flat")
+    plans = []
+    appended = operator.History.append
+    monkeypatch.setattr(operator.History, "append", lambda self, rows: plans.append(rows) or appended(self, rows))
+    found = travel_cost(catalog.read_layer("flat", 3), points_at(spark, [(4, 4)]), 150.0)
+    assert found.tiles.count() > 4 and len(plans) <= 6
+    scans = [line for p in plans for line in p._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "cells" in line]
+    assert scans and all("PartitionFilters: [isnotnull(block" in line and "dynamicpruning" in line for line in scans if "tiles" in line)
+
+
 def test_scans_narrowed_to_blocks(spark, monkeypatch):
     monkeypatch.setattr("ridgework.sources.catalog.BLOCK_BYTES", 8 * 16 * 2)
     f = rough((30, 30), seed=5, holes=0.1)
