@@ -81,25 +81,25 @@ def key_of_zorder(zkey: Column | str) -> tuple[Column, Column]:
     return gathered(0), gathered(1)
 
 
-def _joined(runs: DataFrame) -> DataFrame:
+def _joined(runs: DataFrame, of: list[str] = []) -> DataFrame:
     """Runs ``lo, hi`` with those that touch or overlap made one, within pieces of the curve."""
-    along = Window.partitionBy("piece").orderBy("lo", "hi")
+    along = Window.partitionBy(*of, "piece").orderBy("lo", "hi")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("int")
     return (
         runs.withColumn("piece", F.shiftright("lo", 2 * RUN_BITS))
         .withColumn("fresh", fresh)
         .withColumn("nth", F.sum("fresh").over(along))
-        .groupBy("piece", "nth")
+        .groupBy(*of, "piece", "nth")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select("lo", "hi")
+        .select(*of, "lo", "hi")
     )
 
 
-def runs_of_keys(keys: DataFrame) -> DataFrame:
-    """The set of tile keys ``col, row`` as runs ``lo, hi`` of consecutive Z-curve positions."""
-    places = keys.select(zorder_key("col", "row").alias("lo")).distinct()
-    return _joined(places.withColumn("hi", F.col("lo")))
+def runs_of_keys(keys: DataFrame, of: list[str] = []) -> DataFrame:
+    """The set of tile keys ``col, row`` as runs ``lo, hi`` of consecutive Z-curve positions, apart for each value of ``of``."""
+    places = keys.select(*of, zorder_key("col", "row").alias("lo")).distinct()
+    return _joined(places.withColumn("hi", F.col("lo")), of)
 
 
 def keys_of_runs(runs: DataFrame) -> DataFrame:

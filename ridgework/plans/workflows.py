@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ridgework.functions.keys import key_shift
+from ridgework.functions.values import or_default
+from ridgework.functions.zcurve import runs_of_keys, shift_runs
 from ridgework.operators.travel_cost import travel_cost
 from ridgework.operators.focal import boundary_points, slope
-from ridgework.operators.masking import filter_keys
 from ridgework.operators.outline import rasterize_boundary
-from ridgework.operators.pyramid import store_pyramid
+from ridgework.operators.pruning import at_runs
+from ridgework.operators.pyramid import coarser_tiles, store_pyramid
 from ridgework.operators.stats import store_histogram
-from ridgework.operators.viewshed import touched_keys, viewshed
+from ridgework.operators.viewshed import touched_keys, viewshed, viewsheds
+from ridgework.session import checked_broadcast, stage
 from ridgework.sources.catalog import Catalog
 from ridgework.sources.vectors import project_vertices
 
@@ -48,16 +51,52 @@ def observer_viewshed(
     catalog.write_attribute(output, 0, "millis", millis)
 
 
+def observer_viewsheds(catalog: Catalog, terrain: str, zoom: int, requests: DataFrame, to_zoom: int = 1) -> None:
+    """The same for many observers, rows ``output, x, y, altitude`` and, optionally, ``max_distance``, by one job.
+
+    All outputs and all their zooms are written together, then what is stored about each as above. Outputs are
+    new layers; where nothing is in reach an output has no tiles.
+    """
+    started = time.monotonic()
+    given = F.col("max_distance") if "max_distance" in requests.columns else F.lit(None)
+    asked = stage(requests.select(
+        F.col("output").alias("layer"), F.col("x").cast("double"), F.col("y").cast("double"), F.col("altitude").cast("double"),
+        or_default(given.cast("double"), MAX_DISTANCE).alias("far"),
+    ).withColumn("request", F.monotonically_increasing_id()), "requests")
+    standing = asked.select(
+        "request", "x", "y", "altitude", "far", F.lit(0.0).alias("view_height"), F.lit(0.0).alias("angle"), F.lit(-1.0).alias("fov"))
+    layer = catalog.read_layer(terrain, zoom)
+    level, grid = stage(viewsheds(layer, standing), "seen"), layer.grid
+    touched = runs_of_requests(level)
+    levels, grids = [level.withColumn("zoom", F.lit(zoom))], {zoom: grid}
+    for coarser in range(zoom - 1, to_zoom - 1, -1):
+        level = stage(coarser_tiles(level, grid.tile_size, "nearest", ["request"]), "seen")
+        grid = grid.coarser()
+        levels.append(level.withColumn("zoom", F.lit(coarser)))
+        grids[coarser] = grid
+    catalog.write_layers(reduce(DataFrame.unionByName, levels), asked, grids)
+    fact = lambda name, value: asked.select("layer", F.lit(0).alias("zoom"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    catalog.write_attributes(fact("altitude", F.col("altitude")))
+    named = touched.join(checked_broadcast(asked.select("request", "layer"), 256), "request")
+    catalog.write_runs(named.select("layer", F.lit(0).alias("zoom"), F.lit("touched").alias("name"), "lo", "hi"))
+    catalog.write_attributes(fact("millis", F.lit(_millis(started))))
+
+
+def runs_of_requests(tiles: DataFrame) -> DataFrame:
+    """The keys of each request's tiles as runs ``request, lo, hi``."""
+    return runs_of_keys(tiles.select("request", "col", "row"), ["request"])
+
+
 def craft_points(catalog: Catalog, observer: str, zoom: int, magic: int = MAGIC) -> DataFrame:
     """Viewpoints on the rim of what an earlier observer sees, at that observer's altitude.
 
-    The rim is taken ``magic`` levels up the observer's pyramid, so that there are fewer of them.
+    The rim is taken ``magic`` levels up the observer's pyramid, so that there are fewer of them. The observer's
+    stored runs of touched keys, moved up as many levels, say which of its tiles are read.
     """
     altitude = catalog.read_attribute(observer, 0, "altitude")
-    touched = catalog.read_keys(observer, 0, "touched").select(
-        key_shift("col", magic).alias("col"), key_shift("row", magic).alias("row")
-    )
-    return boundary_points(filter_keys(catalog.read_layer(observer, zoom - magic), touched), altitude)
+    touched = stage(shift_runs(catalog.read_runs(observer, 0, "touched"), magic), "touched")
+    layer = catalog.read_layer(observer, zoom - magic)
+    return boundary_points(layer.with_tiles(at_runs(layer, touched)), altitude)
 
 
 def craft_viewshed(
