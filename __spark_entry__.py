@@ -8,15 +8,16 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import terrain_oracle
 from ridgework import Layer
 from ridgework.functions.geo import to_web_mercator as mercator
 from ridgework.functions.keys import cell_center as center, key_shift as shift, map_to_cell as to_cell, zorder_key as zkey
+from ridgework.functions import zcurve
 from ridgework.functions.values import class_index as classify, is_data as has_data, is_positive, or_default as optional
 from ridgework.operators import (
-    travel_cost as cost_ops, focal, masking, outline, pyramid as levels, render, stats, viewshed as sight,
+    travel_cost as cost_ops, focal, masking, outline, pyramid as levels, render, stats, tiling, viewshed as sight,
 )
 from ridgework.operators.tiling import tiles_to_cells
 from ridgework.plans import workflows
@@ -28,7 +29,10 @@ from terrain_fixtures import GRID, friction, supplier_points, supplier_rings, ta
 
 try:
     from ridgework.llm import queries as corpus
-except ImportError:
+except ModuleNotFoundError as missing:
+    # Only the subpackage itself, or the pipeline beside it, may be absent; a missing wheel must not hide its queries.
+    if missing.name not in ("ridgework.llm", "ridgework.llm.queries"):
+        raise
     corpus = None
 
 ZOOM = 3
@@ -110,6 +114,13 @@ def ingest_samples(spark, sf):
     return tiles_to_cells(grid_samples(samples, zoom=6, tile_size=16))
 
 
+def ingest_nan_samples(spark, sf):
+    """Samples of which every third is NaN, which counts as none."""
+    samples = lonlat(spark, sf).selectExpr(
+        "lon + (o_custkey % 7 - 3) * 0.0001D lon", "lat", "if(o_orderkey % 3 = 0, double('NaN'), z) z")
+    return tiles_to_cells(grid_samples(samples, zoom=5, tile_size=16))
+
+
 def stored_attributes(spark, sf):
     """Two attributes per nation, written again for each of its suppliers."""
     catalog = fresh_catalog(spark)
@@ -229,14 +240,36 @@ def mask_layer(spark, sf):
     return tiles_to_cells(masking.mask_layer(terrain(spark, sf), area))
 
 
+def mask_overlapping(spark, sf):
+    """The terrain inside any supplier's triangle; triangles overlap."""
+    return tiles_to_cells(masking.mask_layer(terrain(spark, sf), supplier_rings(spark, sf).select("geom_id", "part", "ring", "seq", "x", "y")))
+
+
 # Statistics
 
 def histogram(spark, sf):
     return stats.fixed_width_histogram(terrain(spark, sf), 25.0)
 
 
+def ranks_of(spark, sf, values) -> DataFrame:
+    """Rows ``v, below, upto, total``: how many cells are below a value and up to it."""
+    cells = terrain_cells(spark, sf).where("z is not null")
+    upto = Window.orderBy("z").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = cells.groupBy("z").agg(F.count("*").alias("n")).unionByName(values.select(F.col("v").alias("z"), F.lit(0).cast("bigint").alias("n")))
+    summed = counted.groupBy("z").agg(F.sum("n").alias("n")).select("z", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return values.join(summed, F.col("v") == F.col("z")).select("v", (F.col("upto") - F.col("n")).alias("below"), "upto", "total")
+
+
 def histogram_approx(spark, sf):
-    return stats.histogram(terrain(spark, sf)).select(F.inline("bins"))
+    """The 80 bins of the terrain: their number, count and order, and whether each has about its share of the cells."""
+    bins = stats.histogram(terrain(spark, sf)).select(F.inline("bins")).select(F.col("x").alias("v"), "y")
+    before = F.sum("y").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    met = bins.withColumn("before", F.coalesce(before, F.lit(0.0))).join(ranks_of(spark, sf, bins.select("v")), "v")
+    # The middle of a bin lies among the cells the bin counts, give or take what the sketch is unsure of.
+    near = (F.col("upto") >= F.col("before") - 0.01 * F.col("total")) & (F.col("below") <= F.col("before") + F.col("y") + 0.01 * F.col("total"))
+    return met.agg(
+        F.count("*").alias("bins"), F.sum("y").cast("bigint").alias("cells"), F.max("y").cast("bigint").alias("most"), F.bool_and(near).alias("near")
+    ).select("bins", "cells", (F.col("most") <= F.col("cells") / 40).alias("even"), "near")
 
 
 def quantile_breaks(spark, sf):
@@ -246,8 +279,11 @@ def quantile_breaks(spark, sf):
 
 
 def quantile_breaks_approx(spark, sf):
-    breaks = stats.quantile_breaks(terrain(spark, sf))
-    return breaks.select(F.posexplode("breaks").alias("i", "break"))
+    """Whether each of the 256 approximate breaks has the rank asked for, give or take one in a hundred cells."""
+    breaks = stats.quantile_breaks(terrain(spark, sf)).select(F.posexplode("breaks").alias("i", "v"))
+    ranked = breaks.join(ranks_of(spark, sf, breaks.select("v").distinct()), "v")
+    wanted, slack = F.ceil((F.col("i") + 1) * F.col("total") / 256), 0.01 * F.col("total")
+    return ranked.select((F.col("i") + 1).alias("i"), ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("near"))
 
 
 def layer_breaks(spark, sf):
@@ -265,6 +301,13 @@ def count_points(spark, sf):
     return sight.count_points(supplier_points(spark, sf))
 
 
+def stored_facts(catalog: Catalog, name: str) -> DataFrame:
+    """What a stored histogram says in all: ``bins, cells``."""
+    bins = F.from_json("value", "array<struct<x: double, y: double>>")
+    kept = catalog.attributes().where((F.col("layer") == name) & (F.col("name") == "histogram")).select(F.inline(bins))
+    return kept.agg(F.count("*").alias("bins"), F.sum("y").cast("bigint").alias("cells"))
+
+
 def ensure_partitions(spark, sf):
     return tiles_to_cells(levels.ensure_partitions(terrain(spark, sf), 16))
 
@@ -342,6 +385,13 @@ def travel_cost(spark, sf, max_cost=20000.0):
     return rounded(cost_ops.travel_cost(friction(spark, sf), supplier_points(spark, sf), max_cost), 4)
 
 
+def travel_cost_negative_keys(spark, sf):
+    """The same search on ground moved 50 cells west and 40 north, so that keys lie on both sides of zero."""
+    cells = terrain_cells(spark, sf).where("z is not null").selectExpr("c - 50 c", "r - 40 r", "1.0D + floor(z / 100.0D) z")
+    starts = supplier_points(spark, sf).selectExpr("x - 50000.0D x", "y + 40000.0D y")
+    return rounded(cost_ops.travel_cost(tiling.cells_to_tiles(cells, GRID, ZOOM), starts, 20000.0), 4)
+
+
 def max_cost(spark, sf):
     return travel_cost(spark, sf, 7500.0)
 
@@ -358,6 +408,21 @@ def resampled(method):
     return lambda spark, sf: rounded(levels.coarsen(terrain(spark, sf), method), 9)
 
 
+def pyramid_retiled(spark, sf):
+    """The tiles of a pyramid stored in tiles of 24 cells, with what they hold."""
+    catalog = fresh_catalog(spark)
+    levels.store_pyramid(catalog, terrain(spark, sf), "terrain", tile_size=24)
+    data = F.filter("cells", lambda z: z.isNotNull())
+    parts = [catalog.read_layer("terrain", zoom).tiles.select(
+        F.lit(zoom).alias("zoom"), "col", "row", F.size(data).cast("bigint").alias("n"),
+        F.round(F.aggregate(data, F.lit(0.0), lambda a, b: a + b), 4).alias("total")) for zoom in (3, 2, 1)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def retiled(spark, sf):
+    return tiles_to_cells(tiling.retile(terrain(spark, sf), 40))
+
+
 def rasterize_boundary(spark, sf):
     points = outline.rasterize_boundary(supplier_rings(spark, sf), 250.0)
     return points.select(F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "view_height", "altitude")
@@ -374,8 +439,50 @@ def render_tile(spark, sf):
     return render.render_tile(stored_terrain(spark, sf), "terrain", ZOOM, at.c // GRID.tile_size, at.r // GRID.tile_size, BREAKS)
 
 
+def render_stored(spark, sf):
+    """One terrain under three names, coloured by its stored histogram, by a count of points and by default."""
+    catalog, layer = fresh_catalog(spark), terrain(spark, sf)
+    for name in ("by-breaks", "by-points", "plain"):
+        catalog.write_layer(layer, name)
+    bins = stats.fixed_width_histogram(layer, 25.0)
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("bin") * 25.0).alias("x"), F.col("n").cast("double").alias("y"))))
+    catalog.write_attributes(bins.agg(F.to_json(ordered).alias("value")).selectExpr("'by-breaks' layer", "0 zoom", "'histogram' name", "value"))
+    catalog.write_attributes(table(spark, sf, "supplier").agg(F.count("*").cast("string").alias("value")).selectExpr(
+        "'by-points' layer", "0 zoom", "'points' name", "value"))
+    painted = render.render_stored(catalog, ["by-breaks", "by-points", "plain"], ZOOM, n=32)
+    return render.pixels(painted, GRID.tile_size)
+
+
 # Whole jobs
 
+def observer_many(spark, sf):
+    """An observer per nation, every second one looking further; all outputs are stored by one job."""
+    catalog = stored_terrain(spark, sf)
+    requests = table(spark, sf, "nation").selectExpr(
+        "concat('seen-', n_nationkey) output", "(n_nationkey * 4 + 0.5D) * 1000 x", "-(n_nationkey % 5 + 0.5D) * 1000 y",
+        "430.0D + n_nationkey altitude", "if(n_nationkey % 2 = 0, 20000.0D, 30000.0D) max_distance")
+    workflows.observer_viewsheds(catalog, "terrain", ZOOM, requests)
+    names = [row.output for row in requests.select("output").collect()]
+    parts = []
+    for zoom in (3, 2, 1):
+        cells = catalog.read_layers(names, zoom).select("layer", "col", "row", F.posexplode("cells").alias("at", "z")).where("z is not null")
+        parts.append(cells.select(
+            "layer", F.lit(zoom).alias("zoom"), (F.col("col") * 16 + F.col("at") % 16).alias("c"),
+            (F.col("row") * 16 + F.floor(F.col("at") / 16).cast("int")).alias("r"), "z"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def touched_runs(spark, sf):
+    """The keys that every nation's observer touched, from the stored runs, one level up the pyramid."""
+    catalog = stored_terrain(spark, sf)
+    requests = table(spark, sf, "nation").selectExpr(
+        "concat('seen-', n_nationkey) output", "(n_nationkey * 4 + 0.5D) * 1000 x", "-(n_nationkey % 5 + 0.5D) * 1000 y",
+        "430.0D altitude", "20000.0D max_distance")
+    workflows.observer_viewsheds(catalog, "terrain", ZOOM, requests, to_zoom=ZOOM)
+    every = spark.read.schema("lo bigint, hi bigint, layer string").parquet(f"{catalog.root}/keys")
+    return zcurve.keys_of_runs(zcurve.shift_runs(every.select("lo", "hi"), 1)).distinct()
+
+
 def observed_terrain(spark, sf):
     at, catalog = top_cell(spark, sf), stored_terrain(spark, sf)
     workflows.observer_viewshed(catalog, "terrain", "observer", ZOOM, (at.c + 0.5) * GRID.res, -(at.r + 0.5) * GRID.res, 460.0, 40000.0)
@@ -402,13 +509,15 @@ def polygon_viewshed(spark, sf):
 def travel_cost_surface(spark, sf):
     catalog = stored_terrain(spark, sf)
     workflows.travel_cost_surface(catalog, "terrain", ZOOM, supplier_points(spark, sf))
-    return stored_levels(catalog, "cost-pyramid", 4)
+    facts = stored_facts(catalog, "cost-pyramid").select("cells")
+    return stored_levels(catalog, "cost-pyramid", 4).join(F.broadcast(facts))
 
 
 def viewshed_terrain_prep(spark, sf):
     catalog = stored_terrain(spark, sf)
     workflows.viewshed_terrain_prep(catalog, "terrain", ZOOM)
-    return stored_levels(catalog, "terrain-pyramid")
+    facts = stored_facts(catalog, "terrain-pyramid")
+    return stored_levels(catalog, "terrain-pyramid").join(F.broadcast(facts))
 
 
 def viewshed_debug(spark, sf):
@@ -428,6 +537,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_geojson, read_points, viewpoints_from_args, to_web_mercator, key_extent, cell_center, map_to_cell,
         key_shift, zorder_key, is_data, class_index, or_default, filter_keys, mask_layer, histogram,
         histogram_approx, quantile_breaks, quantile_breaks_approx, layer_breaks, count_points, ensure_partitions, slope, boundary_points,
+        pyramid_retiled, retiled, render_stored, observer_many, touched_runs, travel_cost_negative_keys, mask_overlapping, ingest_nan_samples,
         boundary_points_across_tiles, collect_points, viewshed, viewshed_combine_debug, viewshed_combine_and,
         viewshed_min_altitude, fov_cut, viewshed_absolute, viewshed_flat_earth, touched_keys, travel_cost,
         max_cost, pyramid, rasterize_boundary, render_layer, render_tile, observer_viewshed, craft_viewshed,

@@ -138,9 +138,8 @@ def coarse_intervals(runs: DataFrame, most: int = MOST_INTERVALS) -> list[tuple[
     if ends.lo is None:
         return []
     width = (ends.hi - ends.lo) // most + 1
-    spread = runs.select("lo", "hi", F.explode(F.sequence(
-        F.floor((F.col("lo") - ends.lo) / width), F.floor((F.col("hi") - ends.lo) / width)
-    )).alias("part"))
+    part = lambda end: f"({end} - {ends.lo}L) div {width}L"  # noqa: E731  whole numbers, as positions exceed a double's digits
+    spread = runs.select("lo", "hi", F.expr(f"explode(sequence({part('lo')}, {part('hi')})) as part"))
     start = F.col("part") * width + ends.lo
     found = spread.groupBy("part").agg(
         F.min(F.greatest("lo", start)).alias("lo"), F.max(F.least("hi", start + (width - 1))).alias("hi")

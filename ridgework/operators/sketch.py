@@ -130,11 +130,3 @@ def brackets(groups: np.ndarray, ranks: list[int]) -> list[tuple[float, float]]:
     low = groups[LEAST][by_least][np.searchsorted(begun, ranks)]
     high = groups[MOST][by_most][np.searchsorted(ended, ranks)]
     return list(zip(low.tolist(), high.tolist()))
-
-
-def widest_doubt(groups: np.ndarray) -> float:
-    """The most cells that the rank of any value is unsure by."""
-    edges = np.unique(np.concatenate([groups[LEAST], groups[MOST]]))
-    begun = np.cumsum(np.append(0, groups[COUNT][np.argsort(groups[LEAST])]))[np.searchsorted(np.sort(groups[LEAST]), edges, side="right")]
-    ended = np.cumsum(np.append(0, groups[COUNT][np.argsort(groups[MOST])]))[np.searchsorted(np.sort(groups[MOST]), edges, side="left")]
-    return float((begun - ended).max()) if len(edges) else 0.0

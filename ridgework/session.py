@@ -53,9 +53,19 @@ def discard(*staged: DataFrame) -> None:
         drop_folder(df.sparkSession, df._staged_at)
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
+def _at(spark: SparkSession, folder: str) -> tuple:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _at(spark, folder)
+    files.delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _at(spark, folder)
+    return files.exists(path)
 
 
 def broadcastable(rows: int, row_bytes: int) -> bool:

@@ -117,14 +117,18 @@ cd(c, r, cost) using key (c, r) as (
   where n.m <= {max_cost}e0 and (o.cost is null or n.m < o.cost))"""
 
 
-def levels_sql(source: str, top: int = 3, bottom: int = 1) -> str:
-    """Rows ``zoom, c, r, z`` of the nearest-cell pyramid over ``source``."""
+def levels_parts(source: str, top: int = 3, bottom: int = 1, keys: str = "", extra: str = "") -> tuple[str, str]:
+    """The nearest-cell pyramid over ``source``: its tables, and rows ``zoom, c, r, z``; ``keys`` leads and ``extra`` ends them."""
     parts, ctes, last = [], [], source
     for zoom in range(top, bottom - 1, -1):
-        parts.append(f"select {zoom} zoom, cast(c as int) c, cast(r as int) r, cast(z as double) z from {last} where z is not null")
-        ctes.append(f"l{zoom - 1} as (select c // 2 c, r // 2 r, z from {last} where c % 2 = 1 and r % 2 = 1)")
+        parts.append(f"select {keys} {zoom} zoom, cast(c as int) c, cast(r as int) r, cast(z as double) z{extra} from {last} where z is not null")
+        ctes.append(f"l{zoom - 1} as (select {keys} c // 2 c, r // 2 r, z from {last} where c % 2 = 1 and r % 2 = 1)")
         last = f"l{zoom - 1}"
-    return ",\n".join(ctes) + "\n" + " union all ".join(parts)
+    return ",\n".join(ctes), " union all ".join(parts)
+
+
+def levels_sql(source: str, top: int = 3, bottom: int = 1, extra: str = "") -> str:
+    return "\n".join(levels_parts(source, top, bottom, extra=extra))
 
 
 def boundary_cte(source: str = "t", across: bool = False, out: str = "edge") -> str:
@@ -219,6 +223,9 @@ def oracle() -> dict[str, str]:
       ranked as (select c, r, z, row_number() over (partition by c, r order by
         power(x - (-pi() * {R_EARTH} + (c + 0.5e0) * ({world})), 2) + power(y - (pi() * {R_EARTH} - (r + 0.5e0) * ({world})), 2), lon, lat, z) nth from cells)
       select c, r, z from ranked where nth = 1"""
+    some = f"2 * pi() * {R_EARTH} / (16 * 32)"
+    sql["ingest_nan_samples"] = sql["ingest_samples"].replace(world, some).replace("where z0.z is not null", "").replace(
+        "from s0 where z is not null", "from s0 where z is not null and o_orderkey % 3 <> 0").replace("o_custkey, z0.z", "o_custkey, o_orderkey, z0.z")
     attrs = """a as (
       select 'layer-' || s_nationkey layer, 'altitude' name, cast(s_suppkey * 10 as varchar) v, s_suppkey nth from supplier
       union all select 'layer-' || s_nationkey, 'millis', cast(case when s_suppkey % 3 = 0 then -1 else s_suppkey end as varchar), s_suppkey from supplier)"""
@@ -254,6 +261,13 @@ def oracle() -> dict[str, str]:
         and t.c + 0.5e0 < (bx - ax) * (t.r + 0.5e0 - ay) / (by_ - ay) + ax then 1 else 0 end) n from t cross join e where t.z is not null group by t.c, t.r)
       select c, r, z from hit where n % 2 = 1"""
 
+    sql["mask_overlapping"] = f"""with {T}, {SUPPLIER_RINGS},
+      cell_ring as (select g, seq, x / 1000.0e0 x, (0.0e0 - y) / 1000.0e0 y from ring),
+      e as (select a.g, a.x ax, a.y ay, b.x bx, b.y by_ from cell_ring a join cell_ring b on b.g = a.g and b.seq = a.seq + 1),
+      hit as (select t.c, t.r, t.z, e.g, count(*) n from t join e on (ay > t.r + 0.5e0) <> (by_ > t.r + 0.5e0)
+        and t.c + 0.5e0 < (bx - ax) * (t.r + 0.5e0 - ay) / (by_ - ay) + ax where t.z is not null group by 1, 2, 3, 4)
+      select distinct c, r, z from hit where n % 2 = 1"""
+
     # Statistics
     sql["histogram"] = f"with {T} select cast(floor(z / 25.0e0) as bigint) bin, count(*) n from t where z is not null group by 1"
     sql["quantile_breaks"] = f"""with {T}, o as (select z, row_number() over (order by z) nth, count(*) over () n from t where z is not null)
@@ -261,6 +275,8 @@ def oracle() -> dict[str, str]:
     sql["layer_breaks"] = f"""with {T}, b as (select floor(z / 25.0e0) * 25.0e0 x, count(*) y from t where z is not null group by 1),
       cum as (select x, sum(y) over (order by x) upto, sum(y) over () total from b)
       select cast(i as int) i, min(x) as break from range(1, 33) q(i) join cum on upto * 32 >= i * total group by i"""
+    sql["histogram_approx"] = f"with {T} select cast(80 as bigint) bins, count(*) cells, true even, true near from t where z is not null"
+    sql["quantile_breaks_approx"] = "select cast(i as int) i, true near from range(1, 257) q(i)"
     sql["count_points"] = "select count(*) points from supplier"
 
     # Focal
@@ -291,6 +307,9 @@ def oracle() -> dict[str, str]:
     sql["travel_cost"] = f"with recursive {T}, {FR}, {STARTS}, {cost_cte('fr', 'starts', 20000.0)} select cast(c as int) c, cast(r as int) r, round(cost, 4) z from cd"
     sql["max_cost"] = f"with recursive {T}, {FR}, {STARTS}, {cost_cte('fr', 'starts', 7500.0)} select cast(c as int) c, cast(r as int) r, round(cost, 4) z from cd"
 
+    sql["travel_cost_negative_keys"] = f"""with recursive {T}, {FR}, {STARTS}, {cost_cte('fr', 'starts', 20000.0)}
+      select cast(c - 50 as int) c, cast(r - 40 as int) r, round(cost, 4) z from cd"""
+
     # Levels and outlines
     sql["pyramid"] = f"with {T}, {levels_sql('t')}"
     for method, function in (("mean", "avg"), ("max", "max"), ("min", "min")):
@@ -299,12 +318,40 @@ def oracle() -> dict[str, str]:
     sql["rasterize_boundary"] = f"""with {SUPPLIER_RINGS}, {edges}, {outline_cte('ed')}
       select round(x0 + (gc + 0.5e0) * sx, 3) x, round(y1 - (gr + 0.5e0) * sy, 3) y, 250.0e0 view_height, cast('-inf' as double) altitude from outline"""
 
+    tables, rows = levels_parts("t")
+    sql["pyramid_retiled"] = f"""with {T}, {tables}, every as ({rows}) select zoom, cast(c // 24 as int) col, cast(r // 24 as int) "row",
+      count(*) n, round(sum(z), 4) total from every group by 1, 2, 3"""
+    sql["retiled"] = data
+
     # Rendering
+    stops = ", ".join(f"({i}, {a}e0, {b}e0, {c}e0)" for i, (a, b, c) in enumerate(STOPS))
+    mix = lambda k: f"cast(coalesce(floor(a.{k} + (b.{k} - a.{k}) * (spot - lo) + 0.5e0), 0) as int)"
+    sql["render_stored"] = f"""with {T}, {FULL}, bars as (select floor(z / 25.0e0) * 25.0e0 x, count(*) y from t where z is not null group by 1),
+      cum as (select x, sum(y) over (order by x) upto, sum(y) over () total from bars),
+      brk as (select i, min(x) b from range(1, 33) q(i) join cum on upto * 32 >= i * total group by i),
+      sup as (select count(*) p from supplier), stops(i, red, green, blue) as (values {stops}),
+      cls as (
+        select 'by-breaks' layer, f.c, f.r, max(f.z) z, case when max(f.z) is not null then count(b) filter (b < f.z) end k, 31.0e0 steps
+          from full_cells f cross join (select b from brk where i < 32) group by f.c, f.r union all
+        select 'by-points', c, r, z, case when z is not null then least(greatest(ceil(z), 0), p) end, greatest(p, 1) * 1.0e0 from full_cells cross join sup union all
+        select 'plain', c, r, z, case when z is not null then case when z > 0 then 1 else 0 end end, 1.0e0 from full_cells),
+      pos as (select *, k * 4.0e0 / steps spot, case when z is not null then least(floor(k * 4.0e0 / steps), 3) end lo from cls)
+      select layer, cast(c as int) c, cast(r as int) r, {mix('red')} red, {mix('green')} green, {mix('blue')} blue, case when z is null then 0 else 255 end alpha
+      from pos left join stops a on a.i = lo left join stops b on b.i = lo + 1"""
     sql["render_layer"] = f"with {T}, {FULL}, {render_sql('full_cells')}"
     sql["render_tile"] = f"with {T}, {FULL}, {TOP_TILE}, one as (select f.c, f.r, f.z from full_cells f join top_tile on c // {TS} = col and r // {TS} = row), {render_sql('one')}"
 
     # Whole jobs
     sql["observer_viewshed"] = f"with {T}, {TOP_CELL}, {observer_vp}, {sight_cte('ovp', 40, 40000.0)}, {observer_out}, {levels_sql('seen')}"
+    nations = lambda name, test, height: f"""{name} as (select n_nationkey vp, 1 n, z.c, z.r, z.z eye, 0.0e0 angle, -1.0e0 fov, {height} altitude
+      from nation join t z on z.c = n_nationkey * 4 and z.r = n_nationkey % 5 where z.z is not null and {test})"""
+    tables, rows = levels_parts("seen", keys="layer,")
+    sql["observer_many"] = f"""with {T}, {nations('evp', 'n_nationkey % 2 = 0', '430.0e0 + n_nationkey')}, {nations('ovp', 'n_nationkey % 2 = 1', '430.0e0 + n_nationkey')},
+      {sight_cte('evp', 20, 20000.0)}, {sight_cte('ovp', 30, 30000.0, tag='2')},
+      seen as (select 'seen-' || vp layer, c, r, cast(vis as double) z from sight union all select 'seen-' || vp, c, r, cast(vis as double) from sight2),
+      {tables} {rows}"""
+    sql["touched_runs"] = f"""with {T}, {nations('evp', 'true', '430.0e0')}, {sight_cte('evp', 20, 20000.0)}
+      select distinct cast(c // 32 as int) col, cast(r // 32 as int) "row" from sight"""
     seen2 = f"""up as (select c // 2 c, r // 2 r, z from seen where c % 2 = 1 and r % 2 = 1),
       touched as (select distinct c // {2 * TS} col, r // {2 * TS} row from seen),
       up_full as (select col * {TS} + i.i c, row * {TS} + j.j r, up.z from touched cross join range({TS}) i(i) cross join range({TS}) j(j)
@@ -322,8 +369,8 @@ def oracle() -> dict[str, str]:
       pvp as (select row_number() over () vp, 1 n, c, r, 450.0e0 eye, 0.0e0 angle, -1.0e0 fov, cast('-inf' as double) altitude from pvp0),
       {sight_cte('pvp', 15, 15000.0)}, {observer_out}, {levels_sql('seen')}"""
     sql["travel_cost_surface"] = f"""with recursive {T}, {slope_cte()}, fs as (select c, r, z f from sl), {STARTS}, {cost_cte('fs', 'starts', 20000.0)},
-      cost as (select c, r, round(cost, 4) z from cd), {levels_sql('cost')}"""
-    sql["viewshed_terrain_prep"] = sql["pyramid"]
+      cost as (select c, r, round(cost, 4) z from cd), {levels_sql('cost', extra=', (select count(*) from cost) cells')}"""
+    sql["viewshed_terrain_prep"] = f"with {T}, {levels_sql('t', extra=', cast(80 as bigint) bins, (select count(*) from t where z is not null) cells')}"
     sql["viewshed_debug"] = f"""{near(sup)} select 'seen-' || (c // {TS}) || '-' || (r // {TS}) tile, (c + 0.5e0) * 1000.0e0 x, 0.0e0 - (r + 0.5e0) * 1000.0e0 y,
       cast(max(vis) as double) z from sight group by c, r"""
     return sql
