@@ -12,12 +12,14 @@ sets are one node from the first aggregation on.
 3. At every key all sets are compared with one of them, the one that meets most others anywhere. Every set
    is confirmed against the best of those it was compared with, on the whole sets of both texts, so that a
    family becomes one component with one confirmation per member.
-4. Keys whose members are still in several components get further turns with other members as the one; then pairs
-   across components are listed where a key has ``CROWD`` members at most.
-5. Members of larger keys (such as unlike documents around one long passage) meet instead at the rarest 15 in
-   100 of their shingles and one more, of which two alike sets share at least one: exact, and a passage that
-   many have is rare for none of them. Only sets that share their rare shingles too, without being
-   alike, are then compared pair by pair.
+4. Keys whose members are still in several components are left. Their members meet again by prefixes: all shingles have one order,
+   the rarest among these members first; of two alike sets the smaller one has one of its first 8 in 100 shingles among
+   the larger one's first 15 in 100, and what either has left from there on reaches the overlap they need.
+   That is exact, and neither a passage in many unlike documents nor a family whose members are just too far
+   apart makes its members meet. Pairs that do are scored and confirmed.
+
+A second odd sketch, of all shingles instead of samples, is part of the score: its population count never exceeds the number of
+shingles two sets differ in, so what it drops is certain.
 
 Components, not pairs, are what is kept: within one component nothing can change.
 
@@ -50,9 +52,10 @@ ALIKE = 85
 ROWS, BANDS = 5, 40
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
+WHOLE_BITS = 2048
 MISS = 1e-9
-STARS = 3
-CROWD = 128
+# Steps towards the head of a family taken before looking for what is left; each doubles the distance.
+JUMPS = 3
 # Shingles whose samples are drawn at once; few enough for the processor's cache.
 BLOCK = 128
 
@@ -104,6 +107,12 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def whole_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The odd sketch of the set itself."""
+    odd = (np.bincount((hashes % np.uint64(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 @functools.cache
 def odd_cut(alike: int = ALIKE, count: int = SAMPLES, bits: int = SKETCH_BITS, miss: float = MISS) -> int:
     """The population count that sketches of sets at resemblance ``alike`` exceed with probability ``miss`` at most.
@@ -123,28 +132,29 @@ def odd_cut(alike: int = ALIKE, count: int = SAMPLES, bits: int = SKETCH_BITS, m
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, tid, sid, n, sketch, keys`` for every row: of its text, its set (NULL if empty) and what stands for it."""
-    names = ["doc_id", "tid", "sid", "n", "sketch", "keys"]
+    """``doc_id, tid, sid, n, sketch, whole, keys`` for every row: of its text, its set (NULL if empty) and what stands for it."""
+    names = ["doc_id", "tid", "sid", "n", "sketch", "whole", "keys"]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sids, sizes, sketches, keys = [], [], [], []
+                sids, sizes, sketches, wholes, keys = [], [], [], [], []
                 for text in part.column(2):
                     hashes = shingle_set(text.as_py())
                     sizes.append(len(hashes))
                     sids.append(xxhash.xxh128_digest(hashes.tobytes(), SEED) if len(hashes) else None)
                     least = samples(hashes)
                     sketches.append(odd_sketch(least))
+                    wholes.append(whole_sketch(hashes))
                     keys.append(band_keys(least) if len(hashes) else least[:0].view(np.int64))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()),
-                    pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
                 ], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint"), _text_id("text").alias("tid"), "text").mapInArrow(
-        read, "doc_id bigint, tid binary, sid binary, n bigint, sketch array<bigint>, keys array<bigint>")
+        read, "doc_id bigint, tid binary, sid binary, n bigint, sketch array<bigint>, whole array<bigint>, keys array<bigint>")
 
 
 def _text_id(text: str) -> Column:
@@ -157,16 +167,20 @@ class Nodes:
     def __init__(self, docs: DataFrame, rows: DataFrame):
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("d"), _text_id("text").alias("t"), "text")
         found = rows.where("sid is not null").groupBy("sid").agg(
-            *[F.first(name).alias(name) for name in ("n", "sketch", "keys")], F.min(F.struct("doc_id", "tid")).alias("of"), F.min("doc_id").alias("least"))
+            *[F.first(name).alias(name) for name in ("n", "sketch", "whole", "keys")], F.min(F.struct("doc_id", "tid")).alias("of"), F.min("doc_id").alias("least"))
         self.table = stage(found.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     def scored(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``a, b`` that may be alike by size and sketch, with the sketches' ``distance``."""
-        one, two = (self.table.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b")
-        distance = functools.reduce(add, [F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_BITS // 64)])
+        """Those of the pairs ``a, b`` that may be alike by size and sketches, with the samples' ``distance``."""
+        one, two = (self.table.select(F.col("node").alias(x), *[F.col(name).alias(f"{name}_{x}") for name in ("n", "sketch", "whole")]) for x in "ab")
+
+        def apart(name: str, bits: int) -> Column:
+            return functools.reduce(add, [F.bit_count(F.col(f"{name}_a")[i].bitwiseXOR(F.col(f"{name}_b")[i])) for i in range(bits // 64)])
+
         near = (100 * F.least("n_a", "n_b") >= ALIKE * F.greatest("n_a", "n_b")) & (F.col("distance") <= odd_cut())
-        return both.withColumn("distance", distance).where(near).select("a", "b", "distance")
+        # Sets alike enough differ in (100 - ALIKE) / (100 + ALIKE) of their shingles at most.
+        certain = (100 + ALIKE) * apart("whole", WHOLE_BITS) <= (100 - ALIKE) * (F.col("n_a") + F.col("n_b"))
+        return pairs.join(one, "a").join(two, "b").withColumn("distance", apart("sketch", SKETCH_BITS)).where(near & certain).select("a", "b", "distance")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
         """``node, text`` of the nodes ``wanted``."""
@@ -209,84 +223,81 @@ def shared_bands(nodes: Nodes) -> DataFrame:
     return met
 
 
-def unsettled(met: DataFrame, links: DataFrame) -> DataFrame:
-    """``met`` with the component of every node, where a key holds several components."""
-    known = components(links).withColumnRenamed("component", "beside")
-    named = stage(met.join(known, "node", "left").withColumn("component", F.coalesce("beside", "node")).drop("beside"), "keys-named")
-    open_ = stage(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "keys-open")
-    left = stage(named.join(open_, "key"), "keys-left")
+def heads(nodes: Nodes, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the nodes of ``met`` to heads of their keys, and ``node, label``: a connected node for each that has one.
+
+    A head meets more nodes than whatever is linked to it, so following links ends.
+    """
+    central = stage(met.groupBy("node").agg(F.sum("held").alias("meets")), "meets")
+    weighed = stage(met.join(central, "node"), "keys-weighed")
+    chosen = stage(weighed.groupBy("key").agg(F.max_by("node", F.struct("meets", F.xxhash64("node"))).alias("a")), "keys-heads")
+    pairs = weighed.join(chosen, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = nodes.confirmed(nodes.scored(pairs).groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a")))
+    labels = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    for _ in range(JUMPS):
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = stage(labels.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+    discard(central, weighed, chosen)
+    return links, labels
+
+
+def unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes at keys that hold several labels; a node without one is its own."""
+    named = stage(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "keys-named")
+    open_ = stage(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "keys-open")
+    left = stage(named.join(open_, "key").select("node", "label").distinct(), "nodes-left")
     discard(named, open_)
     return left
 
 
-def stars(nodes: Nodes, met: DataFrame, links: DataFrame | None, turns: int) -> tuple[DataFrame, DataFrame]:
-    """Links after every node of ``met`` was compared with one member per key, and what is unsettled by then.
-
-    The first turn takes the member that meets most others, the next ones any other per key.
-    """
-    central = stage(met.groupBy("node").agg(F.sum("held").alias("meets")), "meets")
-    left = stage(met.join(central, "node"), "keys-weighed")
-    for turn in range(turns):
-        order = F.struct("meets", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", "key", F.lit(turn)))
-        chosen = stage(left.groupBy("key").agg(F.max_by("node", order).alias("a")), "keys-one")
-        pairs = left.join(chosen, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        best = nodes.scored(pairs).groupBy("b").agg(F.min_by("a", F.struct("distance", "a")).alias("a"))
-        found = nodes.confirmed(best)
-        links = found if links is None else stage(links.unionByName(found), "near")
-        before, left = left, unsettled(left.select("key", "node", "held", "meets"), links)
-        discard(before, chosen)
-        if left.isEmpty():
-            break
-    return links, left
-
-
-def listed(nodes: Nodes, left: DataFrame, most: int | None = None) -> DataFrame:
-    """Links between different components of one key, pair by pair, of keys with at most ``most`` members."""
-    sizes = stage(left.groupBy("key").agg(F.count("*").alias("there")), "keys-sized")
-    some = left.join(sizes if most is None else sizes.where(F.col("there") <= most), "key")
-    one, two = (some.select("key", F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    pairs = one.join(two, "key").where("a < b and c_a <> c_b")
-    return nodes.confirmed(nodes.scored(pairs.select("a", "b").distinct()))
-
-
-def rare_shingles(nodes: Nodes, crowded: DataFrame) -> DataFrame:
-    """``key, node, held``: the crowded nodes by their rarest shingles among each other, as many as alike sets cannot all differ in."""
+def prefix_pairs(nodes: Nodes, left: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes with different labels that meet by their prefixes, and no pair less that is alike."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1)):
-                hashes = shingle_set(text.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(hashes), pa.int64()), pa.array(hashes)], names=["node", "key"])
-
-    texts = nodes.texts(crowded)
-    held = stage(texts.mapInArrow(read, "node bigint, key bigint"), "shingles")
-    often = stage(held.groupBy("key").agg(F.count("*").alias("held")), "shingle-counts")
-    ranked = held.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("all"))
-    first = F.size("all") - F.ceil(F.lit(ALIKE) * F.size("all") / F.lit(100)) + 1
-    # Shingles of one node alone meet nobody; a node's own shingles are at most those of one text.
-    met = stage(ranked.select("node", F.inline(F.slice("all", F.lit(1), first.cast("int")))).where("held > 1"), "rare")
-    discard(held, often)
-    return met
-
-
-def near_links(nodes: Nodes, crowd: int = CROWD, turns: int = STARS) -> DataFrame:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingle_set(text.as_py()).view(np.int64) for text in part.column(1)]
+                of = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(np.concatenate(sets))], names=["node", "key"])
+
+    texts = stage(nodes.texts(left.select("node")), "texts-left")
+    held = texts.mapInArrow(read, "node bigint, key bigint")
+    # Shingles of one node alone meet nobody; they come first in its order, so their number is all that counts.
+    often = stage(held.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shingles-shared")
+    shared = held.join(checked_broadcast(often, 48), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("all"))
+    # What a node has left from a shared shingle on, itself included.
+    placed = shared.join(left, "node").join(nodes.table.select("node", "n"), "node").select(
+        "node", "label", "n", F.size("all").alias("common"), F.posexplode("all").alias("i", "shingle"))
+    rest = F.col("common") - F.col("i")
+    ahead = stage(placed.where(100 * rest >= ALIKE * F.col("n")).select(
+        "shingle.key", "node", "label", "n", rest.alias("rest"), ((100 + ALIKE) * rest >= 2 * ALIKE * F.col("n")).alias("early")), "prefixes")
+    one, two = (ahead.select("key", *[F.col(name).alias(f"{name}_{x}") for name in ("node", "label", "n", "rest", "early")]) for x in "ab")
+    reach = (100 + ALIKE) * F.least("rest_a", "rest_b") >= ALIKE * (F.col("n_a") + F.col("n_b"))
+    pairs = one.where("early_a").join(two, "key").where(
+        "(n_a < n_b or (n_a = n_b and node_a < node_b)) and label_a <> label_b").where(reach & (100 * F.col("n_a") >= ALIKE * F.col("n_b")))
+    found = stage(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "prefix-pairs")
+    discard(texts, often, ahead)
+    return found
+
+
+def near_links(nodes: Nodes, by_heads: bool = True) -> DataFrame:
     """Links ``a, b`` that connect all nodes linked by resemblance."""
-    links, left = stars(nodes, shared_bands(nodes), None, turns)
-    if left.isEmpty():
-        return links
-    links = stage(links.unionByName(listed(nodes, left, crowd)), "near")
-    crowded = stage(left.join(left.groupBy("key").agg(F.count("*").alias("there")).where(F.col("there") > crowd).select("key"), "key").select("node").distinct(), "crowded")
-    if crowded.isEmpty():
-        return links
-    links, left = stars(nodes, rare_shingles(nodes, crowded), links, turns)
-    return links if left.isEmpty() else links.unionByName(listed(nodes, left))
+    met = shared_bands(nodes)
+    if by_heads:
+        links, labels = heads(nodes, met)
+    else:
+        links = labels = None
+    left = unsettled(met, labels) if by_heads else stage(met.select("node", F.col("node").alias("label")).distinct(), "nodes-left")
+    found = nodes.confirmed(nodes.scored(prefix_pairs(nodes, left)))
+    return found if links is None else links.unionByName(found)
 
 
-def near_copies(docs: DataFrame, crowd: int = CROWD, turns: int = STARS) -> DataFrame:
+def near_copies(docs: DataFrame, by_heads: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; a component has the least ``doc_id`` of its rows."""
     rows = stage(sketched(docs), "sketches")
     nodes = Nodes(docs, rows)
-    links = near_links(nodes, crowd, turns)
+    links = near_links(nodes, by_heads)
     # Rows of one doc_id are one document: its sets are linked with one of them.
     ids = rows.where("doc_id is not null and sid is not null").select("doc_id", "sid")
     several = ids.groupBy("doc_id").agg(F.min(F.xxhash64("sid")).alias("lo"), F.max(F.xxhash64("sid")).alias("hi")).where("lo <> hi").select("doc_id")
