@@ -37,7 +37,8 @@ def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "__kept.n_bytes", "__kept.n_removed", "__kept.n_spans", F.col("__kept.sha256").alias("kept_sha256")
+        "doc_id", "__kept.n_bytes", "__kept.n_removed", "__kept.n_spans", F.col("__kept.sha256").alias("kept_sha256"),
+        "__kept.n_word_runs", "__kept.n_run_words",
     )
 
 

@@ -22,7 +22,7 @@ one result and one set of stretches.
 
 Repeated runs of words are found the same way: every word is written as ``CODE`` letters, so a run of
 ``WORDS`` words is a string of a fixed length whatever the words' own lengths. What a window shares beyond
-whole words is left out again.
+whole words is left out again. They are counted beside the bytes, and cut only on request.
 
 Defined cases: a NULL text is empty; texts under ``length`` bytes keep everything; repeated rows repeat
 each other; matches never cross documents; other columns pass through.
@@ -37,10 +37,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgework.llm.suffixes import common_prefix, front_code, front_decode, merge
-from ridgework.session import stage
+from ridgework.session import discard, stage
 
 LENGTH = 400
 CORE = 100
@@ -125,6 +126,11 @@ def text_id(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def own_id(docs: DataFrame) -> Column:
+    """What tells a row's text: its column ``tid``, or else the hash of ``text``."""
+    return F.col("tid") if "tid" in docs.columns else text_id("text")
+
+
 def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(1 << 16)
@@ -143,7 +149,7 @@ def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
                 pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
             ], names=["doc_id", "tid", "core", "context", "at", "first", "last"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_id("text").alias("tid"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), own_id(docs).alias("tid"), "text")
     return rows.mapInArrow(find, "doc_id bigint, tid binary, core bigint, context bigint, at int, first int, last int")
 
 
@@ -171,7 +177,9 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, core: int = CORE,
     bytes_of = stage(with_bytes(docs, unsettled, length), "context-bytes")
     few, many = bytes_of.where(F.col("held") <= crowd), bytes_of.where(F.col("held") > crowd)
     stretches = whole.unionByName(merged_stretches(few, length, core)).unionByName(counted_stretches(many, length))
-    return stretches.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
+    out = stage(stretches.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches")), "stretches")
+    discard(found, again, met, contexts, bytes_of)
+    return out
 
 
 def with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
@@ -179,7 +187,7 @@ def with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     wanted = contexts.groupBy("tid", "doc_id").agg(F.collect_list(
         F.struct("core", "context", "held", "whole", "at", "first", "last")
     ).alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), text_id("text").alias("t"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), own_id(docs).alias("t"), "text")
     joined = rows.join(wanted, (F.col("t") == F.col("tid")) & F.col("d").eqNullSafe(F.col("doc_id")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,41 +337,36 @@ def counted_stretches(contexts: DataFrame, length: int) -> DataFrame:
 
 def coded_words(text: str | None) -> str:
     """Every word as eight letters, so that runs of words are strings of fixed length."""
-    return "".join(base64.b64encode(hashlib.blake2b(word, digest_size=6).digest()).decode() for word in (text or "").encode().split())
+    digest = xxhash.xxh3_64_digest
+    return base64.b64encode(b"".join([digest(word)[:6] for word in (text or "").encode().split()])).decode()
 
 
 def repeated_words(docs: DataFrame, words: int = WORDS, core: int = CORE, crowd: int = CROWD) -> DataFrame:
-    """``tid, stretches``: the runs of at least ``words`` words that occur again, as byte offsets of the texts.
+    """``tid, runs``: where strings of ``words`` words lie that occur again, in places of the coded text.
 
-    Words are what ASCII white space parts; the white space between them does not count.
+    Words are what ASCII white space parts; the white space between them does not count. Coding a text again
+    costs less than keeping what is coded, which is as long as the text.
     """
 
     @F.arrow_udf("string")
     def coded(texts: pa.Array) -> pa.Array:
         return pa.array([coded_words(t.as_py()) for t in texts], pa.string())
 
-    plain = docs.select("doc_id", text_id("text").alias("tid"), "text")
-    # Stored once; the whole text is told by its own hash, as texts of the same words may differ in white space.
-    inner = stage(plain.select("doc_id", "tid", coded("text").alias("text")), "coded-words")
-    found = repeated_stretches(inner.select("doc_id", "text"), CODE * words, core, crowd)
-    known = inner.select("tid", text_id("text").alias("cid")).distinct()
-    runs = stage(known.join(found.select(F.col("tid").alias("cid"), "stretches"), "cid").select("tid", "stretches"), "word-runs")
+    inner = docs.select("doc_id", text_id("text").alias("tid"), coded("text").alias("text"))
+    return repeated_stretches(inner, CODE * words, core, crowd).withColumnRenamed("stretches", "runs")
 
-    def located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found_ in zip(batch.column(1), batch.column(2)):
-                spans = [m.span() for m in re.finditer(rb"[^\x09-\x0D\x20]+", text.as_py().encode())]
-                # A window may begin or end within a code; only whole words count.
-                whole = [(-(-s["lo"] // CODE), s["hi"] // CODE) for s in found_.as_py()]
-                out.append([{"lo": spans[lo][0], "hi": spans[hi - 1][1]} for lo, hi in whole if hi - lo >= words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["tid", "stretches"])
-
-    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-    texts = plain.select("tid", "text").join(runs.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    return texts.join(runs, "tid").select("tid", "text", "stretches").mapInArrow(
-        located, "tid binary, stretches array<struct<lo: int, hi: int>>"
-    )
+
+def word_runs(places: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Maximal runs of words from places of the coded text; a window may begin or end within a code, whose word is not shared."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((-(-lo // CODE), hi // CODE) for lo, hi in places):
+        if hi - lo < words:
+            continue
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def cut_out(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -380,39 +383,47 @@ def cut_out(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, words: int | None = None) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, words: int = WORDS, cut_words: bool = False,
+) -> DataFrame:
     """``docs`` with a struct column ``__kept``: ``bytes`` left, ``n_bytes``, ``n_removed``, ``n_spans``, ``sha256``.
 
-    With ``words``, runs of at least so many words that occur again go as well.
+    ``n_word_runs`` and ``n_run_words`` tell the runs of words covered by strings of ``words`` words that occur again, and
+    the words in them; with ``cut_words`` those runs go as well.
     """
-    stretches = stage(repeated_stretches(docs, length, core, crowd), "stretches")
-    if words:
-        both = stretches.unionByName(repeated_words(docs, words, core, crowd))
-        stretches = stage(both.groupBy("tid").agg(F.flatten(F.collect_list("stretches")).alias("stretches")), "stretches")
+    texts = docs.select("doc_id", "text")
+    both = repeated_stretches(texts, length, core, crowd).join(repeated_words(texts, words, core, crowd), "tid", "full")
+    stretches = stage(both, "stretches")
     joined = docs.withColumn("__tid", text_id("text")).join(stretches, F.col("__tid") == stretches["tid"], "left")
-    kind = "struct<bytes: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint, sha256: string>"
+    names = ["bytes", "n_bytes", "n_removed", "n_spans", "sha256", "n_word_runs", "n_run_words"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    kind = "struct<bytes: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint, sha256: string, n_word_runs: bigint, n_run_words: bigint>"
 
     @F.arrow_udf(kind)
-    def kept(text: pa.Array, stretches_: pa.Array) -> pa.Array:
+    def kept(text: pa.Array, stretches_: pa.Array, runs_: pa.Array) -> pa.Array:
         rows = []
-        for t, found in zip(text, stretches_):
+        for t, found, places in zip(text, stretches_, runs_):
             data = (t.as_py() or "").encode()
-            left, runs = cut_out(data, [(s["lo"], s["hi"]) for s in found.as_py() or ()])
-            rows.append((left, len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()))
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = ["bytes", "n_bytes", "n_removed", "n_spans", "sha256"]
+            gone = [(s["lo"], s["hi"]) for s in found.as_py() or ()]
+            runs = word_runs([(s["lo"], s["hi"]) for s in places.as_py() or ()], words)
+            if runs and cut_words:
+                spans = [m.span() for m in re.finditer(rb"[^\x09-\x0D\x20]+", data)]
+                gone += [(spans[lo][0], spans[hi - 1][1]) for lo, hi in runs]
+            left, n_spans = cut_out(data, gone)
+            rows.append((
+                left, len(data), len(data) - len(left), n_spans, hashlib.sha256(left).hexdigest(), len(runs), sum(hi - lo for lo, hi in runs)))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     columns = [docs[name] for name in docs.columns]
-    return joined.select(*columns, kept(docs["text"], stretches["stretches"]).alias("__kept"))
+    return joined.select(*columns, kept(docs["text"], stretches["stretches"], stretches["runs"]).alias("__kept"))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """The documents with repeated bytes (and runs of ``words``) cut from their text and ``n_chars`` counted anew.
+def cut_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """The documents with repeated bytes and runs of ``words`` cut from their text and ``n_chars`` counted anew.
 
     A character of which a part was cut goes whole; a NULL text stays NULL.
     """
-    cut = without_repeats(docs, length, words=words)
+    cut = without_repeats(docs, length, words=words, cut_words=True)
 
     @F.arrow_udf("string")
     def decoded(data: pa.Array) -> pa.Array:

@@ -21,6 +21,8 @@ def wanted(docs, length):
 
 def test_documents(spark, documents):
     assert digests(documents) == wanted(documents, 400)
+    rows = repeats.without_repeats(documents.withColumn("tid", F.lit("x"))).select("doc_id", "text", "__kept.n_word_runs", "__kept.n_run_words").collect()
+    assert [(r[2], r[3]) for r in rows] == brute.word_runs([r[1] for r in rows], 51) and sum(r[2] for r in rows) > 20
 
 
 @pytest.mark.parametrize("crowd", [20_000, 2])
