@@ -29,8 +29,8 @@ from terrain_fixtures import GRID, friction, supplier_points, supplier_rings, ta
 
 try:
     from ridgework.llm import queries as corpus
-except ModuleNotFoundError as missing:
-    # Only the subpackage itself, or the pipeline beside it, may be absent; a missing wheel must not hide its queries.
+except ImportError as missing:
+    # Only the subpackage itself may be absent; a missing wheel must not hide its queries.
     if missing.name not in ("ridgework.llm", "ridgework.llm.queries"):
         raise
     corpus = None
