@@ -50,6 +50,23 @@ def at_keys(layer: Layer, keys: DataFrame, box: tuple[int, int, int, int] | None
     return met.select(*_KEY, "cells")
 
 
+def in_blocks_of(layer: Layer, keys: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
+    """Tile rows in a box, of a stored layer only those in a block that holds one of ``keys`` (``col, row``).
+
+    The blocks' broadcast prunes the partition folders while running; too many blocks prune by the box alone.
+    """
+    tiles = in_box(layer, *box)
+    if not layer.stored:
+        return tiles
+    blocks = keys.select(block_column(layer.block_bits).alias("block")).distinct()
+    if not fits(blocks, KEY_BYTES):
+        return tiles
+    west, north, east, south = box
+    among = layer.tiles.where(in_intervals("block", box_intervals(west, north, east, south, layer.block_bits)))
+    met = among.join(F.broadcast(blocks), "block", "left_semi")
+    return met.where(F.col("col").between(west, east) & F.col("row").between(north, south)).select(*_KEY, "cells")
+
+
 def at_runs(layer: Layer, runs: DataFrame) -> DataFrame:
     """Tile rows whose position on the Z curve lies in ``runs`` (``lo, hi``).
 

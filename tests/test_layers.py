@@ -46,6 +46,39 @@ def test_mask_when_spans_do_not_fit(spark, nothing_fits):
     np.testing.assert_array_equal(got, np.where(inside(z.shape, STAR, HOLE), z, np.nan))
 
 
+# Wider than one piece of tile columns, with level edges inside tiles, a hole, and a corner on a tile border.
+WIDE = [(2.0, 1.0), (560.0, 2.25), (592.0, 12.0), (570.5, 21.75), (300.0, 21.75), (300.0, 18.0), (280.0, 18.0), (280.0, 21.75), (-9.0, 21.75)]
+SLOT = [(40.0, 8.0), (420.3, 8.0), (420.3, 15.0), (40.0, 15.0)]
+
+
+@pytest.mark.parametrize("big,stored", [(False, False), (False, True), (True, True)])
+def test_mask_keeps_whole_tiles_within_the_outline(spark, tmp_path, monkeypatch, big, stored):
+    if big:
+        monkeypatch.setattr("ridgework.session.BROADCAST_BYTES", 0)
+    z = rough((24, 600), seed=33, holes=0.0)
+    layer = layer_of(spark, z)
+    if stored:
+        catalog = Catalog(spark, str(tmp_path / "catalog"), block_bits=4)
+        catalog.write_layer(layer, "hills")
+        layer = catalog.read_layer("hills", 3)
+    got = array_of(masking.mask_layer(layer, ring_rows(spark, WIDE, SLOT)), z.shape)
+    np.testing.assert_array_equal(got, np.where(inside(z.shape, WIDE, SLOT), z, np.nan))
+
+
+def test_mask_looks_at_cells_along_the_outline_only(spark):
+    ring = [(1.0, 1.0), (4001.0, 1.0), (4001.0, 4001.0), (1.0, 4001.0)]
+    lines = masking.outline_lines(ring_rows(spark, ring), SMALL).cache()
+    border = {(t, s) for t in range(1001) for s in (0, 1000)} | {(s, t) for t in range(1001) for s in (0, 1000)}
+    got = {(r["row"], r["col"]) for r in lines.select("row", "col").distinct().collect()}
+    assert border <= got and len(got) <= 2 * len(border)
+    cover = masking.covered_keys(masking.inner_cover(lines))
+    spans = masking.outline_spans(lines, SMALL.tile_size)
+    assert cover.join(spans, ["col", "row"], "left_semi").isEmpty()
+    assert cover.where("col not between 1 and 999 or row not between 1 and 999").isEmpty()
+    assert cover.unionByName(spans.where("whole").select("col", "row")).distinct().count() == 999 * 999
+    lines.unpersist()
+
+
 @pytest.mark.parametrize("big", [False, True])
 def test_filter_keys(spark, big, monkeypatch):
     if big:
