@@ -5,8 +5,8 @@ classes). The pages of one host are merged by path into a style tree. A node's i
 entropies over the host's pages: its texts are important if each appears on few pages; its presentation
 if the sequences of its children vary. An inner node mixes its own presentation with the importance of
 the text below it, the more so the nearer the text. Branches of low importance go from every page of the
-host, and so do branches whose element says what they are (menus, footers, adverts, forms, ...). If a
-page has an article, only text within it is kept; there, low importance removes only elements other than
+host, and so do branches whose element says what they are (menus, footers, adverts, forms, ...), inline ones included.
+If a page has an article, only text within it is kept, unless ``TEASER`` times as much is left beside it; there, low importance removes only elements other than
 bare prose (a headline may well recur on near copies).
 
 Copies of a page say nothing about what is template, so equal pages of a host count once.
@@ -17,7 +17,8 @@ broadcast if there are few, else by a join whose large side adaptive execution c
 
 Defined cases: a NULL or empty html has no text; hosts with fewer than ``LEAST_PAGES`` pages are cleaned
 by their elements only; a NULL or odd url has the empty host; repeated rows are extracted each; broken
-markup is read as browsers do, as far as blocks go; other columns are ignored.
+markup is read as browsers do, as far as blocks go (a head that is not closed ends with its first text, ``<svg/>`` is
+closed, a muted inline element ends with its block); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LOW = 0.2
 LEAST_PAGES = 8
 # Weight that a node's own presentation leaves to the text below, per level.
 DAMPING = 0.9
+# An article is all of a page's main text unless as much as this many times its length stands beside it.
+TEASER = 4
 
 # Fixed lists: HTML's elements by what they mean here.
 BLOCKS = frozenset(
@@ -42,7 +45,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-HIDDEN = frozenset("script style noscript template head title svg math iframe object embed canvas audio video map textarea select button datalist".split())
+HIDDEN = frozenset("script style noscript template title svg math iframe object embed canvas audio video map textarea select button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form dialog menu search".split())
 NOISE_WORDS = frozenset(
@@ -50,7 +53,14 @@ NOISE_WORDS = frozenset(
     "notices banner sidebar comments comment respond disqus share sharing social related recommended newsletter subscribe popup "
     "modal breadcrumb breadcrumbs menu menus nav navbar navigation footer pagination pager widget".split()
 )
+# What may stand beside such a word in one name without changing what the element is.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content end fixed footer group header inner item items left link links "
+    "list main outer overlay page panel post primary right row secondary section site slot small start sticky text title top unit wrap "
+    "wrapper".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+FOREIGN = frozenset(("svg", "math"))
 MAIN_TAGS = frozenset(("article", "main"))
 CLOSES_P = BLOCKS - frozenset("html body caption dd dt legend li summary tbody td tfoot th thead tr".split()) | {"p"}
 # An article, or text elements without class all the way down from one.
@@ -63,11 +73,16 @@ ENDED_BY = {
     "td": (frozenset(("td", "th")), frozenset(("table",))), "th": (frozenset(("td", "th")), frozenset(("table",))),
     "tr": (frozenset(("tr",)), frozenset(("table",))),
 }
-_WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def names_noise(name: str) -> bool:
+    """Whether a class or id says that its element is no content: ``ad-slot`` does, ``press-notice`` does not."""
+    words = set(_DIGITS.sub("", name.lower()).replace("_", "-").split("-")) - {""}
+    return bool(words & NOISE_WORDS) and words <= NOISE_WORDS | PLACE_WORDS
+
+
 class Node:
     __slots__ = ("tag", "path", "noise", "main", "children")
 
@@ -85,6 +100,8 @@ class PageParser(HTMLParser):
         self.inner: list[tuple[str, str]] = []
         self.words: list[str] = []
         self.hidden: list[str] = []
+        # Open inline elements that are no content, with the depth of the block they are in, which ends them at last.
+        self.muted: list[tuple[str, int]] = []
 
     def _end_block(self) -> None:
         if self.words:
@@ -100,6 +117,7 @@ class PageParser(HTMLParser):
             if node.children:
                 self.inner.append((node.path, ",".join(node.children)))
         del self.stack[index:]
+        self.muted = [(tag, depth) for tag, depth in self.muted if depth <= index]
 
     def _open_index(self, tags: frozenset, limits: frozenset = frozenset()) -> int | None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -121,7 +139,11 @@ class PageParser(HTMLParser):
         if tag in HIDDEN and tag not in VOID:
             self.hidden.append(tag)
             return
+        named = {name: (value or "").lower() for name, value in attrs if name in ("class", "id", "role")}
+        called = any(names_noise(name) for key in ("class", "id") for name in named.get(key, "").split())
         if tag not in BLOCKS:
+            if tag not in VOID and (called or self.muted and tag == self.muted[-1][0]):
+                self.muted.append((tag, len(self.stack)))
             return
         self._end_block()
         if tag in CLOSES_P and (at := self._open_index(frozenset(("p",)), frozenset(("table", "td", "th")))) is not None:
@@ -130,13 +152,11 @@ class PageParser(HTMLParser):
             self._pop_to(at)
         if tag in VOID:
             return
-        named = {name: (value or "").lower() for name, value in attrs if name in ("class", "id", "role")}
         parent = self.stack[-1]
         label = tag + "".join(f".{_DIGITS.sub('0', c)}" for c in sorted(set(named.get("class", "").split())))
-        words = set(_WORD_SPLIT.split(f"{named.get('class', '')} {named.get('id', '')}"))
         noise = parent.noise or tag in NOISE_TAGS or tag == "header" and not parent.main or named.get("role") in NOISE_ROLES
         if tag not in MAIN_TAGS and tag not in ("html", "body"):
-            noise = noise or bool(words & NOISE_WORDS)
+            noise = noise or called
         parent.children.append(label)
         self.stack.append(Node(tag, f"{parent.path}/{label}", noise, (parent.main or tag in MAIN_TAGS) and not noise))
 
@@ -147,6 +167,8 @@ class PageParser(HTMLParser):
             return
         if tag == "br":
             self.words.append(" ")
+        if self.muted and tag == self.muted[-1][0]:
+            self.muted.pop()
         if tag in BLOCKS and tag not in ("html", "body"):
             at = self._open_index(frozenset((tag,)))
             if at is not None:
@@ -155,11 +177,12 @@ class PageParser(HTMLParser):
                 self._end_block()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        # In HTML a slash at the end of a start tag means nothing.
-        self.handle_starttag(tag, attrs)
+        # In HTML a slash at the end of a start tag means nothing, but for elements of other vocabularies.
+        if tag not in FOREIGN:
+            self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.muted:
             self.words.append(data)
 
     def finish(self) -> None:
@@ -259,10 +282,15 @@ def main_text(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES
     gone = stage(low_paths(parsed, low, least_pages).groupBy("host").agg(*lists), "low-paths")
     joined = parsed.drop("inner").join(checked_broadcast(gone, 8192), "host", "left")
     nothing = F.array().cast("array<string>")
-    article = F.exists("blocks", lambda b: b["main"])
-    # What holds an article stays, however little the rest of it says.
-    branches = F.when(article, F.coalesce("inside", nothing)).otherwise(F.coalesce("gone", nothing))
-    kept = F.filter("blocks", lambda b: ~b["noise"] & (b["main"] | ~article) & ~F.exists(
+    within = lambda b, branches: F.exists(
         branches, lambda path: (b["path"] == path) | F.startswith(b["path"], F.concat(path, F.lit("/")))
-    ))
+    )
+    # What holds an article stays, however little the rest of it says.
+    gone_, inside = F.coalesce("gone", nothing), F.coalesce("inside", nothing)
+    told = F.filter("blocks", lambda b: b["main"] & ~within(b, inside))
+    beside = F.filter("blocks", lambda b: ~b["noise"] & ~b["main"] & ~within(b, gone_))
+    letters = lambda blocks: F.aggregate(blocks, F.lit(0).cast("bigint"), lambda n, b: n + F.length(b["text"]))
+    article = (F.size(told) > 0) & (letters(beside) < TEASER * letters(told))
+    # A short article next to a much longer story is a teaser: both stay, in page order.
+    kept = F.filter("blocks", lambda b: F.when(b["main"], ~within(b, inside)).otherwise(~article & ~b["noise"] & ~within(b, gone_)))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

@@ -51,6 +51,12 @@ def test_blocks():
     assert text_of("<script>var t='</p>'</script><div class='ad top'>ad</div><div>keep<ul><li>1<li>2</ul></div>") == "keep\n1\n2"
     assert text_of("<article><p>a</p><section id='comments'><article><p>b</p></article></section></article>") == "a"
     assert text_of("<header>h</header><main><header>title</header><form>x</form>t</main><div>outside</div>") == "title\nt"
+    assert text_of("<html><head><title>t</title><meta charset=x><body><article><p>Hello world</p></article>") == "Hello world"
+    assert text_of("<head><title>t</title><style>p{}</style>") == "" and text_of("<head><title>t</title><p>x") == "x"
+    assert text_of("one<svg width=1 />two<math/>three<svg><title>n</title><path/></svg>") == "onetwothree"
+    assert text_of("<article><div class='press-notice'>a</div><div class='social-policy'>b</div><div class='cookie-notice'>c</div></article>") == "a\nb"
+    assert text_of("<p>a <span class='advert'>buy <span>now</span> <br> it</span>b</p><p><span class='ad-slot'>x</p><p>c</p>") == "a b\nc"
+    assert text_of("<a class='promo'><div>x</div></a><div>y</div>") == "y"
     assert text_of(None) == "" and text_of("") == "" and text_of("plain <i>text") == "plain text"
 
 
@@ -62,6 +68,14 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert page_text.main_text(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_a_teaser_is_not_the_whole_page(spark):
+    story = "<div class='content'>" + "<p>the story goes on and on</p>" * 9 + "</div>"
+    rows = [(1, "u", f"<article><p>short teaser</p></article>{story}<nav>menu</nav>", "x"),
+            (2, "u", f"<article><p>short teaser</p></article><div>{'x' * 47}</div>", "x"), (3, "u", "<article></article><p>x</p>", "x")]
+    got = {r["page_id"]: r["text"] for r in page_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "short teaser\n" + "\n".join(["the story goes on and on"] * 9), 2: "short teaser", 3: "x"}
+
+
 def test_given_pages(spark):
     pages, rows = odd_pages(spark)
     got = page_text.main_text(pages)
