@@ -1,7 +1,8 @@
 """Tool calls linked to their results, ordered, checked against schemas and written as canonical JSON.
 
-Calls and results meet by identifier in a shuffled join after both were reduced to one row per
-identifier, so no identifier is hot and no conversation is gathered. A call may need another call's
+Calls and results meet by identifier in a shuffled join, the least call of an identifier with its least
+result; whatever else bears the identifier stays as a row of its own, dealt by its values, so no identifier is hot
+and no conversation is gathered. A call may need another call's
 result first. Its depth, the number of calls before it on that chain, comes from pointer doubling: after
 each round a call knows twice as many of its predecessors, so a chain of n calls takes log2(n) rounds. A
 call is at place ``2 * depth`` and its result right behind, so ordering a conversation's rows by
@@ -12,9 +13,10 @@ white space, and numbers without trailing zeros.
 
 Only DataFrame functions are used, so nothing leaves the JVM.
 
-Defined cases: a call without result is ``unanswered``, a result without call ``orphan``; of repeated
-identifiers the least call and least result by ``turn``, then by their values, are taken, and ``copies`` counts the
-calls; rows without identifier are left out; a ``needs`` that names no call counts as nothing before;
+Defined cases: a call without result is ``unanswered``, a result without call ``orphan``; under a
+repeated identifier the least call and least result by ``turn``, then by their values, are linked, and every other
+distinct call or result is a row with status ``conflict`` (further results without any call: ``orphan``); ``copies`` and ``result_copies`` count equal
+rows; a chain goes through the linked call, so all calls of an identifier have its place; rows without identifier are left out; a ``needs`` that names no call counts as nothing before;
 arguments that are no JSON are a problem and stand in the JSON as an object that holds their text; a tool without schema is a problem;
 empty tables give no rows; other columns are ignored.
 """
@@ -72,33 +74,47 @@ def problems(types: Column, parameters: Column) -> Column:
     )
 
 
+def _leading(rows: DataFrame, values: list[str], side: str, counted: str) -> DataFrame:
+    """Distinct ``rows`` with how often each came, and ``slot``: empty for the least of its identifier.
+
+    The others have a slot of their own, which keeps an identifier with many of them from being one hot key.
+    """
+    each = rows.where("call_id is not null").groupBy("call_id", *values).agg(F.count("*").alias(counted))
+    least = each.groupBy("call_id").agg(F.min(F.struct(*values)).alias("least"))
+    slot = F.when(F.struct(*values).eqNullSafe(F.col("least")), "").otherwise(F.concat(F.lit(side), F.xxhash64(*values).cast("string")))
+    return each.join(least, "call_id").withColumn("slot", slot).drop("least")
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call and per result without call.
+    """One row per distinct call, with its result, and per distinct result that no call took.
 
     ``schemas`` has ``name, parameter, type, required``, one row per parameter.
     """
-    least = F.min(F.struct("turn", "conv_id", "name", "arguments", "needs")).alias("call")
-    called = stage(calls.select(*CALLS).where("call_id is not null").groupBy("call_id").agg(least, F.count("*").alias("copies")).select(
-        "call_id", "call.conv_id", "call.turn", "call.name", "call.arguments", "call.needs", "copies"
-    ), "calls")
-    answered = results.select(*RESULTS).where("call_id is not null").groupBy("call_id").agg(
-        F.min(F.struct("turn", "conv_id", "content")).alias("result")
-    )
+    called = stage(_leading(calls.select(*CALLS), ["turn", "conv_id", "name", "arguments", "needs"], "c", "copies"), "calls")
+    first = called.where("slot = ''")
+    answered = _leading(results.select(*RESULTS), ["turn", "conv_id", "content"], "r", "result_copies").select(
+        "call_id", "slot", "result_copies", F.struct("turn", "conv_id", "content").alias("result")
+    ).join(first.select("call_id", F.lit(True).alias("has_call")), "call_id", "left")
     parameters = schemas.groupBy("name").agg(F.collect_set(F.struct("parameter", "type", "required")).alias("parameters"))
     values = F.from_json("arguments", "map<string, variant>")
     typed = F.when(F.trim("arguments").startswith("{"), F.transform_values(values, lambda _, v: F.schema_of_variant(v)))
     checked = called.withColumn("types", typed).join(checked_broadcast(parameters, 4096), "name", "left")
     checked = checked.withColumn("problems", problems(F.col("types"), F.col("parameters"))).drop("types", "parameters")
-    linked = checked.join(depths(called.select("call_id", "needs")), "call_id").join(answered, "call_id", "full_outer")
-
-    is_call = F.col("copies").isNotNull()
-    status = F.when(~is_call, "orphan").when(F.col("result").isNull(), "unanswered").otherwise("linked")
-    found = F.when(is_call & F.col("depth").isNull(), F.concat("problems", F.array(F.lit("cycle")))).otherwise(F.col("problems"))
+    linked = checked.join(depths(first.select("call_id", "needs")), "call_id").join(answered, ["call_id", "slot"], "full_outer")
+
+    is_call, more = F.col("copies").isNotNull(), F.col("slot") != ""
+    status = F.when(more & (is_call | F.col("has_call")), "conflict").when(~is_call, "orphan").when(F.col("result").isNull(), "unanswered").otherwise("linked")
+    nothing = F.array().cast("array<string>")
+    found = F.concat(
+        F.coalesce("problems", nothing), F.when(is_call & F.col("depth").isNull(), F.array(F.lit("cycle"))).otherwise(nothing),
+        F.when(status == "conflict", F.array(F.lit("identifier taken"))).otherwise(nothing),
+    )
+    none = F.lit(0).cast("bigint")
     return linked.select(
         F.coalesce("conv_id", "result.conv_id").alias("conv_id"), "call_id", F.coalesce("turn", "result.turn").alias("turn"),
-        "name", status.alias("status"), (2 * F.col("depth")).alias("place"), F.coalesce("copies", F.lit(0).cast("bigint")).alias("copies"),
-        (is_call & (F.size(found) == 0)).alias("valid"), F.concat_ws("; ", F.coalesce(found, F.array().cast("array<string>"))).alias("problems"),
-        canonical().alias("json"),
+        "name", status.alias("status"), (2 * F.col("depth")).alias("place"), F.coalesce("copies", none).alias("copies"),
+        F.coalesce("result_copies", none).alias("result_copies"), (is_call & (F.size(found) == 0)).alias("valid"),
+        F.concat_ws("; ", found).alias("problems"), canonical().alias("json"),
     )
 
 
