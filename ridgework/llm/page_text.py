@@ -23,7 +23,6 @@ closed, a muted inline element ends with its block); other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
@@ -78,7 +77,6 @@ _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-@functools.lru_cache(4096)
 def names_noise(name: str) -> bool:
     """Whether a class or id says that its element is no content: ``ad-slot`` does, ``press-notice`` does not."""
     words = set(_DIGITS.sub("", name.lower()).replace("_", "-").split("-")) - {""}
