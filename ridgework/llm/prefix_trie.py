@@ -91,10 +91,10 @@ def rebuilt(turns: DataFrame, group: int = GROUP, heads: int = HEADS) -> tuple[D
 
     Conversation ``c`` takes its first turns from the first of its group: ``crc32(c) % heads`` at most.
     """
-    convs = stage(turns.groupBy("conv_id").agg(F.count("*").alias("n")).select(
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("n")).select(
         "conv_id", "n", (F.col("conv_id") - F.col("conv_id") % group).alias("first_of_group"),
         (F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads).alias("h"),
-    ), "conversations")
+    )
     lengths = convs.select(F.col("conv_id").alias("first_of_group"), F.col("n").alias("there"))
     sized = stage(convs.join(lengths, "first_of_group", "left").withColumn(
         "head", F.least(F.coalesce("there", F.lit(0)), "h")
@@ -178,13 +178,21 @@ def locate(open_: DataFrame, nodes: DataFrame, paths: Paths, probes: int) -> Dat
     return state.select(*open_.columns, "exit", "la", "lb", "na", "nb", *[F.col(f"edge.{name}").alias(name) for name in ("rep", "top", *END, "pa", "pb")])
 
 
+def from_root(open_: DataFrame, paths: Paths) -> DataFrame:
+    """What ``locate`` gives while the trie is empty: every key leaves it at the root, by its first turn."""
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    state = open_.withColumns({"exit": zero, "la": zero, "lb": zero})
+    state = paths.look_up(state, "key", F.lit(1), "na", "nb")
+    return state.withColumns({name: none for name in ("rep", "top", *END, "pa", "pb")})
+
+
 def insert(exits: DataFrame, nodes: DataFrame, paths: Paths) -> tuple[DataFrame, DataFrame]:
     """The nodes after a batch, and the keys that still wait; of all that leave by one turn one goes in."""
+    # Different keys have different hashes (64 bits are mixed one to one), so every reading picks the same key.
     order = F.xxhash64("key")
     leaves = exits.where("exit < len").groupBy("exit", "na", "nb").agg(*[
         F.min_by(name, order).alias(name) for name in ("key", "len", "ka", "kb", "la", "lb")
     ])
-    leaves = stage(leaves, "leaves")
     none = F.lit(None).cast("bigint")
     grown = leaves.select(
         F.col("key").alias("rep"), F.col("exit").alias("top"), F.col("len").alias("end"), F.col("ka").alias("a"), F.col("kb").alias("b"),
@@ -206,8 +214,7 @@ def insert(exits: DataFrame, nodes: DataFrame, paths: Paths) -> tuple[DataFrame,
     fresh = grown.unionByName(upper).unionByName(shorter).withColumn("f", fattest("top", "end"))
     fresh = paths.look_up(paths.look_up(fresh, "rep", F.col("f"), "fa", "fb"), "rep", F.col("top") + 1, "da", "db")
     after = stage(kept.where(~cut).select(*NODE).unionByName(fresh.select(*NODE)), "trie")
-    waiting = stage(exits.where("exit < len").join(leaves, "key", "left_anti").select("key", "len", "ka", "kb"), "keys-waiting")
-    discard(leaves)
+    waiting = stage(exits.where("exit < len").join(leaves.select("key"), "key", "left_anti").select("key", "len", "ka", "kb"), "keys-waiting")
     return after, waiting
 
 
@@ -219,7 +226,7 @@ def compacted_trie(keys: DataFrame, paths: Paths) -> DataFrame:
     probes = (waiting.agg(F.max("len")).first()[0] or 0).bit_length()
     done: list[DataFrame] = []
     while not waiting.isEmpty():
-        exits = stage(locate(waiting, nodes, paths, probes if done else 0), "exits")
+        exits = stage(locate(waiting, nodes, paths, probes) if done else from_root(waiting, paths), "exits")
         before, (nodes, left) = nodes, insert(exits, nodes, paths)
         discard(exits, waiting, *([before] if done else []))
         waiting = left
