@@ -33,7 +33,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ CODE = 8
 CROWD = 20_000
 RUN_ROWS = 20_000
 PART_ROWS = 20_000
-# Anchors of texts beyond this many bytes are found segment by segment.
-SEGMENT = 1 << 22
+# Anchors of texts beyond this many bytes are found segment by segment; a task holds some 100 bytes for each.
+SEGMENT = 1 << 18
 PLACE_BITS = 24
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -126,19 +126,18 @@ def text_id(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def own_id(docs: DataFrame) -> Column:
-    """What tells a row's text: its column ``tid``, or else the hash of ``text``."""
-    return F.col("tid") if "tid" in docs.columns else text_id("text")
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode()
 
 
-def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
+def anchors(docs: DataFrame, length: int, core: int, read: Callable[[str | None], bytes]) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(1 << 16)
         for batch in batches:
             columns: list[list[np.ndarray]] = []
             counts = []
             for text in batch.column(2):
-                columns.append(anchors_of((text.as_py() or "").encode(), hashing, length, core))
+                columns.append(anchors_of(read(text.as_py()), hashing, length, core))
                 counts.append(len(columns[-1][0]))
             if not sum(counts):
                 continue
@@ -149,15 +148,21 @@ def anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
                 pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
             ], names=["doc_id", "tid", "core", "context", "at", "first", "last"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), own_id(docs).alias("tid"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), text_id("text").alias("tid"), "text")
     return rows.mapInArrow(find, "doc_id bigint, tid binary, core bigint, context bigint, at int, first int, last int")
 
 
-def repeated_stretches(docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = CROWD) -> DataFrame:
-    """``tid, stretches array<struct<lo, hi>>``: what to cut from each text, as byte offsets, overlaps included."""
+def repeated_stretches(
+    docs: DataFrame, length: int = LENGTH, core: int = CORE, crowd: int = CROWD, read: Callable[[str | None], bytes] = utf8,
+) -> DataFrame:
+    """``tid, stretches array<struct<lo, hi>>``: what to cut from each text, as byte offsets, overlaps included.
+
+    ``read`` gives the bytes of a text that are looked at, inside the tasks that look at them, so that texts
+    are moved as they are and a task needs no second Python worker.
+    """
     if length < 2 * core:
         raise ValueError("a window must hold two cores at least")
-    found = stage(anchors(docs, length, core), "anchors")
+    found = stage(anchors(docs, length, core, read), "anchors")
     # Stored counts come to the join by a shuffle of their own, so that adaptive execution can split a hot core.
     again = stage(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     met = stage(found.join(again, "core"), "anchors-met")
@@ -174,7 +179,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, core: int = CORE,
     unsettled = contexts.join(open_cores.select("core", "held"), "core").select(
         "core", "context", "held", (F.col("n") > 1).alias("whole"), "from.*"
     )
-    bytes_of = stage(with_bytes(docs, unsettled, length), "context-bytes")
+    bytes_of = stage(with_bytes(docs, unsettled, length, read), "context-bytes")
     few, many = bytes_of.where(F.col("held") <= crowd), bytes_of.where(F.col("held") > crowd)
     stretches = whole.unionByName(merged_stretches(few, length, core)).unionByName(counted_stretches(many, length))
     out = stage(stretches.distinct().groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches")), "stretches")
@@ -182,18 +187,18 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, core: int = CORE,
     return out
 
 
-def with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+def with_bytes(docs: DataFrame, contexts: DataFrame, length: int, read: Callable[[str | None], bytes]) -> DataFrame:
     """Contexts with the bytes before (reversed) and from their anchor, read from one document that has them."""
     wanted = contexts.groupBy("tid", "doc_id").agg(F.collect_list(
         F.struct("core", "context", "held", "whole", "at", "first", "last")
     ).alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), own_id(docs).alias("t"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), text_id("text").alias("t"), "text")
     joined = rows.join(wanted, (F.col("t") == F.col("tid")) & F.col("d").eqNullSafe(F.col("doc_id")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tid, text, wanted_ in zip(*(batch.column(i) for i in range(3))):
-                data, rows_ = text.as_py().encode(), wanted_.as_py()
+                data, rows_ = read(text.as_py()), wanted_.as_py()
                 for row in rows_:
                     row["tid"] = tid.as_py()
                     row["before"] = data[row["first"]:row["at"]][::-1]
@@ -335,10 +340,10 @@ def counted_stretches(contexts: DataFrame, length: int) -> DataFrame:
     return marked.join(again, "window").select("tid", "lo", (F.col("lo") + length).alias("hi"))
 
 
-def coded_words(text: str | None) -> str:
+def coded_words(text: str | None) -> bytes:
     """Every word as eight letters, so that runs of words are strings of fixed length."""
     digest = xxhash.xxh3_64_digest
-    return base64.b64encode(b"".join([digest(word)[:6] for word in (text or "").encode().split()])).decode()
+    return base64.b64encode(b"".join([digest(word)[:6] for word in utf8(text).split()]))
 
 
 def repeated_words(docs: DataFrame, words: int = WORDS, core: int = CORE, crowd: int = CROWD) -> DataFrame:
@@ -347,13 +352,7 @@ def repeated_words(docs: DataFrame, words: int = WORDS, core: int = CORE, crowd:
     Words are what ASCII white space parts; the white space between them does not count. Coding a text again
     costs less than keeping what is coded, which is as long as the text.
     """
-
-    @F.arrow_udf("string")
-    def coded(texts: pa.Array) -> pa.Array:
-        return pa.array([coded_words(t.as_py()) for t in texts], pa.string())
-
-    inner = docs.select("doc_id", text_id("text").alias("tid"), coded("text").alias("text"))
-    return repeated_stretches(inner, CODE * words, core, crowd).withColumnRenamed("stretches", "runs")
+    return repeated_stretches(docs, CODE * words, core, crowd, coded_words).withColumnRenamed("stretches", "runs")
 
 
 def word_runs(places: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
