@@ -107,7 +107,8 @@ def sketch_of(layer: Layer, size: int | None = None) -> tuple[np.ndarray, int, i
             own.add(z[~np.isnan(z)])
         yield pa.RecordBatch.from_pylist([_row(0, own.whole(), own.under, own.over)], schema=schema)
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    # Without type hints: Spark takes a function's hints whole or not at all, and refuses them on some arguments alone.
+    def merge(key, table):
         rows = table.to_pylist()
         groups = squeezed(np.concatenate([_groups(row) for row in rows], axis=1), size)
         return pa.Table.from_pylist([_row(key[0].as_py(), groups, sum(r["under"] for r in rows), sum(r["over"] for r in rows))], schema=schema)

@@ -177,6 +177,18 @@ def test_breaks_in_two_scans(spark, monkeypatch):
     assert [(b.x, b.y) for b in bins] == [(-np.inf, 1.0), (1.0, 2.0), (np.inf, 1.0)]
 
 
+def in_many_tasks(spark, z):
+    """A layer whose tiles lie in more tasks than sketches are merged at once."""
+    layer = layer_of(spark, z)
+    return layer.with_tiles(layer.tiles.repartition(2 * sketch.FAN_IN + 5, "col", "row"))
+
+
+def test_histogram_of_many_tasks(spark):
+    z = np.floor(np.random.default_rng(8).random((40, 40)) * 30)
+    bins = stats.histogram(in_many_tasks(spark, z)).first().bins
+    assert [(b.x, b.y) for b in bins] == [(v, float(n)) for v, n in zip(*np.unique(z, return_counts=True))]
+
+
 def test_samples_are_reduced_without_sorted_aggregation(spark, monkeypatch):
     monkeypatch.setattr("ridgework.sources.ingest.SAMPLES_AT_ONCE", 50)
     grid, rng = Grid.zoomed(4, 8), np.random.default_rng(7)
