@@ -189,6 +189,13 @@ def test_histogram_of_many_tasks(spark):
     assert [(b.x, b.y) for b in bins] == [(v, float(n)) for v, n in zip(*np.unique(z, return_counts=True))]
 
 
+def test_exact_breaks_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "SKETCH", 64)
+    z = np.random.default_rng(9).standard_normal((40, 40))
+    order = np.sort(z.ravel())
+    assert stats.exact_breaks(in_many_tasks(spark, z), 50) == tuple(order[-(-i * z.size // 50) - 1] for i in range(1, 51))
+
+
 def test_samples_are_reduced_without_sorted_aggregation(spark, monkeypatch):
     monkeypatch.setattr("ridgework.sources.ingest.SAMPLES_AT_ONCE", 50)
     grid, rng = Grid.zoomed(4, 8), np.random.default_rng(7)
