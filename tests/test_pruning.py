@@ -196,6 +196,13 @@ def test_exact_breaks_of_many_tasks(spark, monkeypatch):
     assert stats.exact_breaks(in_many_tasks(spark, z), 50) == tuple(order[-(-i * z.size // 50) - 1] for i in range(1, 51))
 
 
+def test_approximate_breaks_of_many_tasks(spark):
+    z = np.random.default_rng(10).standard_normal((40, 40))
+    order = np.sort(z.ravel())
+    breaks = stats.quantile_breaks(in_many_tasks(spark, z), 50).first().breaks
+    assert breaks == [order[-(-i * z.size // 50) - 1] for i in range(1, 51)]
+
+
 def test_samples_are_reduced_without_sorted_aggregation(spark, monkeypatch):
     monkeypatch.setattr("ridgework.sources.ingest.SAMPLES_AT_ONCE", 50)
     grid, rng = Grid.zoomed(4, 8), np.random.default_rng(7)
