@@ -62,6 +62,17 @@ def test_cost_surface(spark, catalog):
     np.testing.assert_array_equal(array_of(catalog.read_layer("cost-pyramid", 3), z.shape), cost)
 
 
+def test_cost_surface_read_by_many_tasks(spark, tmp_path):
+    """A folder per tile, so that the histogram's sketch comes from several tasks."""
+    catalog, z = Catalog(spark, str(tmp_path), block_bits=0), rough((32, 32), seed=42, holes=0)
+    catalog.write_layer(layer_of(spark, z, GRID), "hills")
+    workflows.travel_cost_surface(catalog, "hills", 3, points_at(spark, [(3, 3)], GRID), max_cost=1e9)
+    cost = catalog.read_layer("cost", 3)
+    assert cost.tiles.rdd.getNumPartitions() > 1
+    assert sum(b["y"] for b in catalog.read_attribute("cost-pyramid", 0, "histogram")) == z.size
+    np.testing.assert_array_equal(array_of(catalog.read_layer("cost-pyramid", 3), z.shape), array_of(cost, z.shape))
+
+
 def test_batch_commands(spark, catalog, tmp_path):
     z = rough((16, 16), seed=42)
     catalog.write_layer(layer_of(spark, z, GRID), "hills")
