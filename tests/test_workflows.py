@@ -73,6 +73,16 @@ def test_cost_surface_read_by_many_tasks(spark, tmp_path):
     np.testing.assert_array_equal(array_of(catalog.read_layer("cost-pyramid", 3), z.shape), array_of(cost, z.shape))
 
 
+def test_terrain_prep_read_by_many_tasks(spark, tmp_path):
+    catalog, z = Catalog(spark, str(tmp_path), block_bits=0), np.floor(rough((32, 32), seed=43) / 5)
+    catalog.write_layer(layer_of(spark, z, GRID), "hills")
+    workflows.viewshed_terrain_prep(catalog, "hills", 3)
+    assert catalog.read_layer("hills", 3).tiles.rdd.getNumPartitions() > 1
+    values, counts = np.unique(z[~np.isnan(z)], return_counts=True)
+    assert [(b["x"], b["y"]) for b in catalog.read_attribute("hills-pyramid", 0, "histogram")] == list(zip(values, counts))
+    np.testing.assert_array_equal(array_of(catalog.read_layer("hills-pyramid", 3), z.shape), z)
+
+
 def test_batch_commands(spark, catalog, tmp_path):
     z = rough((16, 16), seed=42)
     catalog.write_layer(layer_of(spark, z, GRID), "hills")
