@@ -21,7 +21,8 @@ MAIL_BYTES = 40
 KEY_BYTES = 32
 _BLOCK = ["hc", "hr"]
 
-# A round's output: the settled block and, per block alongside, the rim cells it should hear of.
+# A round's output: the settled block as its reached tiles, each its number in the block followed by the costs of its
+# cells, and, per block alongside, the rim cells it should hear of.
 _MAIL = "array<struct<hc: int, hr: int, letters: array<struct<c: int, r: int, cost: double, f: double>>>>"
 _ROUND = f"hc int, hr int, cost array<double>, mail {_MAIL}"
 _DIAGONAL = 1.4142135623730951
@@ -64,23 +65,38 @@ def _spread(friction, cost, sources, res, max_cost):
             waits[lowered] = True
 
 
+def _placed(grid: Grid):
+    """Takes a settled block's ``cost`` apart: the numbers of its reached tiles and their cells."""
+    width = 1 + grid.cells_per_tile
+
+    def apart(cost):
+        tiles = numbers(cost).reshape(-1, width)
+        return tiles[:, 0].astype(np.int64), tiles[:, 1:]
+    return apart
+
+
 def _relax(grid: Grid, levels: int, max_cost: float):
     """Kernel of one round: settle each block with the mail it got, and write to the blocks alongside."""
-    ts, wide = grid.tile_size, grid.tile_size << levels
-    core = slice(_FRAME, _FRAME + wide)
-    rims = {-1: [0], 0: list(range(wide)), 1: [wide - 1]}
+    ts, wide, side, placed = grid.tile_size, grid.tile_size << levels, 1 << levels, _placed(grid)
 
-    def outgoing(col, row, lower, cost, friction):
+    def rim(step, start, length):
+        """Positions of the block's first or last line, or of any, in a part of it."""
+        if step == 0:
+            return np.arange(length)
+        at = (0 if step < 0 else wide - 1) - start
+        return np.arange(at, at + 1) if 0 <= at < length else np.arange(0)
+
+    def outgoing(col, row, north, west, lower, cost, friction):
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 if not (dx or dy):
                     continue
-                r, c = np.meshgrid(rims[dy], rims[dx], indexing="ij")
+                r, c = np.meshgrid(rim(dy, north, lower.shape[0]), rim(dx, west, lower.shape[1]), indexing="ij")
                 r, c = r.ravel(), c.ravel()
                 sent = lower[r, c]
                 r, c = r[sent], c[sent]
                 if len(r):
-                    yield (col + dx, row + dy), (col * wide + c, row * wide + r, cost[r, c], friction[r, c])
+                    yield (col + dx, row + dy), (col * wide + west + c, row * wide + north + r, cost[r, c], friction[r, c])
 
     def lists(lengths, values):
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
@@ -100,67 +116,73 @@ def _relax(grid: Grid, levels: int, max_cost: float):
         )
         return lists([len(block) for block in sent], mail)
 
-    def laid_out(tiles, hc, hr):
-        """The friction of a block from the list of its tiles."""
-        block = np.full((wide, wide), np.nan)
-        cells = numbers(tiles.field("cells").flatten()).reshape(-1, ts, ts)
-        for col, row, z in zip(numbers(tiles.field("col")), numbers(tiles.field("row")), cells):
-            down, along = (int(row) - (hr << levels)) * ts, (int(col) - (hc << levels)) * ts
-            block[down:down + ts, along:along + ts] = z
-        return block
+    def settled(batch):
+        """One block: only the part of it that its tiles span is laid out."""
+        col, row = (column(batch, name)[0].as_py() for name in _BLOCK)
+        tiles, known, mail = column(batch, "tiles")[0].values, column(batch, "cost")[0], column(batch, "mail")[0].values
+        down, along = numbers(tiles.field("row")) - (row << levels), numbers(tiles.field("col")) - (col << levels)
+        top, left = int(down.min()), int(along.min())
+        high, broad = (int(down.max()) + 1 - top) * ts, (int(along.max()) + 1 - left) * ts
+        north, west = top * ts, left * ts
+        core = slice(_FRAME, _FRAME + high), slice(_FRAME, _FRAME + broad)
+        friction = np.full((high + 2 * _FRAME, broad + 2 * _FRAME), np.nan)
+        cost = np.full(friction.shape, np.inf)
+        laid, costs = (np.full((high // ts, ts, broad // ts, ts), empty) for empty in (np.nan, np.inf))
+        laid[down - top, :, along - left] = numbers(tiles.field("cells").flatten()).reshape(-1, ts, ts)
+        if known.is_valid:
+            place, old = placed(known.values)
+            old = old.reshape(-1, ts, ts)
+            costs[place // side - top, :, place % side - left] = np.where(np.isnan(old), np.inf, old)
+        friction[core], cost[core] = laid.reshape(high, broad), costs.reshape(high, broad)
+        before = cost[core].copy()
+        c = numbers(mail.field("c")).astype(np.int64) - (col * wide + west) + _FRAME
+        r = numbers(mail.field("r")).astype(np.int64) - (row * wide + north) + _FRAME
+        # Mail beside no tile says nothing here.
+        met = (c >= 1) & (c < friction.shape[1] - 1) & (r >= 1) & (r < friction.shape[0] - 1)
+        at = (r * friction.shape[1] + c)[met]
+        offered, f = numbers(mail.field("cost"))[met], numbers(mail.field("f"))[met]
+        foreign = ~np.isnan(f)
+        friction.ravel()[at[foreign]] = f[foreign]
+        use = (offered < cost.ravel()[at]) & (friction.ravel()[at] >= 0) & (offered <= max_cost)
+        # Several blocks may offer one cell a cost.
+        np.minimum.at(cost.ravel(), at[use], offered[use])
+        _spread(friction, cost, at[use], grid.res, max_cost)
+        after = cost[core]
+        lower = after < before
+        if not lower.any():
+            return None
+        sent = list(outgoing(col, row, north, west, lower & (after < max_cost), after, friction[core]))
+        parts = after.reshape(high // ts, ts, broad // ts, ts).transpose(0, 2, 1, 3)
+        i, j = np.nonzero((parts < np.inf).any(axis=(2, 3)))
+        reached = parts[i, j]
+        reached[np.isinf(reached)] = np.nan
+        tiles = np.column_stack([(i + top) * side + j + left, reached.reshape(len(i), ts * ts)])
+        return pa.RecordBatch.from_arrays(
+            [column(batch, "hc"), column(batch, "hr"), list_array(tiles[None]), post([sent])], ["hc", "hr", "cost", "mail"])
 
     def kernel(batches):
-        for batch in slices(batches, wide * wide):
-            tiles, mails, known = column(batch, "tiles"), column(batch, "mail"), column(batch, "cost")
-            kept, costs, sent = [], [], []
-            for i, (col, row) in enumerate(zip(column(batch, "hc").to_pylist(), column(batch, "hr").to_pylist())):
-                friction = np.full((wide + 2 * _FRAME,) * 2, np.nan)
-                cost = np.full(friction.shape, np.inf)
-                friction[core, core] = laid_out(tiles[i].values, col, row)
-                if known[i].is_valid:
-                    old = numbers(known[i].values).reshape(wide, wide)
-                    cost[core, core] = np.where(np.isnan(old), np.inf, old)
-                before = cost[core, core].copy()
-                mail = mails[i].values
-                c = numbers(mail.field("c")) - col * wide + _FRAME
-                r = numbers(mail.field("r")) - row * wide + _FRAME
-                at = r.astype(np.int64) * friction.shape[1] + c
-                offered, f = numbers(mail.field("cost")), numbers(mail.field("f"))
-                foreign = ~np.isnan(f)
-                friction.ravel()[at[foreign]] = f[foreign]
-                use = (offered < cost.ravel()[at]) & (friction.ravel()[at] >= 0) & (offered <= max_cost)
-                # Several blocks may offer one cell a cost.
-                np.minimum.at(cost.ravel(), at[use], offered[use])
-                _spread(friction, cost, at[use], grid.res, max_cost)
-                after = cost[core, core]
-                lower = after < before
-                if not lower.any():
-                    continue
-                kept.append(i)
-                costs.append(np.where(np.isinf(after), np.nan, after))
-                sent.append(list(outgoing(col, row, lower & (after < max_cost), after, friction[core, core])))
-            if kept:
-                rows = pa.array(kept)
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "hc").take(rows), column(batch, "hr").take(rows), list_array(np.stack(costs)), post(sent)],
-                    ["hc", "hr", "cost", "mail"],
-                )
+        """A block at a time, whatever the number of blocks a task has."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = settled(batch.slice(i, 1))
+                if found is not None:
+                    yield found
     return kernel
 
 
 def _tiles_of_blocks(grid: Grid, levels: int):
-    """Kernel: the tiles of settled blocks, those without a reached cell left out."""
-    ts, side = grid.tile_size, 1 << levels
+    """Kernel: the reached tiles of settled blocks."""
+    ts, side, placed = grid.tile_size, 1 << levels, _placed(grid)
 
     def kernel(batches):
         for batch in slices(batches, (ts << levels) ** 2):
-            flat = numbers(column(batch, "cost").flatten())
-            block = flat.reshape(batch.num_rows, side, ts, side, ts).transpose(0, 1, 3, 2, 4).reshape(-1, ts * ts)
-            kept = np.flatnonzero(~np.isnan(block).all(axis=1))
-            owner, place = np.divmod(kept, side * side)
-            col, row = ((numbers(column(batch, name))[owner].astype(np.int64) << levels) for name in ("hc", "hr"))
+            costs = column(batch, "cost")
+            owner = np.repeat(np.arange(batch.num_rows), numbers(costs.value_lengths()) // (1 + ts * ts))
+            place, cells = placed(costs.flatten())
+            down, along = np.divmod(place, side)
+            col, row = ((numbers(column(batch, name))[owner].astype(np.int64) << levels) for name in _BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((col + place % side).astype(np.int32)), pa.array((row + place // side).astype(np.int32)), list_array(block[kept])],
+                [pa.array((col + along).astype(np.int32)), pa.array((row + down).astype(np.int32)), list_array(cells)],
                 ["col", "row", "cells"],
             )
     return kernel

@@ -1,6 +1,7 @@
 import heapq
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grids import SMALL, array_of, layer_of, points_at, rough
@@ -119,3 +120,26 @@ def test_result_does_not_depend_on_the_tiling(spark):
     a = travel_cost(layer_of(spark, f), starts, 2000.0)
     b = travel_cost(layer_of(spark, f, Grid(32, 0.0, 0.0, 10.0)), starts, 2000.0)
     np.testing.assert_array_equal(array_of(a, f.shape), array_of(b, f.shape))
+
+
+def test_a_round_stores_reached_tiles_and_takes_a_block_at_a_time(spark, monkeypatch):
+    """Narrow ground in wide blocks: the log holds the tiles that were reached, and a batch of many blocks is settled one by one."""
+    stored, laid = [], []
+    appended = operator.History.append
+    monkeypatch.setattr(operator.History, "append", lambda self, rows: stored.append(appended(self, rows)) or stored[-1])
+    monkeypatch.setattr(operator, "SETTLE_CELLS", 32 * 32)
+    ground = np.ones((70, 6))
+    ground[:, 3] = np.nan
+    ground[35, 3] = 2.0
+    layer = layer_of(spark, ground)
+    got = array_of(travel_cost(layer, points_at(spark, [(0, 0), (5, 69)]), 1e9), ground.shape)
+    np.testing.assert_allclose(got, dijkstra(ground, [(0, 0), (5, 69)], 1e9, SMALL.res))
+    assert all(len(row.cost) <= 2 * 8 * 17 for rows in stored for row in rows.select("cost").collect())
+
+    cells = pa.array([[1.0] * 16], pa.list_(pa.float64()))
+    tiles = pa.ListArray.from_arrays([0, 1], pa.StructArray.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), cells], ["col", "row", "cells"]))
+    letters = pa.array([[{"c": 0, "r": 0, "cost": 0.0, "f": None}]], pa.list_(pa.struct([("c", pa.int32()), ("r", pa.int32()), ("cost", pa.float64()), ("f", pa.float64())])))
+    one = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), tiles, letters, pa.array([None], pa.list_(pa.float64()))], ["hc", "hr", "tiles", "mail", "cost"])
+    many = pa.Table.from_batches([one] * 3).combine_chunks().to_batches()
+    found = list(operator._relax(SMALL, 2, 1e9)(many))
+    assert [batch.num_rows for batch in found] == [1, 1, 1] and len(found[0].column(2)[0]) == 17
