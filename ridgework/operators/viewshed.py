@@ -6,7 +6,7 @@ seen when its gradient is no lower than that of every step before it. That runni
 at tile borders, so the work is two passes over the tiles in reach with one small exchange:
 
 1. each tile reports, per ray crossing it, the highest gradient inside the tile;
-2. a window over those reports gives the highest gradient before each tile;
+2. the reports of some thousand rays of a viewpoint meet and give the highest gradient before each tile;
 3. each tile, told what its rays met before, marks its seen cells.
 
 Only reports are exchanged, about ``R / tile_size`` of them per ray, never single steps.
@@ -18,12 +18,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ridgework.functions.keys import index_in_tile, map_to_cell, tile_of
 from ridgework.grid import EARTH_RADIUS, Grid
 from ridgework.layer import Layer
-from ridgework.operators.arrow_tiles import column, list_array, numbers, slices, tile_block
+from ridgework.operators.arrow_tiles import CELLS_AT_ONCE, column, list_array, members, numbers, slices, tile_block
 from ridgework.operators.pruning import at_keys
 from ridgework.session import broadcastable, checked_broadcast, fits, merge_join, spread, stage, stream_join
 
@@ -34,12 +34,18 @@ HEIGHT_MODES = ("above_ground", "absolute")
 # that neither their number nor the number of their rays grows with the data.
 UNIT_VIEWPOINTS = 256
 UNIT_RAYS = 1 << 20
-# Rays of one viewpoint handled at once inside a kernel.
+# Rays handled at once inside a kernel: more where tiles are small.
 RAYS_AT_ONCE = 1024
+STEPS_AT_ONCE = 1 << 16
+# Rays of one viewpoint whose reports travel in one row and meet in one group.
+REPORT_RAYS = 4096
 # Partial results of one tile added up in one group.
 FAN_IN = 64
 VIEWPOINT_BYTES = 160
 
+# The sides of a rim: whether steps advance along rows, which way, and how far past the corner the first ray is.
+_SIDES = np.array([(1, -1, 0), (0, 1, 0), (1, 1, 1), (0, -1, 1)])
+
 _TILE = ["col", "row"]
 _SEEN_FROM = ("vp", "c", "r", "eye", "n", "angle", "fov", "altitude", "far", "reach")
 _VIEW = ("view_height", "angle", "fov", "altitude", "far")
@@ -136,112 +142,172 @@ def _units(pairs: DataFrame, terrain: Layer, box, per_unit: int, of: list[str])
     return stream_join(spread(reached, unit), crews, unit, "inner", is_small=False), unit, salts
 
 
-def _crossings(c: int, r: int, col: int, row: int, ts: int, reach: int):
-    """Steps of a viewpoint's rays that fall in a tile, in blocks of rays.
+def _fans(seers: dict[str, np.ndarray], key: tuple[int, int], ts: int, reach: int):
+    """Which rays of viewpoints of one ``reach`` cross a tile: the four sides of their rims as rows, viewpoint by viewpoint.
 
-    Yields ``(ray, dx, dy, k, dc, dr, inside)``: per ray its number and rim offset; per step (first
-    axis) and ray (second axis) the cell offset and whether it lies in the tile. The four sides of
-    the rim differ in which axis advances by one cell per step, and which way.
+    Of each: its viewpoint, where the tile begins along the axis that advances by one cell per step and across
+    it, the first and last step there, and the first ray (by its offset on the rim) and the number of rays.
     """
-    sides = ((True, -1, -reach), (False, 1, -reach), (True, 1, 1 - reach), (False, -1, 1 - reach))
-    for side, (along_rows, sign, first) in enumerate(sides):
-        lead = (row * ts - r) if along_rows else (col * ts - c)
-        low = (col * ts - c) if along_rows else (row * ts - r)
-        ends = sorted((sign * lead, sign * (lead + ts - 1)))
-        k = np.arange(max(ends[0], 1), min(ends[1], reach) + 1, dtype=np.int64)
-        if not len(k):
-            continue
-        # floor((2 k j + R) / 2R) >= m  exactly when  j >= ceil((2 R m - R) / 2k)
-        least = -((reach - 2 * reach * low) // (2 * k))
-        beyond = -((reach - 2 * reach * (low + ts)) // (2 * k))
-        start, stop = max(int(least.min()), first), min(int(beyond.max()), first + 2 * reach)
-        for block in range(start, stop, RAYS_AT_ONCE):
-            j = np.arange(block, min(block + RAYS_AT_ONCE, stop), dtype=np.int64)
-            across = (2 * k[:, None] * j + reach) // (2 * reach)
-            ahead = np.broadcast_to(sign * k[:, None], across.shape)
-            rim = np.full(len(j), sign * reach)
-            ray = side * 2 * reach + (j - first)
-            inside = (across >= low) & (across < low + ts)
-            if along_rows:
-                yield ray, j, rim, k, across, ahead, inside
-            else:
-                yield ray, rim, j, k, ahead, across, inside
-
-
-def _gradients(cells, seer, key, grid, curvature):
-    """Per block of rays: ``ray, k, usable, index, gradient, target gradient``."""
-    ts = grid.tile_size
-    for ray, dx, dy, k, dc, dr, inside in _crossings(seer["c"], seer["r"], key[0], key[1], ts, seer["reach"]):
-        local_c = np.clip(dc + (seer["c"] - key[0] * ts), 0, ts - 1)
-        local_r = np.clip(dr + (seer["r"] - key[1] * ts), 0, ts - 1)
-        index = local_r * ts + local_c
+    who = np.repeat(np.arange(len(seers["c"])), len(_SIDES))
+    along, sign, shift = (np.tile(values, len(seers["c"])) for values in _SIDES.T)
+    first = shift - reach
+    beside, below = key[0] * ts - seers["c"][who], key[1] * ts - seers["r"][who]
+    lead, low = np.where(along, below, beside), np.where(along, beside, below)
+    ends = np.sort([sign * lead, sign * (lead + ts - 1)], axis=0)
+    nearest, farthest = np.maximum(ends[0], 1), np.minimum(ends[1], reach)
+    k = nearest[:, None] + np.arange(ts)
+    within = k <= farthest[:, None]
+    # floor((2 k j + R) / 2R) >= m  exactly when  j >= ceil((2 R m - R) / 2k)
+    least = np.where(within, -((reach - 2 * reach * low[:, None]) // (2 * k)), 4 * reach).min(axis=1)
+    beyond = np.where(within, -((reach - 2 * reach * (low[:, None] + ts)) // (2 * k)), -4 * reach).max(axis=1)
+    start, stop = np.maximum(least, first), np.minimum(beyond, first + 2 * reach)
+    return who, lead, low, nearest, farthest, start, np.maximum(stop - start, 0)
+
+
+def _crossings(seers: dict[str, np.ndarray], key: tuple[int, int], ts: int, reach: int):
+    """Steps of viewpoints' rays that fall in a tile, in blocks of rays, which may be of several viewpoints.
+
+    Yields ``(who, ray, dx, dy, k, d2, index, inside)``: per ray its viewpoint, number, rim offset and first step here;
+    per step (first axis) and ray (second axis) the squared distance in cells, the cell and whether it lies in the tile.
+    The four sides of the rim differ in which axis advances by one cell per step, and which way.
+    """
+    who, lead, low, nearest, farthest, start, count = _fans(seers, key, ts, reach)
+    upto = np.cumsum(count)
+    at_once = max(RAYS_AT_ONCE, STEPS_AT_ONCE // ts)
+    for block in range(0, int(upto[-1]) if len(upto) else 0, at_once):
+        place = np.arange(block, min(block + at_once, upto[-1]))
+        fan = np.searchsorted(upto, place, side="right")
+        j = start[fan] + place - (upto - count)[fan]
+        side = fan % len(_SIDES)
+        along, sign, shift = _SIDES[side].T
+        k = nearest[fan] + np.arange(int((farthest - nearest)[fan].max()) + 1)[:, None]
+        across = (2 * k * j + reach) // (2 * reach)
+        ahead, over = sign * k - lead[fan], across - low[fan]
+        inside = (k <= farthest[fan]) & (over >= 0) & (over < ts)
+        index = np.where(inside, over * np.where(along, 1, ts) + ahead * np.where(along, ts, 1), 0)
+        dx, dy = np.where(along, j, sign * reach), np.where(along, sign * reach, j)
+        yield who[fan], side * 2 * reach + (j + reach - shift), dx, dy, k[0], k * k + across * across, index, inside
+
+
+def _gradients(cells, seers, key, grid, curvature):
+    """Per block of rays: ``who, ray, k, usable, index, gradient, target gradient``; seers are all of one reach."""
+    ts, reach = grid.tile_size, int(seers["reach"][0])
+    filtered = bool((seers["fov"] > -1.0).any())
+    for who, ray, dx, dy, k, d2, index, inside in _crossings(seers, key, ts, reach):
+        eye = seers["eye"][who]
         z = cells[index]
-        d = np.sqrt((dc * dc + dr * dr).astype(np.float64)) * grid.res
-        usable = inside & (d <= seer["far"]) & ~np.isnan(z)
-        if seer["fov"] > -1.0:
-            toward = dx * math.cos(seer["angle"]) - dy * math.sin(seer["angle"])
-            usable &= toward / np.sqrt((dx * dx + dy * dy).astype(np.float64)) >= seer["fov"]
+        d = np.sqrt(d2.astype(np.float64)) * grid.res
+        usable = inside & (d <= seers["far"][who]) & ~np.isnan(z)
+        if filtered:
+            fov = seers["fov"][who]
+            toward = dx * seers["cos"][who] - dy * seers["sin"][who]
+            usable &= ~(fov > -1.0) | (toward / np.sqrt((dx * dx + dy * dy).astype(np.float64)) >= fov)
         drop = d * d / (2.0 * EARTH_RADIUS) if curvature else 0.0
-        gradient = np.where(usable, (z - drop - seer["eye"]) / d, -np.inf)
+        gradient = np.where(usable, (z - drop - eye) / d, -np.inf)
         # An object that does not rise above the ground is seen exactly where the ground is.
         target = gradient
-        if seer["altitude"] > -np.inf:
-            target = (np.fmax(z, seer["altitude"]) - drop - seer["eye"]) / d
-        yield ray, k, usable, index, gradient, target
-
-
-def _seers(crew: pa.Array) -> list[dict]:
-    names = [crew.type.field(i).name for i in range(crew.type.num_fields)]
-    return [dict(zip(names, values)) for values in zip(*(crew.field(n).to_pylist() for n in names))]
+        altitude = seers["altitude"][who]
+        if (altitude > -np.inf).any():
+            target = (np.fmax(z, altitude) - drop - eye) / d
+        yield who, ray, k, usable, index, gradient, target
+
+
+def _crews(crew: pa.Array, ts: int):
+    """The viewpoints of a unit as arrays by name, in groups of one reach whose counts stay small beside the tile's batch."""
+    seers = {name: numbers(crew.field(name)).astype(np.int64) for name in ("vp", "c", "r", "n", "reach")}
+    # A missing number raises, as in any sum.
+    given = {name: [float(value) for value in crew.field(name).to_pylist()] for name in ("eye", "fov", "altitude", "far")}
+    angles = crew.field("angle").to_pylist()
+    given |= {name: [of(angle) if fov > -1.0 else 0.0 for angle, fov in zip(angles, given["fov"])] for name, of in (("cos", math.cos), ("sin", math.sin))}
+    seers |= {name: np.array(values) for name, values in given.items()}
+    size = max(CELLS_AT_ONCE // (ts * ts), 1)
+    for reach in np.unique(seers["reach"]):
+        chosen = np.flatnonzero(seers["reach"] == reach)
+        for first in range(0, len(chosen), size):
+            yield {name: values[chosen[first:first + size]] for name, values in seers.items()}
 
 
 def _tile_units(batch: pa.RecordBatch, ts: int):
-    """Per row of a batch: its key, flat cells and viewpoints."""
+    """Per row of a batch: its key, flat cells and groups of viewpoints."""
     blocks = tile_block(batch, ts)
     crews = column(batch, "crew")
     keys = zip(column(batch, "col").to_pylist(), column(batch, "row").to_pylist())
     for i, key in enumerate(keys):
-        yield i, key, blocks[i].ravel(), _seers(crews[i].values)
+        yield i, key, blocks[i].ravel(), _crews(crews[i].values, ts)
 
 
 def _reports(unit: list[str], grid: Grid, curvature: bool):
     """Kernel of the first pass: highest gradient of each ray inside each tile."""
     def kernel(batches):
         for batch in slices(batches, grid.cells_per_tile):
-            for i, key, cells, seers in _tile_units(batch, grid.tile_size):
+            for i, key, cells, crews in _tile_units(batch, grid.tile_size):
                 found = {"vp": [], "ray": [], "k": [], "top": []}
-                for seer in seers:
-                    for ray, k, usable, _, gradient, _ in _gradients(cells, seer, key, grid, curvature):
+                for seers in crews:
+                    for who, ray, k, usable, _, gradient, _ in _gradients(cells, seers, key, grid, curvature):
                         met = np.flatnonzero(usable.any(axis=0))
-                        found["vp"].append(np.full(len(met), seer["vp"], dtype=np.int64))
+                        found["vp"].append(seers["vp"][who[met]])
                         found["ray"].append(ray[met])
-                        found["k"].append(k[usable.argmax(axis=0)[met]])
+                        found["k"].append(k[met] + usable.argmax(axis=0)[met])
                         found["top"].append(gradient.max(axis=0)[met])
-                if not found["vp"]:
+                flat = {name: np.concatenate(parts) for name, parts in found.items() if parts}
+                if not len(flat.get("vp", ())):
                     continue
-                flat = {name: np.concatenate(parts) for name, parts in found.items()}
-                count = len(flat["vp"])
-                keys = [np.full(count, column(batch, n)[i].as_py(), dtype=np.int64) for n in unit]
+                # Rays come viewpoint by viewpoint and in order.
+                vp, part = flat["vp"], flat["ray"] // REPORT_RAYS
+                first = np.flatnonzero(np.append(True, (np.diff(vp) != 0) | (np.diff(part) != 0)))
+                keys = [pa.array(np.full(len(first), column(batch, n)[i].as_py(), dtype=np.int64)) for n in unit]
+                lists = [_lists(first, flat["ray"]), _lists(first, flat["k"].astype(np.int32)), _lists(first, flat["top"])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a) for a in keys]
-                    + [pa.array(flat["vp"]), pa.array(flat["ray"]), pa.array(flat["k"].astype(np.int32)), pa.array(flat["top"])],
-                    [*unit, "vp", "ray", "k", "top"],
-                )
+                    [*keys, pa.array(vp[first]), pa.array(part[first]), *lists], [*unit, "vp", "part", "ray", "k", "top"])
+    return kernel
+
+
+def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
+    """``values`` as lists that begin at the places ``first``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _before(unit: list[str]):
+    """Kernel between the passes: of the reports of some rays, the highest gradient each met before each unit."""
+    def kernel(batches):
+        for batch in batches:
+            owner, reports = members(column(batch, "met"))
+            piece, ray = members(reports.field("ray"))
+            ray, k, top = numbers(ray), numbers(reports.field("k").flatten()), numbers(reports.field("top").flatten())
+            order = np.lexsort((k, ray, owner[piece]))
+            piece, ray, top = piece[order], ray[order], top[order]
+            new = np.append(True, (np.diff(owner[piece]) != 0) | (np.diff(ray) != 0))[: len(ray)]
+            start = np.flatnonzero(new)
+            place = np.arange(len(ray)) - np.repeat(start, np.diff(np.append(start, len(ray))))
+            highest = np.full(len(ray), -np.inf)
+            # One step per unit a ray crosses, for all rays together.
+            by_place = np.argsort(place, kind="stable")
+            for at in np.split(by_place, np.cumsum(np.bincount(place)))[1:-1]:
+                highest[at] = np.maximum(highest[at - 1], top[at - 1])
+            later = np.flatnonzero(~new)
+            later = later[np.argsort(piece[later], kind="stable")]
+            if not len(later):
+                continue
+            first = np.flatnonzero(np.append(True, np.diff(piece[later]) != 0))
+            told = pa.array(piece[later][first])
+            yield pa.RecordBatch.from_arrays(
+                [reports.field(name).take(told) for name in unit]
+                + [column(batch, "vp").take(pa.array(owner[piece[later][first]])), _lists(first, ray[later]), _lists(first, highest[later])],
+                [*unit, "vp", "ray", "top"],
+            )
     return kernel
 
 
-def _earlier(told: pa.Array, seers: list[dict]) -> dict[int, np.ndarray]:
-    """Per viewpoint, the highest gradient each of its rays met before this tile."""
-    vp, ray, top = (numbers(told.field(n)) for n in ("vp", "ray", "top"))
-    order = np.argsort(vp, kind="stable")
-    cuts = np.flatnonzero(np.diff(vp[order])) + 1
-    earlier, reach = {}, {seer["vp"]: seer["reach"] for seer in seers}
-    for part in np.split(order, cuts):
-        if len(part):
-            seer = int(vp[part[0]])
-            tops = np.full(8 * reach[seer], -np.inf)
-            tops[ray[part]] = top[part]
-            earlier[seer] = tops
+def _earlier(told: pa.Array | None, seers: dict[str, np.ndarray]) -> np.ndarray:
+    """Per viewpoint (a row each), the highest gradient each of its rays met before this tile."""
+    earlier = np.full((len(seers["vp"]), 8 * int(seers["reach"][0])), -np.inf)
+    if told is not None:
+        row, ray = members(told.field("ray"))
+        vp, ray, top = numbers(told.field("vp"))[row], numbers(ray), numbers(told.field("top").flatten())
+        order = np.argsort(seers["vp"])
+        at = order[np.minimum(np.searchsorted(seers["vp"], vp, sorter=order), len(order) - 1)]
+        own = seers["vp"][at] == vp
+        earlier[at[own], ray[own]] = top[own]
     return earlier
 
 
@@ -253,21 +319,22 @@ def _sightings(unit: list[str], grid: Grid, curvature: bool):
         for batch in slices(batches, grid.cells_per_tile):
             told = column(batch, "told")
             counts, kept = [], []
-            for i, key, cells, seers in _tile_units(batch, ts):
-                earlier = _earlier(told[i].values, seers) if told[i].is_valid else {}
+            for i, key, cells, crews in _tile_units(batch, ts):
                 total, reached = np.zeros(ts * ts), np.zeros(ts * ts, dtype=bool)
-                for seer in seers:
-                    seen = np.zeros(ts * ts, dtype=bool)
-                    before = earlier.get(seer["vp"])
-                    for ray, _, usable, index, gradient, target in _gradients(cells, seer, key, grid, curvature):
-                        start = np.full(len(ray), -np.inf) if before is None else before[ray]
-                        highest = np.maximum.accumulate(np.vstack([start, gradient]), axis=0)[:-1]
-                        seen[index[usable & (target >= highest)]] = True
+                for seers in crews:
+                    seen = np.zeros((len(seers["vp"]), ts * ts), dtype=bool)
+                    earlier = _earlier(told[i].values if told[i].is_valid else None, seers)
+                    for who, ray, _, usable, index, gradient, target in _gradients(cells, seers, key, grid, curvature):
+                        highest = np.maximum.accumulate(np.vstack([earlier[who, ray], gradient]), axis=0)[:-1]
+                        sees = usable & (target >= highest)
+                        seen[np.broadcast_to(who, sees.shape)[sees], index[sees]] = True
                         reached[index[usable]] = True
-                    own = (seer["c"] - key[0] * ts, seer["r"] - key[1] * ts)
-                    if 0 <= own[0] < ts and 0 <= own[1] < ts and not np.isnan(cells[own[1] * ts + own[0]]):
-                        seen[own[1] * ts + own[0]] = reached[own[1] * ts + own[0]] = True
-                    total += seen * seer["n"]
+                    c, r = seers["c"] - key[0] * ts, seers["r"] - key[1] * ts
+                    here = np.flatnonzero((c >= 0) & (c < ts) & (r >= 0) & (r < ts))
+                    own = r[here] * ts + c[here]
+                    here, own = here[~np.isnan(cells[own])], own[~np.isnan(cells[own])]
+                    seen[here, own] = reached[own] = True
+                    total += seers["n"].astype(np.float64) @ seen
                 if reached.any():
                     kept.append(i)
                     counts.append(np.where(reached, total, np.nan))
@@ -318,11 +385,11 @@ def _seen(terrain: Layer, viewpoints: DataFrame, curvature: bool, operator: str,
     per_unit = min(max(UNIT_RAYS // (8 * box.margin), 1), UNIT_VIEWPOINTS)
     units, unit, salts = _units(_pairs(seers, grid), terrain, box, per_unit, of)
 
-    reports = units.mapInArrow(_reports(unit, grid, curvature), _schema(unit, "vp bigint, ray bigint, k int, top double"))
-    before = Window.partitionBy("vp", "ray").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    reports = units.mapInArrow(
+        _reports(unit, grid, curvature), _schema(unit, "vp bigint, part bigint, ray array<bigint>, k array<int>, top array<double>"))
+    met = reports.groupBy("vp", "part").agg(F.collect_list(F.struct(*unit, "ray", "k", "top")).alias("met"))
     told = (
-        reports.select(*unit, "vp", "ray", F.max("top").over(before).alias("top"))
-        .where(F.col("top").isNotNull())
+        met.mapInArrow(_before(unit), _schema(unit, "vp bigint, ray array<bigint>, top array<double>"))
         .groupBy(*unit)
         .agg(F.collect_list(F.struct("vp", "ray", "top")).alias("told"))
     )

@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grids import SMALL, array_of, layer_of, rough
 from ridgework import Grid
 from ridgework.grid import EARTH_RADIUS
+from ridgework.operators import viewshed as operator
 from ridgework.operators.viewshed import touched_keys, viewshed
 
 FIELDS = "x double, y double, view_height double, angle double, fov double, altitude double"
@@ -124,3 +126,24 @@ def test_bad_words_are_refused(spark):
             viewshed(layer, seers(spark, [(1, 1, 1)]), 40.0, **options)
     with pytest.raises(ValueError):
         viewshed(layer, seers(spark, [(1, 1, 1)]), 4.0)
+
+
+def test_viewpoints_of_a_tile_share_kernel_calls(spark, monkeypatch):
+    """Reports travel a row per viewpoint and tile, and the rays of a tile's viewpoints are handled together."""
+    rows, blocks = [], []
+    kernel, gradients = operator._reports, operator._gradients
+    monkeypatch.setattr(operator, "_gradients", lambda *args: blocks.append(1) or gradients(*args))
+    crew = [{"vp": v, "c": v % 4, "r": v // 4, "eye": 9.0, "n": 1, "angle": 0.0, "fov": -1.0, "altitude": -np.inf, "far": 80.0, "reach": 8} for v in range(16)]
+    kind = pa.struct([(n, pa.int64()) for n in ("vp", "c", "r", "n", "reach")] + [(n, pa.float64()) for n in ("eye", "angle", "fov", "altitude", "far")])
+    one = pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([[1.0] * 16]), pa.array([crew], pa.list_(kind))], ["col", "row", "cells", "crew"])
+    for batch in kernel(["col", "row"], SMALL, True)([one]):
+        rows += batch.to_pylist()
+    assert len(blocks) == 1 and [row["vp"] for row in rows] == list(range(16))
+
+
+def test_reports_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(operator, "REPORT_RAYS", 5)
+    z, rows = rough((13, 14), seed=77), [(3, 4, 30.0), (9, 9, 5.0), (9, 9, 5.0)]
+    got = array_of(viewshed(layer_of(spark, z), seers(spark, rows), 60.0, operator="DEBUG"), z.shape)
+    np.testing.assert_array_equal(got, brute(z, rows, 6, SMALL.res))
