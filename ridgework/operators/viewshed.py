@@ -39,6 +39,8 @@ RAYS_AT_ONCE = 1024
 STEPS_AT_ONCE = 1 << 16
 # Rays of one viewpoint whose reports travel in one row and meet in one group.
 REPORT_RAYS = 4096
+# Rays' reports sorted at once, but for those of one group.
+REPORTS_AT_ONCE = 1 << 18
 # Partial results of one tile added up in one group.
 FAN_IN = 64
 VIEWPOINT_BYTES = 160
@@ -267,10 +269,19 @@ def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values))
 
 
+def _few_reports(batches):
+    """Cut incoming batches to about ``REPORTS_AT_ONCE`` reports."""
+    for batch in batches:
+        held = len(column(batch, "met").flatten().field("ray").flatten())
+        step = max(batch.num_rows * REPORTS_AT_ONCE // max(held, 1), 1)
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _before(unit: list[str]):
     """Kernel between the passes: of the reports of some rays, the highest gradient each met before each unit."""
     def kernel(batches):
-        for batch in batches:
+        for batch in _few_reports(batches):
             owner, reports = members(column(batch, "met"))
             piece, ray = members(reports.field("ray"))
             ray, k, top = numbers(ray), numbers(reports.field("k").flatten()), numbers(reports.field("top").flatten())

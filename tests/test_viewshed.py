@@ -144,6 +144,7 @@ def test_viewpoints_of_a_tile_share_kernel_calls(spark, monkeypatch):
 
 def test_reports_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(operator, "REPORT_RAYS", 5)
+    monkeypatch.setattr(operator, "REPORTS_AT_ONCE", 40)
     z, rows = rough((13, 14), seed=77), [(3, 4, 30.0), (9, 9, 5.0), (9, 9, 5.0)]
     got = array_of(viewshed(layer_of(spark, z), seers(spark, rows), 60.0, operator="DEBUG"), z.shape)
     np.testing.assert_array_equal(got, brute(z, rows, 6, SMALL.res))
