@@ -90,14 +90,10 @@ def copy_layer(spark, sf):
     return tiles_to_cells(catalog.read_layer("terrain-copy", ZOOM))
 
 
-def read_dump(spark, folder):
-    return spark.read.schema("x double, y double, z double, tile string").option("header", True).csv(folder).select("tile", "x", "y", "z")
-
-
 def dump_layer(spark, sf):
-    folder = scratch_dir(spark, "dump")
-    stored_terrain(spark, sf).dump_layer("terrain", ZOOM, folder)
-    return read_dump(spark, folder)
+    catalog, folder = stored_terrain(spark, sf), scratch_dir(spark, "dump")
+    catalog.dump_layer("terrain", ZOOM, folder)
+    return catalog.read_dump("terrain", ZOOM, folder)
 
 
 def lonlat(spark, sf):
@@ -523,7 +519,7 @@ def viewshed_terrain_prep(spark, sf):
 def viewshed_debug(spark, sf):
     catalog, folder = stored_terrain(spark, sf), scratch_dir(spark, "dump")
     workflows.viewshed_debug(catalog, "terrain", "seen", ZOOM, supplier_viewpoints(spark, sf), 25000.0, folder)
-    return read_dump(spark, folder)
+    return catalog.read_dump("seen", ZOOM, folder)
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ridgework.functions.keys import zorder_key
 from ridgework.functions.zcurve import box_intervals, coarse_intervals, in_intervals
 from ridgework.layer import Layer
-from ridgework.session import broadcastable, fits, stream_join
+from ridgework.session import broadcastable, fits, stage, stream_join
 
 KEY_BYTES = 48
 _KEY = ["col", "row"]
@@ -32,13 +32,15 @@ def at_keys(layer: Layer, keys: DataFrame, box: tuple[int, int, int, int] | None
     """Tile rows whose key is among ``keys`` (``col, row``), within a box known to hold them if given.
 
     On a stored layer the keys' blocks prune the partition folders: by their ends when planning, and
-    one by one while running, since the broadcast of the keys is what the scan waits for.
+    one by one while running, since the broadcast of the keys is what the scan waits for. The keys and their
+    blocks are stored first: a block that is still an expression of the key would be put in place of ``block`` at both
+    ends of every interval, in a filter on the keys that takes the driver a heap of its own to compile.
     """
     wanted = keys.select(*_KEY).distinct()
     if not layer.stored:
         tiles = layer.keyed if box is None else in_box(layer, *box)
         return stream_join(tiles, wanted, _KEY, "left_semi", fits(wanted, KEY_BYTES))
-    wanted = wanted.withColumn("block", block_column(layer.block_bits))
+    wanted = stage(wanted.withColumn("home", block_column(layer.block_bits)), "keys").withColumnRenamed("home", "block")
     ends = wanted.agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).first()
     if not ends.n:
         return layer.keyed.where(F.lit(False))

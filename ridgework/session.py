@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -68,6 +69,26 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+@contextlib.contextmanager
+def listing_lightly(spark: SparkSession):
+    """Meanwhile, frames over many folders list them in as many tasks as a shuffle has, and the driver keeps no copy of what they list.
+
+    By default a listing takes 10,000 tasks, each of which the driver remembers, and fills a cache of 250 MB that later frames share.
+    """
+    held = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": spark.conf.get("spark.sql.shuffle.partitions"),
+        "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
+    }
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def broadcastable(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 

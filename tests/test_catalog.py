@@ -157,3 +157,31 @@ def test_dump_is_written_by_many_tasks(spark, tmp_path):
     assert len({file.name.split("-")[1] for file in files}) > 1 and len(files) == 36
     rows = spark.read.option("header", True).csv(str(tmp_path / "dump"), schema="x double, y double, z double, tile string").collect()
     assert sorted((int(r.x // SMALL.res), int(-r.y // SMALL.res), r.z) for r in rows) == sorted((c, r, v) for (r, c), v in np.ndenumerate(z) if not np.isnan(v))
+
+
+def test_dump_is_written_and_read_in_pieces(spark, catalog, tmp_path, monkeypatch):
+    """No scan or write has more folders than the limit, and all rows come back; a tile without data has no folder."""
+    z = rough((40, 28), seed=13)
+    z[:4, :4] = np.nan
+    layer = layer_of(spark, z)
+    empty = spark.createDataFrame([(0, 0, [None] * 16)], layer.tiles.schema)
+    catalog.write_layer(layer.with_tiles(layer.tiles.unionByName(empty)), "flat")
+    assert catalog.read_layer("flat", 3).tiles.count() == 70
+    read, folder = [], str(tmp_path / "dump")
+    monkeypatch.setattr("ridgework.sources.catalog.DUMP_FOLDERS", 10)
+    opened = Catalog._read_csv
+    monkeypatch.setattr(Catalog, "_read_csv", lambda self, at, folders: read.append(folders) or opened(self, at, folders))
+    catalog.dump_layer("flat", 3, folder)
+    rows = catalog.read_dump("flat", 3, folder).collect()
+    assert sorted((int(r.x // SMALL.res), int(-r.y // SMALL.res), r.z) for r in rows) == sorted((c, r, v) for (r, c), v in np.ndenumerate(z) if not np.isnan(v))
+    assert all(r.tile == f"flat-{int(r.x // SMALL.res) // 4}-{int(-r.y // SMALL.res) // 4}" for r in rows)
+    assert len(read) == 7 and all(len(folders) <= 10 for folders in read)
+    assert len(list((tmp_path / "dump").glob("tile=*"))) == len({name for folders in read for name in folders}) == 69
+    with pytest.raises(AnalysisException):
+        catalog.dump_layer("flat", 3, folder)
+
+
+def test_dump_of_a_layer_without_tiles(spark, catalog, tmp_path):
+    catalog.write_layer(layer_of(spark, np.full((4, 4), np.nan)), "none")
+    catalog.dump_layer("none", 3, str(tmp_path / "dump"))
+    assert catalog.read_dump("none", 3, str(tmp_path / "dump")).count() == 0

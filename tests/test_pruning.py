@@ -66,6 +66,18 @@ def test_keys_and_boxes_open_few_folders(spark, stored):
     assert scans and all("PartitionFilters: [isnotnull(block" in line for line in scans)
 
 
+def test_keys_of_many_blocks_make_a_short_plan(spark, stored):
+    """Filters on the blocks of a box reach the keys as filters on a stored column, not on the key's Z-curve expression."""
+    _, layer, z = stored
+    cells = spark.range(256).selectExpr("cast(id % 16 * 4 as int) c", "cast(id div 16 * 4 as int) r")
+    keys = cells.selectExpr("cast(floor(c / 4.0D) as int) col", "cast(floor(r / 4.0D) as int) row").where("col between 3 and 12 and row between 3 and 9")
+    kept = pruning.at_keys(layer, keys, (3, 3, 12, 9))
+    assert len(zcurve.box_intervals(3, 3, 12, 9, layer.block_bits)) > 4
+    optimized = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("shiftleft") == 0 and len(optimized) < 20000
+    assert sorted((t.col, t.row) for t in kept.collect()) == sorted((c, r) for c in range(3, 13) for r in range(3, 10))
+
+
 def test_keys_that_do_not_fit(spark, stored, nothing_fits):
     _, layer, z = stored
     keys = spark.createDataFrame([(0, 0), (14, 15), (14, 15)], "col int, row int")
